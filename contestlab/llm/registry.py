@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("simhash",)
+MODULES = ("simhash", "urlfilter", "linededup", "mixing")
 
 
 def _merged(name: str) -> dict:
