@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("simhash", "urlfilter", "linededup", "mixing")
+MODULES = ("simhash", "urlfilter", "linededup", "mixing", "packing")
 
 
 def _merged(name: str) -> dict:
