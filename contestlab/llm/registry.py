@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("simhash", "urlfilter", "linededup", "mixing", "packing")
+MODULES = ("simhash", "urlfilter", "linededup", "mixing", "packing", "toxicity")
 
 
 def _merged(name: str) -> dict:
