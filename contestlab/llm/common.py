@@ -32,8 +32,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 def crc_mod(doc_id: Column, n: int) -> Column:
-    """crc32 of the id as text, modulo n; null for a null id."""
-    return F.crc32(doc_id.cast("string").cast("binary")) % n
+    """crc32 of the id as text, modulo n; a null id counts as empty text."""
+    return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n
 
 
 def ascii_lower(text: Column) -> Column:
@@ -45,8 +45,3 @@ def free_name(df: DataFrame, name: str) -> str:
     while name in df.columns:
         name = "_" + name
     return name
-
-
-def with_row_key(df: DataFrame, *columns: str) -> DataFrame:
-    """Only the named columns of df, so that further columns, whatever their names, can't clash."""
-    return df.select(*columns)

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("simhash", "urlfilter", "linededup", "mixing", "packing", "toxicity")
+MODULES = ("simhash", "urlfilter", "linededup", "mixing", "packing", "toxicity", "langid")
 
 
 def _merged(name: str) -> dict:
