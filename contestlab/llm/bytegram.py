@@ -17,10 +17,10 @@ def mask(n_bytes: int) -> np.uint64:
     return np.uint64((1 << (8 * n_bytes)) - 1)
 
 
-def codes_of(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
-    """The grams of all symbols of all texts, each text behind `order` bytes of padding; and how many of each text."""
-    pad = bytes([PAD]) * order
-    stream = np.frombuffer(b"".join(chain.from_iterable((pad, t) for t in texts)), np.uint8)
+def codes_of(texts: list[bytes], order: int, before: list[bytes] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The grams of all symbols of all texts, and how many of each text. before: the `order` bytes before each text, by default padding."""
+    before = before or [bytes([PAD]) * order] * len(texts)
+    stream = np.frombuffer(b"".join(chain.from_iterable(zip(before, texts, strict=True))), np.uint8)
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
     code = np.zeros(max(0, len(stream) - order), np.uint64)
     for j in range(order, -1, -1):
