@@ -23,7 +23,9 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Mapping
+from functools import cache
 from itertools import chain
 
 import numpy as np
@@ -36,7 +38,7 @@ from .common import materialize, table
 
 TOKENIZER, END_ID = "word_bpe_49k.json", 1
 LENGTH, SLOT, PERIOD = 2048, 256, 8192
-MAX_SOURCES, CACHE = 100_000, 400_000
+MAX_SOURCES, CACHE = 100_000, 800_000
 PUNCTUATION = b"!\"#$%&()*+,-./:;=?@[\\]^_`{|}~"
 
 
@@ -55,16 +57,16 @@ class WordTokenizer:
 
     def _learn(self, words: list[bytes]) -> None:
         for word, found in zip(words, self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False), strict=True):
-            self.cache[word] = np.asarray(found.ids, "<u4").astype("<u2").tobytes()
+            self.cache[word] = array("H", found.ids).tobytes()
 
     def __call__(self, texts: list[bytes | None]) -> list[bytes]:
         """Little-endian unsigned 16-bit ids of each text."""
         if len(self.cache) > CACHE:
             self.cache.clear()
-        cache = self.cache
+        known = self.cache
         # special tokens match case and all
         rows = [(t if b"<|" in t else t.lower()).split() if t else [] for t in texts]
-        missing = [w for w in set(chain.from_iterable(rows)) if w not in cache]
+        missing = [w for w in set(chain.from_iterable(rows)) if w not in known]
         split, bare = [], set()
         for w in missing:
             base = w.rstrip(PUNCTUATION)
@@ -73,16 +75,22 @@ class WordTokenizer:
                 bare.update(split[-1][1:])
             else:
                 bare.add(w)
-        if bare := [w for w in bare if w not in cache]:
+        if bare := [w for w in bare if w not in known]:
             self._learn(bare)
         for w, base, tail in split:
-            cache[w] = cache[base] + cache[tail]
-        return [b"".join([cache[w] for w in row]) for row in rows]
+            known[w] = known[base] + known[tail]
+        return [b"".join([known[w] for w in row]) for row in rows]
+
+
+@cache
+def shared_tokenizer(path: str) -> WordTokenizer:
+    """One for each Python worker, so that later tasks find its words."""
+    return WordTokenizer(path)
 
 
 def _tokenise(path: str):
     def run(batches):
-        encode, end, at = WordTokenizer(path), np.array([END_ID], "<u2").tobytes(), {}
+        encode, end, at = shared_tokenizer(path), np.array([END_ID], "<u2").tobytes(), {}
         part = TaskContext.get().partitionId()
         for batch in batches:
             for i in range(0, batch.num_rows, 256):

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("simhash", "urlfilter", "linededup", "mixing", "packing", "toxicity", "langid", "lm")
+MODULES = ("simhash", "urlfilter", "linededup", "mixing", "packing", "toxicity", "langid", "lm", "embdedup", "ann")
 
 
 def _merged(name: str) -> dict:

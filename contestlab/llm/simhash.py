@@ -19,7 +19,7 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import free_name, materialize, table
@@ -105,11 +105,14 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     Of repeated rows with one id, one stays. Rows with a null id stay only if their group has no id.
     """
-    key = free_name(docs, "component_id")
+    key, place = free_name(docs, "near_key"), free_name(docs, "near_place")
+    # ids as text, so that a null id has a key of its own; the join and the window share one shuffle by it
+    as_key = lambda c: F.coalesce(F.col(c).cast("long").cast("string"), F.lit(""))
     groups = near_duplicates(docs, id_col, text_col)
-    keepers = groups.filter("doc_id <=> component_id").select(F.col("doc_id").alias(key)).distinct()
-    kept = docs.join(keepers, F.col(id_col).cast("long").eqNullSafe(F.col(key)), "left_semi")
-    return kept.dropDuplicates([id_col])
+    keepers = groups.filter("doc_id <=> component_id").select(as_key("doc_id").alias(key)).distinct()
+    kept = docs.withColumn(key, as_key(id_col)).join(keepers, key, "left_semi")
+    first = F.row_number().over(Window.partitionBy(key).orderBy(F.xxhash64(F.col(text_col).cast("string"))))
+    return kept.withColumn(place, first).filter(F.col(place) == 1).select(*docs.columns)
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
