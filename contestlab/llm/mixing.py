@@ -64,7 +64,9 @@ def rake(cells: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = N
             now = now.withColumn(f"t_{m}", share)
         else:
             now = now.withColumn(f"t_{m}", F.pow(F.sum("w").over(Window.partitionBy(m)), F.lit(temper)))
-    for _ in range(rounds):
+    for i in range(rounds):
+        if i and i % ROUNDS == 0:  # keep the plan short
+            now = materialize(now, "raked").coalesce(1)
         for m in MARGINALS:
             mass = F.sum(F.col("w") * F.col("f")).over(Window.partitionBy(m))
             now = now.withColumn("f", F.when(mass > 0, F.col("f") * F.col(f"t_{m}") / mass).otherwise(F.col("f")))
