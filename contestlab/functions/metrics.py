@@ -90,9 +90,21 @@ def volatility(margins: Column) -> Column:
     return F.when(F.size(x) >= 2, rounded(F.sqrt(squares / (F.size(x) - 1))))
 
 
+def hundredths(x: Column) -> Column:
+    """A two-place percentage as an exact long, for sums that don't depend on their order."""
+    return (F.signum(x) * F.floor(F.abs(x) * 100.0 + 0.5)).cast("long")
+
+
 def volatility_agg(margin: Column) -> Column:
-    """The aggregate of the same meaning."""
-    return F.when(F.count(margin) >= 2, rounded(F.stddev_samp(margin)))
+    """The aggregate of the same meaning, for margins of two places, from exact sums."""
+    h, n = hundredths(margin), F.count(margin)
+    spread = (n * F.sum(h * h) - F.sum(h) * F.sum(h)).cast("double")
+    return F.when(n >= 2, rounded(F.sqrt(F.try_divide(spread, (n * (n - 1)).cast("double"))) / 100.0))
+
+
+def mean_agg(x: Column, k: int = 2) -> Column:
+    """Mean of two-place values, to k places."""
+    return ratio(F.sum(hundredths(x)), F.count(x) * 100, k)
 
 
 def priority_weight(*inputs: Column) -> Column:
