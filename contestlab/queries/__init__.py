@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("derived", "results")
+MODULES = ("derived", "results", "texts")
 
 
 def _merged(name: str) -> dict:
