@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("derived", "results", "texts")
+MODULES = ("derived", "results", "texts", "models")
 
 
 def _merged(name: str) -> dict:
