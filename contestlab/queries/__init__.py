@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("derived", "results", "texts", "models")
+MODULES = ("derived", "results", "texts", "models", "ops")
 
 
 def _merged(name: str) -> dict:
