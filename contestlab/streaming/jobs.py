@@ -2,13 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from contestlab.functions import text as T
 
@@ -46,20 +42,11 @@ def with_snapshot(changes: DataFrame, snapshots: DataFrame) -> DataFrame:
     return rows.withColumn("electors", last["electors"]).drop("rolls")
 
 
-def running_budget(calls: DataFrame, budget: int, degrade: float = 0.8) -> DataFrame:
-    """calls (user_id, day string, tokens) as user_id, day, used, state after each micro-batch."""
-
-    def update(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        used = (state.get[0] if state.exists else 0) + sum(int(b["tokens"].sum()) for b in batches)
-        state.update((used,))
-        state.setTimeoutDuration(2 * 86_400_000)  # a day's total is of no use after the next day
-        name = "blocked" if used >= budget else "degraded" if used >= degrade * budget else "fine"
-        yield pd.DataFrame({"user_id": [key[0]], "day": [key[1]], "used": [used], "state": [name]})
-
-    return calls.groupBy("user_id", "day").applyInPandasWithState(update, "user_id long, day string, used long, state string", "used long", "update", GroupStateTimeout.ProcessingTimeTimeout)
+def running_budget(calls: DataFrame, budget: int, degrade: float = 0.8, late: str = "1 day") -> DataFrame:
+    """calls (user_id, ts, tokens) as user_id, day, used, state; in update mode, each total that a micro-batch has changed."""
+    used = calls.withWatermark("ts", late).groupBy(F.window("ts", "1 day"), "user_id").agg(F.sum("tokens").alias("used"))
+    state = F.when(F.col("used") >= budget, "blocked").when(F.col("used") >= degrade * budget, "degraded").otherwise("fine")
+    return used.select("user_id", F.col("window.start").cast("date").alias("day"), "used", state.alias("state"))
 
 
 def merge_into(df: DataFrame, path: str, checkpoint: str, keys: list[str], order: str) -> StreamingQuery:

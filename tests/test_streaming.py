@@ -29,9 +29,9 @@ def test_feed_once_each_and_weeks(spark, tmp_path):
 
 def test_budget_runs_over_batches(spark, tmp_path):
     (tmp_path / "calls").mkdir()
-    stream = spark.readStream.schema("user_id long, day string, tokens long").option("maxFilesPerTrigger", 1).json(str(tmp_path / "calls"))
+    stream = spark.readStream.schema("user_id long, ts timestamp, tokens long").option("maxFilesPerTrigger", 1).json(str(tmp_path / "calls"))
     for k, n in enumerate((50, 35, 20)):
-        (tmp_path / "calls" / f"{k}.json").write_text(json.dumps({"user_id": 1, "day": "d", "tokens": n}) + "\n")
+        (tmp_path / "calls" / f"{k}.json").write_text(json.dumps({"user_id": 1, "ts": "2024-01-01T10:00:00Z", "tokens": n}) + "\n")
         q = jobs.running_budget(stream, 100).writeStream.foreachBatch(lambda b, e: b.write.mode("overwrite").parquet(str(tmp_path / f"out/epoch={e}"))).outputMode("update").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
         q.awaitTermination(120)
     got = spark.read.parquet(str(tmp_path / "out")).select("used", "state").collect()
