@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("derived", "results", "texts", "models", "ops", "scalars")
+MODULES = ("derived", "results", "texts", "models", "ops", "scalars", "relational")
 
 
 def _merged(name: str) -> dict:
