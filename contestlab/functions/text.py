@@ -82,6 +82,11 @@ BOOST_OVER, PREFIX_MOST, PREFIX_WEIGHT = 0.7, 4, 0.1
 HAMMING, SHINGLE = 3, 3
 
 
+def bound(x: Column, f) -> Column:
+    """f(x), with x worked out once however often f names it."""
+    return F.transform(F.array(x), f)[0]
+
+
 def normalize_digits(text: Column) -> Column:
     return F.translate(text, DIGITS, "0123456789")
 
@@ -129,13 +134,17 @@ def canonical_building(text: Column, rules=BUILDINGS, dropped=DROPPED) -> Column
     t = normalize_digits(F.translate(normalize(text), ZERO_MARKS, " " * len(ZERO_MARKS)))
     t = F.lower(F.regexp_replace(F.regexp_replace(t, r"\+\s*2\s*", " "), ROOM, " "))
     t = _collapse(F.regexp_replace(F.translate(t, MARKS, " " * len(MARKS)), PUNCTUATION, " "))
-    typed = t
-    for pattern, kind in reversed(rules):  # the first rule is the outermost
-        rule = f"(?i){pattern}"
-        typed = F.when(t.rlike(rule), F.regexp_replace(t, rule, f" {kind} ")).otherwise(typed)
-    words = F.filter(F.split(typed, r"\s+"), lambda w: (w != "") & ~w.isin(*dropped))
     upper = lambda w: w.rlike("^[A-Z_]+$")
-    return F.array_join(F.concat(F.filter(words, upper), F.filter(words, lambda w: ~upper(w))), " ")
+
+    def typed(name: Column) -> Column:
+        out = name
+        for pattern, kind in reversed(rules):  # the first rule is the outermost
+            rule = f"(?i){pattern}"
+            out = F.when(name.rlike(rule), F.regexp_replace(name, rule, f" {kind} ")).otherwise(out)
+        return out
+
+    words = F.filter(F.split(bound(t, typed), r"\s+"), lambda w: (w != "") & ~w.isin(*dropped))
+    return bound(words, lambda ws: F.array_join(F.concat(F.filter(ws, upper), F.filter(ws, lambda w: ~upper(w))), " "))
 
 
 def building_type(canonical: Column) -> Column:
@@ -143,18 +152,21 @@ def building_type(canonical: Column) -> Column:
     return F.when(found != "", found)
 
 
-def to_latin(text: Column) -> Column:
+def to_latin(text: Column, compose: bool = True) -> Column:
     """Devanagari as lower-case Latin, with the inherent a of consonants."""
-    voiced = F.regexp_replace(normalize(text), f"([{CONSONANTS}])(?![{VOWEL_SIGNS}{VIRAMA}{NUKTA}])", "$1a")
     table = F.create_map(*(F.lit(x) for pair in LATIN.items() for x in pair))
-    letters = F.transform(F.split(voiced, ""), lambda c: F.coalesce(F.try_element_at(table, c), F.when(c.rlike(r"^[\x00-\x7F]$"), c), F.lit("")))
-    plain = normalize(text)
-    return F.lower(F.when(plain.rlike("[ऀ-ॿ]"), _collapse(F.array_join(letters, ""))).otherwise(plain))
+
+    def letters(plain: Column) -> Column:
+        voiced = F.regexp_replace(plain, f"([{CONSONANTS}])(?![{VOWEL_SIGNS}{VIRAMA}{NUKTA}])", "$1a")
+        each = F.transform(F.split(voiced, ""), lambda c: F.coalesce(F.try_element_at(table, c), F.when(c.rlike(r"^[\x00-\x7F]$"), c), F.lit("")))
+        return F.lower(F.when(plain.rlike("[ऀ-ॿ]"), _collapse(F.array_join(each, ""))).otherwise(plain))
+
+    return bound(normalize(text, compose), letters)
 
 
 def match_key(building: Column, place: Column | None = None) -> Column:
     parts = [canonical_building(building)] + ([normalize(place)] if place is not None else [])
-    return F.replace(to_latin(F.concat_ws(" ", *(F.nullif(p, F.lit("")) for p in parts))), F.lit(" "), F.lit(""))
+    return F.replace(to_latin(F.concat_ws(" ", *parts), compose=False), F.lit(" "), F.lit(""))
 
 
 def last_token(name: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from contestlab.functions import metrics as M
@@ -13,7 +13,9 @@ from .derived import star_views
 from .results import where
 from .texts import read
 
-N = F.count(F.lit(1))
+
+def n() -> Column:
+    return F.count(F.lit(1))
 
 
 def roll_changes(spark, sf_dir) -> DataFrame:
@@ -32,7 +34,7 @@ def roll_changes(spark, sf_dir) -> DataFrame:
 def revisions(spark, sf_dir):
     d = star_views(spark, sf_dir).data
     full = d.snapshots.select("day").distinct().withColumn("is_full", F.lit(True))
-    rows = d.roll_changes.groupBy("day").agg(N.alias("units"), F.sum("additions").alias("additions"))
+    rows = d.roll_changes.groupBy("day").agg(n().alias("units"), F.sum("additions").alias("additions"))
     return rows.join(F.broadcast(full), "day", "left").withColumn("is_full", F.coalesce("is_full", F.lit(False)))
 
 
@@ -57,27 +59,27 @@ def inner_join(spark: SparkSession, sf_dir: str):
     o = orders(spark, sf_dir).select("o_orderkey", "o_custkey", "o_orderstatus")
     p = read(spark, sf_dir, "part").select("p_partkey", "p_type")
     rows = lines(spark, sf_dir).select("l_orderkey", "l_partkey", "l_quantity").join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(p, F.col("l_partkey") == F.col("p_partkey"))
-    return rows.groupBy("o_orderstatus", "p_type").agg(N.alias("n"), F.sum("l_quantity").cast("long").alias("quantity"))
+    return rows.groupBy("o_orderstatus", "p_type").agg(n().alias("n"), F.sum("l_quantity").cast("long").alias("quantity"))
 
 
 def update_from(spark, sf_dir):
     """Customers below zero take their nation's mean balance, in whole hundredths."""
-    mean = customers(spark, sf_dir).groupBy("c_nationkey").agg(F.floor(F.sum(M.hundredths(F.col("c_acctbal"))) / N).cast("long").alias("mean_h"))
+    mean = customers(spark, sf_dir).groupBy("c_nationkey").agg(F.floor(F.sum(M.hundredths(F.col("c_acctbal"))) / n()).cast("long").alias("mean_h"))
     rows = customers(spark, sf_dir).join(F.broadcast(mean), "c_nationkey", "left")
     return rows.select("c_custkey", F.when(F.col("c_acctbal") < 1000, F.coalesce("mean_h", F.lit(0))).otherwise(M.hundredths(F.col("c_acctbal"))).alias("balance_h"))
 
 
 def dictionary_explode(spark, sf_dir):
     """Each order's priority histogram by customer through a dictionary of several weights a word."""
-    h = orders(spark, sf_dir).groupBy("o_custkey", "o_orderpriority").agg(N.alias("n"))
+    h = orders(spark, sf_dir).groupBy("o_custkey", "o_orderpriority").agg(n().alias("n"))
     d = spark.createDataFrame([("1-URGENT", "x", 75), ("1-URGENT", "y", 25), ("5-LOW", "y", 100)], "word string, class string, weight int")
     return h.join(F.broadcast(d), F.col("o_orderpriority") == F.col("word")).groupBy("o_custkey", "class").agg(F.sum(F.col("n") * F.col("weight")).alias("hundredths"))
 
 
 def coalesce_key(spark, sf_dir):
     c = customers(spark, sf_dir).select(F.col("c_custkey"), F.when(F.col("c_custkey") % 3 != 0, F.col("c_nationkey")).alias("own"))
-    n = read(spark, sf_dir, "nation").select(F.col("n_nationkey"), "n_name")
-    return c.join(F.broadcast(n), F.coalesce("own", (F.col("c_custkey") % 25).cast("int")) == F.col("n_nationkey"), "left").select("c_custkey", "n_name")
+    names = read(spark, sf_dir, "nation").select(F.col("n_nationkey"), "n_name")
+    return c.join(F.broadcast(names), F.coalesce("own", (F.col("c_custkey") % 25).cast("int")) == F.col("n_nationkey"), "left").select("c_custkey", "n_name")
 
 
 def adjacent_contests(spark, sf_dir):
@@ -94,7 +96,7 @@ def pivot_sums(spark, sf_dir):
 
 
 def null_gate(spark, sf_dir):
-    rows = star_views(spark, sf_dir).data.units.groupBy("area_id").agg(N.alias("units"), F.count("electors").alias("known"), F.sum("electors").alias("electors"))
+    rows = star_views(spark, sf_dir).data.units.groupBy("area_id").agg(n().alias("units"), F.count("electors").alias("known"), F.sum("electors").alias("electors"))
     return rows.select("area_id", "units", F.when(F.col("units") == F.col("known"), F.col("electors")).alias("electors"))
 
 
@@ -106,7 +108,7 @@ def rolls_by_lag(spark, sf_dir):
 def correlation(spark, sf_dir):
     """Pearson's r and the line of two whole numbers by brand, from exact sums."""
     x, y = F.col("p_size").cast("long"), F.floor("p_retailprice").cast("long")
-    s = read(spark, sf_dir, "part").groupBy("p_brand").agg(N.alias("n"), F.sum(x).alias("x"), F.sum(y).alias("y"), F.sum(x * y).alias("xy"), F.sum(x * x).alias("xx"), F.sum(y * y).alias("yy")).filter("n >= 4")
+    s = read(spark, sf_dir, "part").groupBy("p_brand").agg(n().alias("n"), F.sum(x).alias("x"), F.sum(y).alias("y"), F.sum(x * y).alias("xy"), F.sum(x * x).alias("xx"), F.sum(y * y).alias("yy")).filter("n >= 4")
     sxy, sxx, syy = (F.col("n") * F.col(a) - F.col(b) * F.col(c) for a, b, c in (("xy", "x", "y"), ("xx", "x", "x"), ("yy", "y", "y")))
     r = F.coalesce(F.try_divide(sxy.cast("double"), F.sqrt(sxx.cast("double") * syy.cast("double"))), F.lit(0.0))
     return s.select("p_brand", "n", F.round(r, 6).alias("r"), F.round(F.try_divide(sxy.cast("double"), sxx.cast("double")), 6).alias("slope"))
@@ -128,9 +130,9 @@ QUERIES = {
     "agg_count_nonnull_gate": null_gate,
     "agg_count_distinct": lambda spark, sf_dir: lines(spark, sf_dir).groupBy("l_returnflag").agg(F.countDistinct("l_partkey").alias("parts"), F.countDistinct("l_suppkey").alias("suppliers")),
     "agg_string_ordered": lambda spark, sf_dir: read(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.array_join(F.array_sort(F.collect_list("n_name")), ",").alias("nations")),
-    "agg_having": lambda spark, sf_dir: orders(spark, sf_dir).groupBy("o_custkey").agg(N.alias("n")).filter("n >= 15"),
+    "agg_having": lambda spark, sf_dir: orders(spark, sf_dir).groupBy("o_custkey").agg(n().alias("n")).filter("n >= 15"),
     "agg_corr": correlation,
-    "agg_unnest_group": lambda spark, sf_dir: read(spark, sf_dir, "part").select(F.explode(F.split("p_name", " ")).alias("word")).groupBy("word").agg(N.alias("n")),
+    "agg_unnest_group": lambda spark, sf_dir: read(spark, sf_dir, "part").select(F.explode(F.split("p_name", " ")).alias("word")).groupBy("word").agg(n().alias("n")),
     "win_lag_date": rolls_by_lag,
     "win_row_number": lambda spark, sf_dir: star_views(spark, sf_dir).ranked.select("contest_id", "unit_id", "contestant", "votes", "place"),
     "win_distinct_on": lambda spark, sf_dir: orders(spark, sf_dir).groupBy("o_custkey").agg(F.max(F.struct("o_orderdate", "o_orderkey"))["o_orderkey"].alias("last_order")),
