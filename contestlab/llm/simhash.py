@@ -100,15 +100,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return marked.join(found, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", groups: DataFrame | None = None) -> DataFrame:
     """The columns of docs for one row of each near-duplicate group: the row whose id is the group's.
 
-    Of repeated rows with one id, one stays. Rows with a null id stay only if their group has no id.
+    groups: doc_id, component_id of each row, by default those of near_duplicates. Of repeated rows with one id, one stays. Rows with a null id stay only if their group has no id.
     """
     key, place = free_name(docs, "near_key"), free_name(docs, "near_place")
     # ids as text, so that a null id has a key of its own; the join and the window share one shuffle by it
     as_key = lambda c: F.coalesce(F.col(c).cast("long").cast("string"), F.lit(""))
-    groups = near_duplicates(docs, id_col, text_col)
+    groups = near_duplicates(docs, id_col, text_col) if groups is None else groups
     keepers = groups.filter("doc_id <=> component_id").select(as_key("doc_id").alias(key)).distinct()
     kept = docs.withColumn(key, as_key(id_col)).join(keepers, key, "left_semi")
     first = F.row_number().over(Window.partitionBy(key).orderBy(F.xxhash64(F.col(text_col).cast("string"))))

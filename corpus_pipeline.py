@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contestlab.llm import linededup, mixing, packing, simhash, toxicity
+from contestlab.llm import linededup, mixing, neardup, packing, simhash, toxicity
 from contestlab.llm.common import materialize, table
 
 #: No SQL can train the classifier or tokenise.
@@ -30,8 +30,8 @@ def cut_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays."""
-    return simhash.keep_one_of_each(docs)
+    """One document of each group stays that texts with a five-word Jaccard similarity of 0.8 or more link."""
+    return simhash.keep_one_of_each(docs, groups=neardup.near_groups(docs))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
