@@ -6,6 +6,11 @@ shares, for a fixed number of rounds. A cell's factor divided by the largest fac
 which its documents are kept, so the expected kept tokens have the raked proportions. The draw is a hash of
 the document's id: the same document is always drawn alike.
 
+With keep, the scale is that share of all tokens instead: cells are raked to their marginals' shares of it, no cell
+is drawn with more than 1, and what a full cell can't give falls to the others of its labels in the next round. So a
+cell or label with few tokens can't shrink the draw. A label whose tokens don't reach its share comes whole, and only
+what is missing there is missing in the total.
+
 Targets not given are tempered: a label's share is its natural share to the power TEMPER, so a hot source
 is held back and rare ones gain. Given targets are {label: share}; labels without one get 0 and are dropped.
 
@@ -53,9 +58,9 @@ def _draw(key: Column) -> Column:
     return F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
 
 
-def rake(cells: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None, rounds: int = ROUNDS, temper: float = TEMPER) -> DataFrame:
-    """cells (source, lang, topic, w) with p, the probability to keep a document of the cell."""
-    now = cells.coalesce(1).withColumn("f", F.lit(1.0))
+def rake(cells: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None, rounds: int = ROUNDS, temper: float = TEMPER, keep: float | None = None) -> DataFrame:
+    """cells (source, lang, topic, w) with p, the probability to keep a document of the cell; keep: the share of all tokens to keep."""
+    now = cells.coalesce(1).withColumn("f", F.lit(1.0 if keep is None else float(keep)))
     for m in MARGINALS:
         if targets and m in targets:
             share = F.lit(0.0)
@@ -64,19 +69,26 @@ def rake(cells: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = N
             now = now.withColumn(f"t_{m}", share)
         else:
             now = now.withColumn(f"t_{m}", F.pow(F.sum("w").over(Window.partitionBy(m)), F.lit(temper)))
+        if keep is not None:  # each label's tokens to keep
+            own, every = F.sum("w").over(Window.partitionBy(m)), Window.partitionBy()
+            parts = F.sum(F.when(own > 0, F.col(f"t_{m}") * F.col("w") / own).otherwise(0.0)).over(every)
+            now = now.withColumn(f"t_{m}", F.when(parts > 0, F.lit(float(keep)) * F.sum("w").over(every) * F.col(f"t_{m}") / parts).otherwise(0.0))
     for i in range(rounds):
         if i and i % ROUNDS == 0:  # keep the plan short
             now = materialize(now, "raked").coalesce(1)
         for m in MARGINALS:
             mass = F.sum(F.col("w") * F.col("f")).over(Window.partitionBy(m))
-            now = now.withColumn("f", F.when(mass > 0, F.col("f") * F.col(f"t_{m}") / mass).otherwise(F.col("f")))
+            raked = F.col("f") * F.col(f"t_{m}") / mass
+            now = now.withColumn("f", F.when(mass > 0, raked if keep is None else F.least(raked, F.lit(1.0))).otherwise(F.col("f")))
+    if keep is not None:
+        return now.select(*MARGINALS, F.when(F.col("w") > 0, F.col("f")).otherwise(1.0).alias("p"))
     # the targets of a marginal need not sum to 1: the factors' common scale falls out here; cells without tokens keep all
     most = F.max(F.when(F.col("w") > 0, F.col("f"))).over(Window.partitionBy())
     return now.select(*MARGINALS, F.when((F.col("w") > 0) & (most > 0), F.least(F.col("f") / most, F.lit(1.0))).otherwise(1.0).alias("p"))
 
 
-def sample_to_targets(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None, temper: float = TEMPER, topic: Column | None = None, details: bool = False) -> DataFrame:
-    """The rows of docs that are drawn; details: instead their doc_id, labels, n_tokens and p in millionths."""
+def sample_to_targets(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None, temper: float = TEMPER, topic: Column | None = None, details: bool = False, keep: float | None = None) -> DataFrame:
+    """The rows of docs that are drawn; details: instead their doc_id, labels, n_tokens and p in millionths; keep: as in rake."""
     names = {m: free_name(docs, f"mix_{m}") for m in (*MARGINALS, "tokens", "key", "p")}
     text = F.col("text").cast("string")
     label = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
@@ -89,7 +101,7 @@ def sample_to_targets(docs: DataFrame, targets: Mapping[str, Mapping[str, float]
     })
     keys = [names[m] for m in MARGINALS]
     cells = marked.groupBy(*(F.col(names[m]).alias(m) for m in MARGINALS)).agg(F.sum(names["tokens"]).cast("double").alias("w"))
-    cells = materialize(rake(cells, targets, temper=temper).select(*(F.col(m).alias(names[m]) for m in MARGINALS), F.col("p").alias(names["p"])), "cells")
+    cells = materialize(rake(cells, targets, temper=temper, keep=keep).select(*(F.col(m).alias(names[m]) for m in MARGINALS), F.col("p").alias(names["p"])), "cells")
     if details:
         marked = marked.select("doc_id", *keys, names["tokens"], names["key"])
     kept = marked.join(cells, keys).filter(_draw(F.col(names["key"])) < F.col(names["p"]))

@@ -14,6 +14,8 @@ from contestlab.llm.common import materialize, table
 
 #: No SQL can train the classifier or tokenise.
 ORACLE_SQL = None
+#: Share of the tokens that mixing keeps.
+KEEP = 0.5
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,8 +37,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are sampled to tempered shares of source, language and topic."""
-    return mixing.sample_to_targets(docs)
+    """Documents of KEEP of all tokens are sampled to tempered shares of source, language and topic."""
+    return mixing.sample_to_targets(docs, keep=KEEP)
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
