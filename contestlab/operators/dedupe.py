@@ -68,14 +68,24 @@ def dot(a: Column, b: Column) -> Column:
 def vector_search(vectors: DataFrame, queries: DataFrame, k: int = 10, max_queries: int = 1000) -> DataFrame:
     """query_id, vec_id, similarity, place: the k vectors (vec_id, embedding) of largest cosine for each query (query_id, embedding), exactly.
 
-    Every vector is compared with every query, in blocks: queries are sent to all tasks, max_queries at most.
-    The k best of each task are found before the shuffle.
+    Every vector is compared with every query, in blocks of about max_queries queries by a hash of their id: a block
+    is sent to all tasks, and the k best of each task are found before the shuffle. Of several blocks each is
+    written to the shared folder, so neither the number of queries nor the plan has a limit.
     """
-    if queries.limit(max_queries + 1).count() > max_queries:
-        raise ValueError(f"more than {max_queries} queries")
     unit = lambda df, key: df.filter(dot(F.col("embedding"), F.col("embedding")) > 0).select(key, "embedding", F.sqrt(dot(F.col("embedding"), F.col("embedding"))).alias("norm"))
-    q = unit(queries, "query_id").select("query_id", F.col("embedding").alias("q"), F.col("norm").alias("q_norm"))
-    pairs = unit(vectors, "vec_id").crossJoin(F.broadcast(q))
-    scored = pairs.select("query_id", "vec_id", (dot(F.col("embedding"), F.col("q")) / (F.col("norm") * F.col("q_norm"))).alias("similarity"))
     order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id")
-    return scored.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k)
+
+    def best(block: DataFrame) -> DataFrame:
+        q = unit(block, "query_id").select("query_id", F.col("embedding").alias("q"), F.col("norm").alias("q_norm"))
+        pairs = unit(vectors, "vec_id").crossJoin(F.broadcast(q))
+        scored = pairs.select("query_id", "vec_id", (dot(F.col("embedding"), F.col("q")) / (F.col("norm") * F.col("q_norm"))).alias("similarity"))
+        return scored.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k)
+
+    blocks = -(-queries.count() // max_queries)
+    if blocks <= 1:
+        return best(queries)
+    path, block = f"{shared_dir(vectors.sparkSession)}/found-{uuid.uuid4().hex}", F.pmod(F.xxhash64("query_id"), F.lit(blocks))
+    for i in range(blocks):
+        found = best(queries.filter(block == i))
+        found.write.mode("append").parquet(path)
+    return vectors.sparkSession.read.schema(found.schema).parquet(path)
