@@ -8,8 +8,8 @@ Only hashes and positions are shuffled to find the repeats; the first occurrence
 a pre-aggregated minimum, and the table of repeated windows is joined back without a hint, so a window that
 is in a third of the documents is split by the adaptive join.
 
-Defined cases: a null text stays null with 0 lines; a text of fewer than three lines, and windows of white
-space only, are left alone. A null doc_id sorts last. Repeated rows (same id and text) count as one document
+Defined cases: a null text stays null with 0 lines; windows of white space only are left alone. A text of fewer than
+three lines is left alone too, or with short is one window of its own. A null doc_id sorts last. Repeated rows (same id and text) count as one document
 and all get the same result. If all lines are covered the text is empty, not null.
 """
 
@@ -28,24 +28,24 @@ def _lines(text) -> F.Column:
     return F.split(text, "\n", -1)
 
 
-def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", short: bool = False) -> DataFrame:
     """k_id, k_text, pos: each later occurrence of a window, by the keys of its document and its first line."""
     text = F.col(text_col).cast("string")
     rows = docs.filter(F.col(text_col).isNotNull()).select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("k_id"), F.xxhash64(text).alias("k_text"), _lines(text).alias("lines"))
-    rows = rows.filter(F.size("lines") >= WINDOW)
+    rows = rows.filter(F.size("lines") >= (1 if short else WINDOW))
     joined = lambda i: F.array_join(F.slice(F.col("lines"), i + 1, WINDOW), "\n")
     spot = lambda i: F.struct(i.alias("pos"), F.xxhash64(joined(i)).alias("h1"), F.xxhash64(F.lit(1), joined(i)).alias("h2"), joined(i).rlike(r"[^\x20\x09-\x0D]").alias("ink"))
-    spots = rows.select("k_id", "k_text", F.explode(F.transform(F.sequence(F.lit(0), F.size("lines") - WINDOW), spot)).alias("w"))
+    spots = rows.select("k_id", "k_text", F.explode(F.transform(F.sequence(F.lit(0), F.greatest(F.size("lines") - WINDOW, F.lit(0))), spot)).alias("w"))
     spots = spots.select("k_id", "k_text", "w.*").filter("ink").drop("ink")
     place = F.struct("k_id", "k_text", "pos")
     twice = spots.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first < last").select("h1", "h2", "first")
     return spots.join(twice, ["h1", "h2"]).filter(place > F.col("first")).select("k_id", "k_text", "pos")
 
 
-def deduplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counts: tuple[str, str] | None = None) -> DataFrame:
-    """docs with the covered lines cut out of text_col; counts: names of two more columns, lines before and lines cut."""
+def deduplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counts: tuple[str, str] | None = None, short: bool = False) -> DataFrame:
+    """docs with the covered lines cut out of text_col; counts: names of two more columns, lines before and lines cut; short: also later copies of texts of one or two lines."""
     names, text = docs.columns, F.col(text_col).cast("string")
-    covered = repeated_windows(docs, id_col, text_col).select("k_id", "k_text", F.explode(F.sequence(F.col("pos"), F.col("pos") + WINDOW - 1)).alias("pos"))
+    covered = repeated_windows(docs, id_col, text_col, short).select("k_id", "k_text", F.explode(F.sequence(F.col("pos"), F.col("pos") + WINDOW - 1)).alias("pos"))
     # a document's own covered positions: no more than it has lines
     covered = covered.groupBy("k_id", "k_text").agg(F.collect_set("pos").alias("cut"))
     k_id, k_text, cut = (free_name(docs, x) for x in ("k_id", "k_text", "cut"))
@@ -55,7 +55,7 @@ def deduplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     kept = F.filter(_lines(text), lambda line, i: ~F.array_contains(F.col(cut), i))
     out = {n: F.when(F.col(cut).isNull(), text).otherwise(F.array_join(kept, "\n")) if n == text_col else F.col(n) for n in names}
     if counts:
-        out |= {counts[0]: F.when(text.isNull(), 0).otherwise(F.size(_lines(text))), counts[1]: F.when(F.col(cut).isNull(), 0).otherwise(F.size(cut))}
+        out |= {counts[0]: F.when(text.isNull(), 0).otherwise(F.size(_lines(text))), counts[1]: F.when(F.col(cut).isNull(), 0).otherwise(F.least(F.size(cut), F.size(_lines(text))))}
     return rows.select(*(c.alias(n) for n, c in out.items()))
 
 

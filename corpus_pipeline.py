@@ -24,8 +24,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def cut_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later occurrences of three-line windows are cut out; n_chars follows the text."""
-    cut = linededup.deduplicate_lines(docs)
+    """Later occurrences of three-line windows, and later copies of shorter texts, are cut out; n_chars follows the text."""
+    cut = linededup.deduplicate_lines(docs, short=True)
     if "n_chars" in cut.columns:
         cut = cut.withColumn("n_chars", F.length("text").cast("long"))
     return cut.select(*docs.columns)
