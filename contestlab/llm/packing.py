@@ -1,18 +1,20 @@
 """Packing documents into fixed windows in a mixture of sources.
 
-Each source is a queue: its documents' tokens one after another. A deficit round-robin serves the queues in
-slots of 256 tokens. With every slot each source's deficit grows by its target share; the source with the
-largest deficit is served and pays one slot. Eight slots make a window of 2048 tokens, so every window is
-filled and holds the target proportions to within a slot; what a source lacks in one window it is owed in
-the next. The round-robin repeats with a period of slots, and deficits at the end of a period are zero, so any
-task can compute where a slot of a queue goes without knowing the windows before it: the deficits carry over
-windows and partitions by construction. When a queue runs dry the shares of the others are renormalised and
-the deficits go on into the next phase. What is left of each queue beyond whole slots forms the tail, packed
-end to end; only the very last window can be short.
+Each source is a queue: its documents' tokens one after another. A deficit round-robin serves the queues in slots of
+256 tokens: each source's deficit grows with time at its target share; when it comes to a whole slot, the slot is served
+and paid. A round is eight windows of eight slots; what a source is owed of a round it gets in equal parts, so every window of 2048
+tokens is filled and holds the target proportions to within a slot, and what a round leaves of a deficit is carried
+into the next. A queue that runs dry is out; the others go on at
+their shares. What is left of each queue beyond
+whole slots and windows forms the tail, packed end to end; only the very last window can be short.
+
+A deficit follows from the time alone, so any task can compute where a slot of a queue goes without walking through
+the windows before it: deficits carry over windows and partitions by construction, and the plan that tasks get
+is a few numbers for each queue.
 
 Jobs: (1) tokenise and write ids with each document's place in its part of its queue; (2) sum tokens by part
 and source, and prefix sums over parts; (3) cut documents at the slots and emit pieces. The driver sees one
-row per source only, MAX_SOURCES at most. Texts are not shuffled.
+row per queue: the QUEUES largest sources have one each, all others share one. Texts are not shuffled.
 
 Defined cases: a null or empty text is one token, the end id 1. Null and empty sources are one queue. Sources
 without a target have share 0 and go to the tail. Repeated rows and null ids are packed like any other row.
@@ -24,9 +26,10 @@ from __future__ import annotations
 import os
 import zlib
 from array import array
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from functools import cache
 from itertools import chain
+from math import gcd
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +40,8 @@ from pyspark.sql import functions as F
 from .common import materialize, table
 
 TOKENIZER, END_ID = "word_bpe_49k.json", 1
-LENGTH, SLOT, PERIOD = 2048, 256, 8192
-MAX_SOURCES, CACHE = 100_000, 800_000
+LENGTH, SLOT, ROUND, QUEUES = 2048, 256, 8, 2_000
+MOST_TIME, GOLDEN, CACHE = float(1 << 50), (5**0.5 - 1) / 2, 800_000
 PUNCTUATION = b"!\"#$%&()*+,-./:;=?@[\\]^_`{|}~"
 
 
@@ -108,67 +111,96 @@ def _tokenise(path: str):
 class Plan:
     """Where the slots of each queue go. sizes: tokens of each queue; shares: its target share."""
 
-    def __init__(self, sizes: list[int], shares: list[float], slot: int = SLOT, length: int = LENGTH, period: int = PERIOD):
-        per, n = length // slot, len(sizes)
-        left, share = np.array([x // slot for x in sizes], np.int64), np.array(shares, float)
-        taken, deficit, at, m = np.zeros(n, np.int64), np.zeros(n), 0, period
-        self.slot, self.length, self.phases = slot, length, [[] for _ in sizes]
-        while True:
-            live = np.where(left > 0, share, 0.0)
-            if not live.any():
-                break
-            live /= live.sum()
-            want = np.maximum(m * live + np.where(left > 0, deficit, 0), 0) * (live > 0)
-            want *= m / want.sum()
-            take = np.floor(want).astype(np.int64)
-            short = m - int(take.sum())
-            take[np.argsort(take - want, kind="stable")[:short]] += 1
-            runs = int((left[take > 0] // take[take > 0]).min())
-            if not runs and m > per:
-                m //= 2
-                continue
-            if not runs:  # less than a window's share: to the tail
-                left[(take > 0) & (left < take)] = 0
-                m = period
-                continue
-            order = self._serve(take, m).reshape(-1, per)
-            order = np.sort(order, axis=1).ravel()  # slots of one source side by side
-            for s in np.flatnonzero(take):
-                self.phases[s].append((int(taken[s]), int(take[s]), at, m, np.flatnonzero(order == s)))
-            taken += take * runs
-            left -= take * runs
-            deficit += runs * (m * live - take)
-            at += runs * m
-        self.end = taken  # slots of each queue that phases serve
-        rest = np.array(sizes, np.int64) - taken * slot
-        self.tail = at * slot + np.concatenate([[0], np.cumsum(rest)[:-1]])
-
-    @staticmethod
-    def _serve(take: np.ndarray, m: int) -> np.ndarray:
-        owed, order = np.zeros(len(take), np.int64), np.empty(m, np.int64)
-        for i in range(m):
-            owed += take
-            order[i] = s = owed.argmax()
-            owed[s] -= m
-        return order
+    def __init__(self, sizes: Sequence[int], shares: Sequence[float], slot: int = SLOT, length: int = LENGTH, windows: int = ROUND):
+        size, share = np.array(sizes, np.int64), np.maximum(np.array(shares, float), 0)
+        self.slot, self.length, self.per, self.round = slot, length, length // slot, windows * (length // slot)
+        self.slots = np.where(share > 0, size // slot, 0)
+        rate = np.where(self.slots > 0, share, 0.0)
+        self.rate = np.maximum(rate / max(rate.sum(), 1e-300), self.slots / MOST_TIME)
+        # queues of equal shares aren't all owed a whole slot at the same time
+        self.start = np.arange(len(size)) * GOLDEN % 1.0
+        # when queues run dry, and how many slots are paid by then: between two such times they are paid evenly
+        dry = np.sort(np.concatenate([[0.0], self.slots[self.rate > 0] / self.rate[self.rate > 0]]))
+        order = np.argsort(self.slots[self.rate > 0] / self.rate[self.rate > 0], kind="stable")
+        gone, left = np.cumsum(self.slots[self.rate > 0][order]), self.rate.sum() - np.cumsum(self.rate[self.rate > 0][order])
+        self.dry, self.dry_paid = dry, np.concatenate([[0.0], np.maximum.accumulate(gone + np.maximum(left, 0) * dry[1:])])
+        self.rounds = int(self.dry_paid[-1] // self.round) + 2
+        self.slots = self.until(np.array([self.rounds]))[0]
+        rest = size - self.slots * slot
+        self.tail = self.slots.sum() * slot + np.cumsum(rest) - rest
+
+    def due(self, k: np.ndarray, s: int | slice | np.ndarray = slice(None)) -> np.ndarray:
+        """When the deficit of a queue comes to a whole slot for the time k, from 0."""
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return (k + 1 - self.start[s]) / self.rate[s]
+
+    def end(self, rounds: np.ndarray) -> np.ndarray:
+        """When the first rounds end."""
+        return np.where(rounds < self.rounds, np.interp(rounds * float(self.round), self.dry_paid, self.dry), np.inf)
+
+    def until(self, rounds: np.ndarray) -> np.ndarray:
+        """Slots of each queue (columns) in the first rounds: those that are due, up to a whole window."""
+        time = np.minimum(self.end(rounds), 2 * self.dry[-1] + 1 / self.rate[self.rate > 0].min(initial=1.0))[:, None]
+        n = np.floor(time * self.rate + self.start)
+        for _ in range(2):  # rounding
+            n -= self.due(n - 1) > time
+            n += self.due(n) <= time
+        n = np.clip(n, 0, self.slots).astype(np.int64)
+        over = n.sum(axis=1) % self.per
+        last = np.where(n > 0, self.due(n - 1), -1.0)
+        for i in range(over.max(initial=0)):
+            rows = np.flatnonzero(over > i)
+            s = last[rows].argmax(axis=1)
+            n[rows, s] -= 1
+            last[rows, s] = np.where(n[rows, s] > 0, self.due(n[rows, s] - 1, s), -1.0)
+        return n
 
     def place(self, s: int, k: np.ndarray) -> np.ndarray:
-        """Slots among all windows of the slots k of queue s; k < end[s]."""
-        out, phases = np.zeros(len(k), np.int64), self.phases[s]
-        which = np.searchsorted([p[0] for p in phases], k, "right") - 1
-        for j in np.unique(which):
-            first, take, at, m, spots = phases[j]
-            r = k[which == j] - first
-            out[which == j] = at + r // take * m + spots[r % take]
+        """Slots among all windows of the slots k of queue s; k < slots[s]."""
+        due, out, step = self.due(k, s), np.zeros(len(k), np.int64), max(1, (1 << 20) // len(self.slots))
+        of = np.ceil(np.interp(due, self.dry, self.dry_paid) / self.round).astype(np.int64)
+        of -= due <= self.end(of - 1)
+        of += due > self.end(of)
+        rows = np.arange(len(k))
+        while len(rows):
+            rounds, which = np.unique(of[rows], return_inverse=True)
+            order = np.argsort(which, kind="stable")
+            ends = np.searchsorted(which[order], np.arange(len(rounds) + 1))
+            for i in range(0, len(rounds), step):
+                old, new = self.until(rounds[i : i + step] - 1), self.until(rounds[i : i + step])
+                first, windows = old.sum(axis=1), (new - old).sum(axis=1) // self.per
+                base = (new - old) // np.maximum(windows, 1)[:, None]
+                extra = new - old - base * windows[:, None]
+                ahead, spare = base[:, :s].sum(axis=1), extra[:, :s].sum(axis=1)
+                for j in range(len(old)):
+                    own = rows[order[ends[i + j] : ends[i + j + 1]]]
+                    of[own] += k[own] >= new[j, s]  # beyond the last whole window: in the next round
+                    own = own[k[own] < new[j, s]]
+                    if len(own):
+                        out[own] = first[j] + self._spots(k[own] - old[j, s], int(windows[j]), int(base[j, s]), int(extra[j, s]), int(ahead[j]), int(spare[j]))
+                        of[own] = -1
+            rows = rows[of[rows] >= 0]
         return out
 
+    def _spots(self, k: np.ndarray, windows: int, base: int, extra: int, ahead: int, spare: int) -> np.ndarray:
+        """Places in a round of the slots k of a queue: base in each window and one more in `extra` windows, after those that went to the queues before it."""
+        stride = max(1, int(windows * GOLDEN))
+        while gcd(stride, windows) > 1:
+            stride += 1
+        n = np.full(windows, base)
+        n[(spare + np.arange(extra)) % windows * stride % windows] += 1
+        upto = np.cumsum(n)
+        w = np.searchsorted(upto, k, "right")
+        earlier = spare // windows + (w * pow(stride, -1, windows) % windows < spare % windows)
+        return w * self.per + ahead + earlier + k - (upto - n)[w]
+
     def cut(self, s: int, a: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
         """doc, start, length, place: the pieces of documents at a, of n tokens, in queue s."""
         k0, k1 = a // self.slot, (a + n - 1) // self.slot
         doc = np.repeat(np.arange(len(a)), k1 - k0 + 1)
         k = np.arange(len(doc)) - np.repeat(np.cumsum(k1 - k0 + 1) - (k1 - k0 + 1), k1 - k0 + 1) + k0[doc]
         x0, x1 = np.maximum(a[doc], k * self.slot), np.minimum((a + n)[doc], (k + 1) * self.slot)
-        g, late = self.tail[s] + x0 - self.end[s] * self.slot, k >= self.end[s]
+        g, late = self.tail[s] + x0 - self.slots[s] * self.slot, k >= self.slots[s]
         if not late.all():
             g[~late] = self.place(s, k[~late]) * self.slot + (x0 - k * self.slot)[~late]
         # pieces of the tail may cross into the next window
@@ -191,12 +223,11 @@ class Plan:
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string"
 
 
-def _pieces(plan: Plan, queue: dict[str, int]):
+def _pieces(plan: Plan):
     def run(batches):
         for batch in batches:
             ids, doc_id, source = batch.column("ids"), batch.column("doc_id").to_pylist(), batch.column("source").to_pylist()
-            a, n = batch.column("at").to_numpy(), batch.column("n").to_numpy()
-            s, out = np.array([queue[x] for x in source]), []
+            a, n, s, out = batch.column("at").to_numpy(), batch.column("n").to_numpy(), batch.column("queue").to_numpy(), []
             for q in np.unique(s):
                 rows = np.flatnonzero(s == q)
                 doc, start, size, g = plan.cut(q, a[rows], n[rows])
@@ -220,25 +251,33 @@ def _pieces(plan: Plan, queue: dict[str, int]):
     return run
 
 
-def pack(docs: DataFrame, targets: Mapping[str, float] | None = None, tokenizer: str | None = None) -> DataFrame:
-    """One row per piece. targets: share of each source, by default its share of all tokens; tokenizer: path of its file, of at most 65,536 ids."""
+def pack(docs: DataFrame, targets: Mapping[str, float] | None = None, tokenizer: str | None = None, temper: float = 1.0, queues: int = QUEUES) -> DataFrame:
+    """One row per piece.
+
+    targets: share of each source, by default its tokens to the power temper, so that below 1 rare sources come
+    early and often; tokenizer: path of its file, of at most 65,536 ids; queues: sources with a queue of their own.
+    """
     if tokenizer is None:
         import public_tokenizers
 
         tokenizer = public_tokenizers.path(TOKENIZER)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), F.col("text").cast("string").alias("text"))
     ids = materialize(rows.mapInArrow(_tokenise(tokenizer), "doc_id long, source string, part int, at long, n long, ids binary"), "ids")
-    sums = ids.groupBy("source", "part").agg(F.sum("n").alias("n"))
-    before = F.sum("n").over(Window.partitionBy("source").orderBy("part")) - F.col("n")
-    sums = materialize(sums.select("source", "part", "n", before.alias("before")), "parts")
-    sizes = sums.groupBy("source").agg(F.sum("n").alias("n")).orderBy("source").limit(MAX_SOURCES + 1).collect()
-    if len(sizes) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources: group them into fewer queues")
-    names, tokens = [r[0] for r in sizes], [r[1] for r in sizes]
-    plan = Plan(tokens, [float(targets.get(x, 0.0)) for x in names] if targets else [float(x) for x in tokens])
-    placed = ids.join(sums.select("source", "part", "before"), ["source", "part"])
-    placed = placed.select("doc_id", "source", (F.col("at") + F.col("before")).alias("at"), "n", "ids")
-    return placed.mapInArrow(_pieces(plan, {x: i for i, x in enumerate(names)}), PIECES)
+    sums = materialize(ids.groupBy("source", "part").agg(F.sum("n").alias("n")), "parts")
+    own = sums.groupBy("source").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "source").limit(queues).collect()
+    names, tokens = [r[0] for r in own], [r[1] for r in own]
+    rest = (sums.agg(F.sum("n")).first()[0] or 0) - sum(tokens)
+    shares = [float(targets.get(x, 0.0)) for x in names] if targets else [float(x) ** temper for x in tokens]
+    if rest:  # one queue for all other sources
+        shares.append(sum(map(float, targets.values())) - sum(shares) if targets else float(rest) ** temper)
+        tokens.append(rest)
+    queue = F.broadcast(docs.sparkSession.createDataFrame(list(zip(names, range(len(names)), strict=True)), "source string, queue int"))
+    sums = sums.join(queue, "source", "left").withColumn("queue", F.coalesce("queue", F.lit(len(names))))
+    before = F.sum("n").over(Window.partitionBy("queue").orderBy("part", "source")) - F.col("n")
+    sums = materialize(sums.select("source", "part", "queue", before.alias("before")), "before")
+    placed = ids.join(sums, ["source", "part"])
+    placed = placed.select("doc_id", "source", "queue", (F.col("at") + F.col("before")).alias("at"), "n", "ids")
+    return placed.mapInArrow(_pieces(Plan(tokens, shares)), PIECES)
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
