@@ -8,7 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType
 
@@ -125,7 +125,7 @@ def strip_punctuation(text: Column) -> Column:
 
 
 def fold(text: Column, compose: bool = True) -> Column:
-    """For matching: normalised, ASCII digits, no punctuation or abbreviation marks, lower case."""
+    """Two spellings that differ only in case, script of digits, spacing or punctuation give one text."""
     return F.lower(_collapse(F.translate(strip_punctuation(normalize_digits(normalize(text, compose))), MARKS, " " * len(MARKS))))
 
 
@@ -303,3 +303,23 @@ def ramp(value: Column, low: float, high: float, steps: int) -> Column:
     """Index of a colour on a ramp, from 0; values beyond its ends take the end."""
     at = F.floor((value - low) * steps / (high - low))
     return F.least(F.greatest(at, F.lit(0)), F.lit(steps - 1)).cast("int")
+
+
+@F.pandas_udf(StringType())
+def _latin(plain: pd.Series) -> pd.Series:
+    """to_latin() of normalised text, for SQL."""
+    signs = frozenset(VOWEL_SIGNS + VIRAMA + NUKTA)
+
+    def letters(t: str) -> str:
+        if not any("\u0900" <= c <= "\u097f" for c in t):
+            return t.lower()
+        found = (LATIN.get(c, c if c.isascii() else "") + ("a" if c in CONSONANTS and n not in signs else "") for c, n in zip(t, t[1:] + " ", strict=True))
+        return " ".join("".join(found).split()).lower()
+
+    return plain.map(lambda t: letters(" ".join(unicodedata.normalize("NFC", t or "").replace("\u00a0", " ").translate({ord(z): None for z in ZERO_WIDTH}).split())))
+
+
+def register(spark: SparkSession) -> None:
+    """Install jaro_winkler(a, b), simhash64(text) and to_latin(text) as SQL functions; simhash64 takes folded text."""
+    for name, f in {"jaro_winkler": similarity, "simhash64": simhash, "to_latin": _latin}.items():
+        spark.udf.register(name, f)

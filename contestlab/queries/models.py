@@ -51,7 +51,7 @@ def xwalk_lineage(spark, sf_dir):
 def _applied(part: str):
     def query(spark, sf_dir):
         forward, relations, anchors = _relations(spark, sf_dir)
-        units = anchors.select("group_id", "station", F.concat("group_id", F.lit("-B"), F.lpad(F.col("station").cast("string"), 4, "0")).alias("unit_uid"))
+        units = anchors.select("group_id", "station", X.unit_uid(F.col("group_id"), F.col("station")).alias("unit_uid"))
         return X.apply_matches(forward, relations, units)[part]
 
     return query
@@ -96,13 +96,26 @@ def community_shares(spark, sf_dir):
     return _shares(spark, sf_dir).select("unit_id", "community", F.round("est_pct", 6).alias("est_pct"), "confidence", "share_a", "share_b")
 
 
+def surnames(spark, sf_dir, text: str = "h"):
+    """The dictionary's names that hold a text, with their community: a page of an editor, 500 rows at most."""
+    communities = spark.createDataFrame(COMMUNITIES, "community string, category string, is_other boolean")
+    found = dictionary(spark).join(communities, "community").filter(F.col("surname").ilike(f"%{text}%"))
+    return found.select("surname", "community", "category", "weight").orderBy("surname", "community").limit(500)
+
+
 def associations(spark, sf_dir, least: int = 4):
-    """Ecological correlation and line of community share and vote share; nothing about anyone's vote."""
+    """Ecological correlation and line of community share and vote share; nothing about anyone's vote. least: 30 for real units; here areas are few."""
     x, a, b = F.col("est_pct"), F.col("share_a"), F.col("share_b")
     rows = _shares(spark, sf_dir).filter("share_a is not null").groupBy("community").agg(F.count(F.lit(1)).alias("units"), M.correlation(x, a, least).alias("r_a"), M.correlation(x, b, least).alias("r_b"), F.when(F.count(x) >= least, F.regr_slope(a, x)).alias("slope"), F.when(F.count(x) >= least, F.regr_intercept(a, x)).alias("intercept"))
     return rows.filter(F.col("units") >= least).select("community", "units", *(F.round(c, 6).alias(c) for c in ("r_a", "r_b", "slope", "intercept")))
 
 
+def strongest_associations(spark, sf_dir):
+    """Communities by the strength of their association with the first party."""
+    rows = associations(spark, sf_dir).select("community", F.round("r_a", 3).alias("r_a"), F.round("r_b", 3).alias("r_b"), "units")
+    return rows.orderBy(F.desc(F.abs(F.coalesce("r_a", F.lit(0.0)))), "community")
+
+
 SHIFT = S.Scenario(contest=PAIR, transfer=S.one_way(PARTIES[2], PARTIES[1], 0.6, PARTIES[0]), alliance={PARTIES[1]: "rest", PARTIES[3]: "rest"}, turnout=0.95, sympathy=0.1, draws=200)
 
 
@@ -145,6 +158,8 @@ QUERIES = {
     "blend_booth": blend_booth,
     "q_community": community_shares,
     "q_community_correlation": associations,
+    "q_surnames": surnames,
+    "crib_6": strongest_associations,
     "scen_project": scen_project,
     "scen_monte_carlo": _scenario(S.band),
     "topk_variance": _scenario(S.most_variable),
@@ -167,9 +182,9 @@ forward AS (FROM both_ways WHERE station % 2 = 1),
 near AS (SELECT *, count(*) OVER (PARTITION BY group_id, anchor) AS n FROM both_ways WHERE anchor IS NOT NULL AND score >= 0.75),
 lineage AS (SELECT group_id, station, anchor, 'merge' AS kind, 1.0::DOUBLE AS weight FROM near WHERE n > 1 AND station % 2 = 1
   UNION ALL SELECT group_id, anchor, station, 'split', floor(1.0::DOUBLE / n * 10000.0::DOUBLE + 0.5::DOUBLE) / 10000.0::DOUBLE FROM near WHERE n > 1 AND station % 2 = 0),
-minted AS (SELECT f.group_id, f.station, f.group_id || '-B' || CASE WHEN m + i < 10000 THEN lpad(CAST(m + i AS VARCHAR), 4, '0') ELSE CAST(m + i AS VARCHAR)[1:4] END AS unit_uid
+minted AS (SELECT f.group_id, f.station, f.group_id || '-B' || repeat('0', 4 - len(CAST(m + i AS VARCHAR))) || CAST(m + i AS VARCHAR) AS unit_uid
   FROM (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY station) AS i FROM forward WHERE method = 'new') f LEFT JOIN (SELECT group_id, max(station) AS m FROM s WHERE station % 2 = 0 GROUP BY 1) USING (group_id)),
-applied AS (SELECT f.*, coalesce(CASE WHEN f.anchor IS NOT NULL THEN f.group_id || '-B' || lpad(CAST(f.anchor AS VARCHAR), 4, '0') END, m.unit_uid) AS unit_uid, EXISTS (FROM lineage l WHERE l.group_id = f.group_id AND l.anchor = f.anchor) AS related
+applied AS (SELECT f.*, coalesce(CASE WHEN f.anchor IS NOT NULL THEN f.group_id || '-B' || repeat('0', 4 - len(CAST(f.anchor AS VARCHAR))) || CAST(f.anchor AS VARCHAR) END, m.unit_uid) AS unit_uid, EXISTS (FROM lineage l WHERE l.group_id = f.group_id AND l.anchor = f.anchor) AS related
   FROM forward f LEFT JOIN minted m USING (group_id, station))"""
 _HIST = """h AS (SELECT c_nationkey AS unit_id, o_orderpriority AS surname, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2),
 d(surname, community, weight) AS (VALUES ('1-URGENT', 'AUTOMOBILE', 1.0::DOUBLE), ('2-HIGH', 'BUILDING', 0.75::DOUBLE), ('2-HIGH', 'HOUSEHOLD', 0.25::DOUBLE), ('3-MEDIUM', 'FURNITURE', 1.0::DOUBLE), ('4-NOT SPECIFIED', 'HOUSEHOLD', 0.5::DOUBLE)),
@@ -179,6 +194,7 @@ quality AS (SELECT unit_id, CAST(sum(n) AS BIGINT) AS matched, sum(n * sure) AS
 _MOVES = f"""(VALUES ('{PARTIES[0]}', '{PARTIES[0]}', 1.0::DOUBLE), ('{PARTIES[1]}', '{PARTIES[1]}', 0.9::DOUBLE), ('{PARTIES[1]}', '{PARTIES[0]}', 0.1::DOUBLE), ('{PARTIES[2]}', '{PARTIES[1]}', 0.6::DOUBLE), ('{PARTIES[2]}', '{PARTIES[0]}', 0.4::DOUBLE),
   ('{PARTIES[3]}', '{PARTIES[3]}', 1.0::DOUBLE), ('IND', 'IND', 1.0::DOUBLE), ('NOTA', 'NOTA', 1.0::DOUBLE)) m(src, party, share)"""
 SQL = {
+    "q_surnames": f"""WITH {_HIST} SELECT surname, community, category, weight FROM d JOIN (VALUES {", ".join(f"('{c}', '{k}')" for c, k, _ in COMMUNITIES)}) c(community, category) USING (community) WHERE surname ILIKE '%h%' ORDER BY 1, 2 LIMIT 500""",
     "xwalk_score": f"WITH {_PAIRS} SELECT group_id, station, anchor, score, capped FROM pairs WHERE station % 2 = 1",
     "xwalk_match": f"WITH {_PAIRS} SELECT * FROM forward",
     "xwalk_splits": f"WITH {_PAIRS} SELECT * FROM lineage",

@@ -7,13 +7,23 @@ from pyspark.sql import functions as F
 
 from contestlab.functions import text as T
 
-#: Personal lookups that aren't answered. Fixed values.
+#: Personal lookups that aren't answered. Fixed values, on lower-cased text.
 BLOCKED = (
     r"\b[a-z]{3}\d{7}\b",
+    r"\b[a-z]{2}/\d{2}/\d{3}/\d{6}\b",
     r"\bepic\b",
+    r"वोटर\s*आईडी",
+    r"मतदाता\s*पहचान",
+    r"(?:is|was)\s+(?:\w+\s+){1,4}(?:on|in)\s+the\s+(?:voter|electoral)\s+(?:roll|list)",
+    r"(?:voter|elector)\s+(?:named|called)\s+\w+",
     r"\b(?:phone|mobile|contact)\s*(?:number|no)\b",
     r"\b(?:home|house|residential)\s*address\b",
+    r"मकान\s*(?:संख्या|नंबर)",
+    r"(?:किस|कौन)\s*(?:व्यक्ति|आदमी|शख्स)\s*(?:की|का)\s*जाति",
+    r"\bcaste\s+of\s+(?:mr|mrs|ms|shri|smt)\b",
+    r"(?:what|which)\s+caste\s+is\s+\w+",
     r"(?:list|export|download|give me)\s+(?:all\s+)?(?:the\s+)?voters?\b",
+    r"(?:मतदाता|वोटर)\s*(?:सूची|लिस्ट)\s*(?:दो|दीजिए|निकालो|भेजो)",
 )
 BOX = (23.9, 24.8, 85.8, 86.6)
 KINDS = ("Primary School", "Govt. High School", "Community Hall", "Health Centre", "Panchayat Bhawan")
@@ -38,7 +48,7 @@ def _building():
 
 
 def near_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Similar part names: only names whose sorted letters share a first and last word are compared."""
+    """Similarity of part names that share their first word."""
     names = read(spark, sf_dir, "part").select("p_name").distinct()
     a, b = names.select(F.col("p_name").alias("a"), F.split("p_name", " ")[0].alias("w")), names.select(F.col("p_name").alias("b"), F.split("p_name", " ")[0].alias("w"))
     pairs = a.join(b, "w").filter("a < b")

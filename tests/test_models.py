@@ -189,3 +189,25 @@ def test_blend(spark):
     assert rows[1, "x"][1] == round(0.6 * 0.8 + 0.2 * 0.25 + 0.2 * 0.5, 3)
     assert rows[2, "x"] == (75.0, 0.9) and (2, blend.UNMATCHED) not in rows
     assert rows[3, "other"][0] == 6.0 and rows[3, "y"][0] == 34.0 and rows[3, blend.UNMATCHED][0] == 60.0
+
+
+def test_numbers_of_new_stations_are_never_cut(spark):
+    new = spark.createDataFrame([(1, i) for i in range(9)] + [(2, 1)], "group_id int, station int")
+    taken = spark.createDataFrame([(1, "1-B9996"), (1, "1-B0003"), (2, "2-B123456")], "group_id int, unit_uid string")
+    got = [r.unit_uid for r in match.mint_ids(new, taken).orderBy("group_id", "station").collect()]
+    assert got == ["1-B9997", "1-B9998", "1-B9999", "1-B10000", "1-B10001", "1-B10002", "1-B10003", "1-B10004", "1-B10005", "2-B123457"] and len(set(got)) == 10
+
+
+def test_new_areas_need_a_block(spark):
+    names = spark.createDataFrame([("Ward 7", 1), ("WARD-8", 2), ("ward 8", 1), ("nowhere", None), ("", 3), ("Zeta", 5)], "name string, block_id int")
+    areas = spark.createDataFrame([("ward 7", 70)], "alias string, area_id int")
+    assert found(match.new_areas(names, areas)) == [(71, 1, "ward 8", "ward 8"), (72, 5, "Zeta", "zeta")]
+
+
+def test_text_functions_in_sql(spark):
+    T.register(spark)
+    texts = ["महतो", "प्रा०वि० चतरो", "Zoë  Ltd.", None, "क़लम a"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    df.createOrReplaceTempView("some_texts")
+    rows = spark.sql("SELECT to_latin(t) AS a, simhash64(t) AS h, round(jaro_winkler('martha', 'marhta'), 4) AS j FROM some_texts").collect()
+    assert [r.a for r in rows] == [r[0] for r in df.select(T.to_latin(F.col("t"))).collect()] and rows[3].h == 0 and rows[0].j == 0.9611
