@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("derived", "results", "texts", "models", "ops", "scalars", "relational")
+MODULES = ("derived", "results", "texts", "models", "ops", "scalars", "relational", "intake")
 
 
 def _merged(name: str) -> dict:

@@ -49,5 +49,5 @@ def test_snapshots_retention_late_and_merge(spark, tmp_path):
     assert jobs.retained(t, "t", 5, "2024-01-10").count() == 1
     assert sorted(tuple(r)[1:] for r in jobs.late_rows(t, "t", "a", "1 day").collect()) == [(1, 0), (1, 1)]
     for _ in range(2):
-        jobs.merge_into(changes, str(tmp_path / "m"), str(tmp_path / "mc"), ["unit_id"], "day").awaitTermination(120)
+        jobs.merge_into(changes, str(tmp_path / "m"), str(tmp_path / "mc")).awaitTermination(120)
     assert sorted(map(tuple, jobs.latest(spark, str(tmp_path / "m"), ["unit_id"], "day").collect())) == [(1, d + "5", 1), (2, d + "5", 1)]
