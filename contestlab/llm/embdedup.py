@@ -1,15 +1,19 @@
 """Near-duplicate embeddings by sign hashing with exact verification.
 
-Rows with equal label and equal vector are one class. Each class is hashed into TABLES tables; in each, the
-signs against PLANES random hyperplanes are the bucket. Two vectors with cosine 0.98 fall on the same side of
-a plane with probability 1 - acos(0.98) / pi = 0.936, so all 12 planes of one of 20 tables agree with
-probability 1 - (1 - 0.936**12)**20 > 0.99999. Inside a bucket cosines are computed in double precision, and a
-pair counts in the first table in which it meets, so link counts are exact for what is found.
-
-A bucket is cut into blocks of BLOCK vectors; each pair of blocks is one group of bounded size. A group
-returns counts of links and, for its own links, a star for each of its components: never the pairs. The stars
-meet in distributed connected components. A bucket that holds a third of all rows is so many groups of one
-size; work in it grows with its pairs, which have to be verified, but what is shuffled and written doesn't.
+Rows with equal label and equal vector are one class. Each class is hashed into several tables; in each, the signs
+against random hyperplanes are the bucket. The planes grow with the logarithm of the largest label's classes, so that
+vectors that aren't near seldom share a bucket at any size. Two vectors with cosine 0.98 fall on the same side of
+a plane with probability 1 - acos(0.98) / pi = 0.936; there are as many tables as make the probability that all
+planes of one of them agree at least 1 - MISS: 25 tables of 15 planes for 5,000 classes, 36 of 20 for 200,000. Inside a
+bucket cosines are computed in double precision, and a pair counts in the first table in which it meets, so link
+counts are exact for what is found.
+
+Buckets are found and counted by keys alone; a vector is sent only to those of its buckets that hold another one,
+once each. A bucket of more than BLOCK vectors is cut into blocks, each pair of blocks is one group of bounded
+size, and a vector is sent once for each block: such a bucket is mostly true near vectors, whose links have to be counted, and
+that work grows with their pairs. Vectors that share a bucket of the first table aren't compared again in later
+ones where they fill whole chunks. A task reads its groups as a stream, sorted by group, and gives counts of links
+and, for its own links, a star for each of their components: never the pairs. The stars meet in distributed connected components.
 
 Defined cases: a vector that is null, empty, zero or holds null or non-finite components, or whose label or id
 is null, links with nothing: 0 links, itself its component (null for a null id), kept. Vectors of different
@@ -18,6 +22,8 @@ length don't link. Repeated rows link with each other. An empty table gives an e
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -25,99 +31,130 @@ from pyspark.sql import functions as F
 
 from .common import materialize, table
 from .graph import connected_components
-from .vectors import matrix, usable
+from .vectors import by_length, usable
+
+COSINE, MISS, BLOCK, SMALL, SEED = 0.98, 1e-5, 1024, 32, 11
 
-COSINE, PLANES, TABLES, BLOCK, SEED = 0.98, 12, 20, 2048, 11
 
+def tables_for(planes: int, cosine: float = COSINE, miss: float = MISS) -> int:
+    """Tables that leave a pair of that cosine apart with probability miss at most."""
+    return max(1, math.ceil(math.log(miss) / math.log1p(-((1 - math.acos(min(1.0, cosine)) / math.pi) ** planes) + 1e-300)))
 
-def _buckets(planes: int, tables: int):
+
+def _hash(planes: int, tables: int):
     def run(batches):
         for batch in batches:
-            for i in range(0, batch.num_rows, 1024):
-                piece = batch.slice(i, 1024)
-                x, n = matrix(piece.column("embedding")), piece.num_rows
+            keys = np.zeros((batch.num_rows, tables), np.int32)
+            for rows, x in by_length(batch.column("embedding")):
                 normals = np.random.default_rng([SEED, x.shape[1]]).normal(size=(x.shape[1], tables * planes))
-                bits = (x @ normals > 0).reshape(n, tables, planes)
-                keys = bits @ (1 << np.arange(planes))
-                row = np.repeat(np.arange(n), tables)
-                whole = pa.array([k.tobytes() for k in keys.astype("<i4")], pa.binary())
-                some = piece.take(pa.array(row))
-                yield pa.RecordBatch.from_arrays(
-                    [some.column("cid"), some.column("label"), some.column("copies"), some.column("embedding"), pa.array(np.tile(np.arange(tables, dtype=np.int32), n)), pa.array(keys.ravel().astype(np.int32)), whole.take(pa.array(row))],
-                    ["cid", "label", "copies", "embedding", "t", "key", "keys"],
-                )
+                for i in range(0, len(rows), 1024):
+                    keys[rows[i : i + 1024]] = (x[i : i + 1024] @ normals > 0).reshape(-1, tables, planes) @ (1 << np.arange(planes, dtype=np.int32))
+            lists = pa.FixedSizeListArray.from_arrays(pa.array(keys.ravel()), tables).cast(pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, lists], [*batch.schema.names, "keys"])
 
     return run
 
 
+def _pairs(unit: np.ndarray, start: np.ndarray, size: np.ndarray, first_key: np.ndarray, table_no: np.ndarray, cosine: float):
+    """(i, j): rows of one group at a cosine of at least `cosine`, i < j. start, size: of each row's group; a group's rows lie side by side, sorted by first_key."""
+    n = len(unit)
+    end, small = start + size, size <= SMALL
+    for d in range(1, int(size[small].max(initial=0))):
+        i = np.flatnonzero(small & (np.arange(n) + d < end))
+        i = i[np.einsum("ij,ij->i", unit[i], unit[i + d]) >= cosine]
+        yield i, i + d
+    for s, e in {(s, e) for s, e in zip(start[~small].tolist(), end[~small].tolist(), strict=True)}:
+        for a in range(s, e, 256):
+            b, lo = min(a + 256, e), a
+            if table_no[a] and first_key[a] == first_key[b - 1]:  # met in the first table
+                lo = a + int(np.searchsorted(first_key[a:e], first_key[a], "right"))
+            i, j = np.nonzero(unit[a:b] @ unit[lo:e].T >= cosine)
+            i, j = i + a, j + lo
+            later = j > i
+            yield i[later], j[later]
+
+
 def _links(cosine: float):
-    """One pair of blocks (or one block with itself) of a bucket: cid, links, root (the least cid of its star)."""
-
-    def run(key, found):
-        found = found.sort_by("cid")
-        x, cid, block = matrix(found["embedding"].combine_chunks()), found["cid"].to_numpy(), found["block"].to_numpy()
-        keys = np.frombuffer(b"".join(found["keys"].to_pylist()), "<i4").reshape(len(cid), -1)
-        copies, t = found["copies"].to_numpy(), key[1].as_py()
-        two = key[3].as_py() != key[4].as_py()
-        unit = x / np.sqrt((x * x).sum(axis=1))[:, None]
-        links, comp, edges = np.zeros(len(cid), np.int64), np.arange(len(cid)), []
-        for a in range(0, len(cid), 256):
-            near = unit[a : a + 256] @ unit[a:].T >= cosine
-            near &= np.arange(len(cid) - a)[None, :] > np.arange(len(near))[:, None]
-            if two:
-                near &= block[a : a + 256, None] != block[None, a:]
-            i, j = np.nonzero(near)
-            i, j = i + a, j + a
-            edges.append((i, j))
-            for k in range(0, len(i), 1 << 16):
-                u, v = i[k : k + (1 << 16)], j[k : k + (1 << 16)]
-                first = (keys[u] == keys[v]).argmax(axis=1) == t
-                np.add.at(links, u[first], copies[v[first]])
-                np.add.at(links, v[first], copies[u[first]])
-        i, j = (np.concatenate(e) for e in zip(*edges, strict=True))
-        while True:  # components within the group: the least row spreads along links, by jumps
-            low = np.minimum(comp[i], comp[j])
-            new = comp.copy()
-            for end in (comp[i], comp[j], i, j):
-                np.minimum.at(new, end, low)
-            new = new[new]
-            if (new == comp).all():
+    """Groups, sorted: cid, links, root (the least cid of its star)."""
+
+    def found(rows: pa.Table) -> pa.RecordBatch:
+        group = np.stack([rows[c].to_numpy() for c in ("bucket", "b1", "b2")], axis=1)
+        new = np.flatnonzero(np.concatenate([[True], (group[1:] != group[:-1]).any(axis=1)]))
+        sizes = np.diff(np.append(new, len(group)))
+        size = np.repeat(sizes, sizes)
+        cid, block, copies, t = (rows[c].to_numpy() for c in ("cid", "block", "copies", "t"))
+        keys = rows["keys"].combine_chunks().flatten().to_numpy().reshape(len(cid), -1)
+        two, links, edges = group[:, 1] != group[:, 2], np.zeros(len(cid), np.int64), []
+        for own, x in by_length(rows["embedding"].combine_chunks()):  # the rows of a group have one length
+            unit = x / np.sqrt((x * x).sum(axis=1))[:, None]
+            start = np.searchsorted(own, np.repeat(new, sizes)[own])
+            for i, j in _pairs(unit, start, size[own], keys[own, 0], t[own], cosine):
+                i, j = own[i], own[j]
+                far = ~two[i] | (block[i] != block[j])
+                i, j = i[far], j[far]
+                edges.append((i, j))
+                for k in range(0, len(i), 1 << 16):
+                    u, v = i[k : k + (1 << 16)], j[k : k + (1 << 16)]
+                    first = (keys[u] == keys[v]).argmax(axis=1) == t[u]
+                    np.add.at(links, u[first], copies[v[first]])
+                    np.add.at(links, v[first], copies[u[first]])
+        comp = np.arange(len(cid))
+        i, j = (np.concatenate(e) for e in zip(*edges, strict=True)) if edges else (comp[:0], comp[:0])
+        while True:  # components: the least row spreads along links, by jumps
+            low, before = np.minimum(comp[i], comp[j]), comp
+            comp = comp.copy()
+            for end in (before[i], before[j], i, j):
+                np.minimum.at(comp, end, low)
+            comp = comp[comp]
+            if (comp == before).all():
                 break
-            comp = new
         told = (links > 0) | (comp != np.arange(len(comp)))
-        return pa.table({"cid": cid[told], "links": links[told], "root": cid[comp][told]})
+        return pa.RecordBatch.from_arrays([pa.array(cid[told]), pa.array(links[told]), pa.array(cid[comp][told])], ["cid", "links", "root"])
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = pa.Table.from_batches([batch])
+            held = rows if held is None else pa.concat_tables([held, rows])
+            last = [held[c][-1] for c in ("bucket", "b1", "b2")]
+            # the last group may go on in the next batch
+            same = np.all([held[c].to_numpy() == x.as_py() for c, x in zip(("bucket", "b1", "b2"), last, strict=True)], axis=0)
+            cut = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
+            if cut:
+                yield found(held.slice(0, cut))
+                held = held.slice(cut)
+        if held is not None:
+            yield found(held)
 
     return run
 
 
-def near_duplicates(vectors: DataFrame, cosine: float = COSINE, planes: int = PLANES, tables: int = TABLES, block: int = BLOCK) -> DataFrame:
-    """vec_id, n_links, component_id, kept for each row of vectors (vec_id, embedding, label)."""
+def near_duplicates(vectors: DataFrame, cosine: float = COSINE, planes: int | None = None, tables: int | None = None, block: int = BLOCK) -> DataFrame:
+    """vec_id, n_links, component_id, kept for each row of vectors (vec_id, embedding, label). planes, tables: by default from the classes of the largest label."""
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), F.col("label").cast("string").alias("label"))
     live = usable(F.col("embedding")) & F.col("vec_id").isNotNull() & F.col("label").isNotNull()
     # + 0.0 turns -0.0 into 0.0: equal vectors have equal arrays
     good = rows.filter(live).withColumn("embedding", F.transform("embedding", lambda v: v + 0.0))
     classes = good.groupBy("label", "embedding").agg(F.min("vec_id").alias("first_id"), F.count(F.lit(1)).alias("copies"))
     classes = materialize(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
-    kinds = "cid long, label string, copies long, embedding array<double>, t int, key int, keys binary"
-    same = classes.withColumn("label", F.concat_ws(":", F.size("embedding"), "label"))
-    # batches of one length only: mapInArrow gets the rows of each length apart
-    lengths = [r[0] for r in same.select(F.size("embedding")).distinct().limit(65).collect()]
-    if len(lengths) > 64:
-        raise ValueError("vectors of more than 64 lengths")
-    parts = [same.filter(F.size("embedding") == n).select("cid", "label", "copies", "embedding").mapInArrow(_buckets(planes, tables), kinds) for n in lengths]
-    if not parts:
-        parts = [same.select("cid", "label", "copies", "embedding").limit(0).mapInArrow(_buckets(planes, tables), kinds)]
-    hashed = parts[0]
-    for p in parts[1:]:
-        hashed = hashed.unionByName(p)
+    most = classes.groupBy("label").count().agg(F.max("count")).first()[0] or 1
+    planes = planes or min(30, max(8, most.bit_length() + 2))
+    tables = tables or tables_for(planes, cosine)
+    hashed = classes.select("cid", "copies", "embedding").mapInArrow(_hash(planes, tables), "cid long, copies long, embedding array<double>, keys array<int>")
+    hashed = materialize(hashed, "hashed")
+    labels = classes.select("cid", F.concat_ws(":", F.size("embedding"), "label").alias("label"))
+    spots = hashed.select("cid", F.posexplode("keys").alias("t", "key")).join(labels, "cid")
     bucket = ["label", "t", "key"]
-    sizes = hashed.groupBy(*bucket).agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    met = hashed.join(sizes, bucket).withColumn("blocks", F.ceil(F.col("size") / block).cast("int"))
-    met = met.withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    met = met.select(*bucket, "cid", "copies", "embedding", "keys", "block", other)
-    met = met.withColumns({"b1": F.least("block", "other"), "b2": F.greatest("block", "other")}).drop("other")
-    found = materialize(met.groupBy(*bucket, "b1", "b2").applyInArrow(_links(cosine), "cid long, links long, root long"), "links")
+    buckets = spots.groupBy(*bucket).agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    buckets = materialize(buckets.select(F.monotonically_increasing_id().alias("bucket"), *bucket, F.ceil(F.col("size") / block).cast("int").alias("blocks")), "buckets")
+    met = spots.join(buckets, bucket).withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
+    met = met.select("bucket", "t", "cid", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    met = met.select("bucket", "t", "cid", "block", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2")).join(hashed, "cid")
+    group = ["bucket", "b1", "b2"]
+    met = met.repartition(*group).sortWithinPartitions(*group, F.col("keys")[0], "cid")
+    found = materialize(met.mapInArrow(_links(cosine), "cid long, links long, root long"), "links")
     counts = found.groupBy("cid").agg(F.sum("links").alias("links"))
     parts = connected_components(found.select(F.col("cid").alias("u"), F.col("root").alias("v")))
     joined = classes.select("cid", "first_id", "copies").join(parts.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))

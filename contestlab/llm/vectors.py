@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,3 +23,11 @@ def matrix(column: pa.Array) -> np.ndarray:
     return np.asarray(column.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(column), -1)
 
 
+
+
+def by_length(column: pa.Array):
+    """(rows, matrix) for the rows of each length."""
+    lengths = pc.list_value_length(column).to_numpy()
+    for n in np.unique(lengths):
+        rows = np.flatnonzero(lengths == n)
+        yield rows, matrix(column if len(rows) == len(column) else column.take(pa.array(rows)))
