@@ -1,23 +1,23 @@
 """Approximate nearest neighbours by an inverted file with product-quantised residuals.
 
-Coarse centroids (about the square root of the rows, MAX_LISTS at most) cut the vectors into lists; the residual
-to its centroid is coded in PARTS parts of one byte. Both codebooks are fitted in numpy on a bounded sample,
-SAMPLE rows at most in expectation, drawn by a hash of the id; every row is indexed. A query probes the lists of the
-largest inner products, a share PROBE of them (more while they hold few rows), and sums a table of the inner
-products of its parts with all codewords (asymmetric tables) over the codes. The best RERANK by that sum are
-ranked exactly, in double precision on the original vectors.
+Coarse centroids (the square root of the rows, MAX_LISTS at most) cut the vectors into lists; the residual
+to its centroid is coded in PARTS parts of one byte. Both codebooks are fitted in numpy on a bounded sample, SAMPLE
+rows for each list's centroid and SAMPLE * LEAST_SAMPLE at least, drawn by a hash of the id; every row is indexed. A
+query probes the share PROBE of the lists, those of the largest inner products, and more while they hold fewer than
+ten times k rows; it sums a table of the inner products of its parts with all codewords (asymmetric tables) over the codes of
+those lists alone. The best RERANK by that sum are ranked exactly, in double precision on the original vectors.
 
-Lists are dealt into shards of about SHARD rows, a list larger than that into several blocks; queries go to
-the shards that hold a list they probe, in blocks. One group is a shard with a block of queries, of bounded
-size, and returns RERANK candidates a query.
+Lists are dealt into shards of about SHARD rows, a list larger than that into several; a shard's codes are sent once,
+sorted by list, and followed by the queries that probe a list of it. A task holds one shard at a time and reads the queries as
+a stream, so its memory is bounded however many there are. Beyond MAX_LISTS squared rows lists grow longer.
 
 The test vectors have almost no cluster structure, so that many lists must be probed for a recall of 0.9; on
 clustered data PROBE can be far smaller.
 
-Defined cases: vectors that are null, empty, zero or hold null or non-finite components, that have a null id
-or another length than most take no part. Equal inner products go to the smaller id. Rows with one id count as
-one candidate, the best of them. With fewer candidates than k all are returned. Without queries or candidates
-the result is empty.
+Defined cases: vectors that are null, empty, zero or hold null or non-finite components or that have a null id
+take no part; vectors of different length aren't compared: each length has an index of its own. Equal inner products
+go to the smaller id. Rows with one id count as one candidate, the best of them. With fewer candidates than k all are
+returned. Without queries or candidates the result is empty.
 """
 
 from __future__ import annotations
@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 from .common import materialize, table
 from .vectors import matrix, usable
 
-K, EVERY, PROBE, PARTS, RERANK = 20, 20, 0.6, 32, 100
-SAMPLE, MAX_LISTS, LEAST_LISTS, SHARD, QUERIES_AT_ONCE, ROUNDS, SEED = 16_384, 1024, 32, 32_768, 16_384, 8, 5
+K, EVERY, PROBE, PARTS, RERANK = 20, 20, 0.7, 32, 100
+SAMPLE, LEAST_SAMPLE, MAX_LISTS, SHARD, ROUNDS, SEED = 16, 1024, 4096, 32_768, 8, 5
 
 
 def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
@@ -53,9 +53,9 @@ def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
 class Index:
     """The codebooks."""
 
-    def __init__(self, sample: np.ndarray, rows: int, parts: int = PARTS):
+    def __init__(self, sample: np.ndarray, lists: int, parts: int = PARTS):
         rng, x = np.random.default_rng(SEED), sample.astype(np.float32)
-        self.centres = _kmeans(x, max(1, min(int(rows**0.5), MAX_LISTS, len(x))), rng)
+        self.centres = _kmeans(x, max(1, min(lists, len(x))), rng)
         parts = max(p for p in range(1, min(parts, x.shape[1]) + 1) if x.shape[1] % p == 0)
         rest = (x - self.centres[_nearest(x, self.centres)]).reshape(len(x), parts, -1)
         self.words = np.stack([_kmeans(rest[:, p], min(256, len(x)), rng) for p in range(parts)])
@@ -70,65 +70,85 @@ class Index:
         """Which lists each query probes."""
         lists = len(self.centres)
         order = np.argsort(-(q @ self.centres.T), axis=1, kind="stable")
-        n = max(int(np.ceil(share * lists)), min(lists, LEAST_LISTS))
         enough = np.cumsum(sizes[order], axis=1) - sizes[order] < least_rows
-        take = enough | (np.arange(lists)[None] < n)
+        take = enough | (np.arange(lists)[None] < np.ceil(share * lists))
         out = np.zeros(order.shape, bool)
         np.put_along_axis(out, order, take, axis=1)
         return out
 
 
-def _best(score: np.ndarray, ids: np.ndarray, n: int) -> np.ndarray:
-    """Places of the n largest scores; ties by smaller id. ids ascend."""
-    if len(score) > n:
-        least = np.partition(score, len(score) - n)[len(score) - n]
-        above = np.flatnonzero(score > least)
-        return np.concatenate([above, np.flatnonzero(score == least)[: n - len(above)]])
-    return np.arange(len(score))
-
-
-def _scan(index: Index, sizes: np.ndarray, share: float, rerank: int):
-    def run(rows, queries):
-        none = pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "near": pa.array([], pa.float32())})
-        if not rows.num_rows or not queries.num_rows:
-            return none
-        rows = rows.sort_by("vec_id")
-        ids, cell = rows["vec_id"].to_numpy(), rows["cell"].to_numpy()
-        codes = np.frombuffer(b"".join(rows["codes"].to_pylist()), np.uint8).reshape(len(ids), -1)
-        qid, q = queries["vec_id"].to_numpy(), matrix(queries["embedding"].combine_chunks()).astype(np.float32)
-        out = [none]
-        for a in range(0, len(qid), 64):
-            some = q[a : a + 64]
-            near = (some @ index.centres.T)[:, cell]
-            for p, words in enumerate(index.words):
-                near += (some.reshape(len(some), len(index.words), -1)[:, p] @ words.T)[:, codes[:, p]]
-            open_ = index.probes(some, sizes, share, 10 * K)[:, cell]
-            for i in range(len(some)):
-                live = np.flatnonzero(open_[i] & (ids != qid[a + i]))
-                top = live[_best(near[i, live], ids[live], rerank)]
-                out.append(pa.table({"query_id": pa.array(np.full(len(top), qid[a + i])), "vec_id": pa.array(ids[top]), "near": pa.array(near[i, top])}))
-        return pa.concat_tables(out)
+class Shard:
+    """Rows of a shard, sorted by list."""
+
+    def __init__(self, index: Index, parts: list[pa.RecordBatch]):
+        rows = pa.Table.from_batches(parts)
+        self.index, self.ids, cell = index, rows["vec_id"].to_numpy(), rows["cell"].to_numpy()
+        self.codes = np.frombuffer(b"".join(rows["codes"].to_pylist()), np.uint8).reshape(len(self.ids), -1)
+        self.cells, first = np.unique(cell, return_index=True)
+        self.ends = np.append(first, len(cell))
+
+    def near(self, qid: np.ndarray, q: np.ndarray, probes: np.ndarray, best: int) -> pa.RecordBatch:
+        """query_id, vec_id, near: the best rows in the probed lists for each query."""
+        tables = np.einsum("qpd,pwd->qpw", q.reshape(len(q), len(self.index.words), -1), self.index.words)
+        score = np.full((len(q), len(self.ids)), -np.inf, np.float32)
+        for i, c in enumerate(self.cells.tolist()):
+            who = np.flatnonzero(probes[:, c])
+            if len(who):
+                a, b = self.ends[i], self.ends[i + 1]
+                found = np.repeat((q[who] @ self.index.centres[c])[:, None], b - a, axis=1)
+                for p in range(tables.shape[1]):
+                    found += tables[who, p][:, self.codes[a:b, p]]
+                score[who, a:b] = found
+        score[qid[:, None] == self.ids] = -np.inf
+        least = np.partition(score, len(self.ids) - best, axis=1)[:, len(self.ids) - best] if len(self.ids) > best else np.full(len(q), -np.inf)
+        who, top = [], []
+        for i, s in enumerate(score):
+            found = np.flatnonzero(s > least[i])
+            if least[i] > -np.inf:  # ties by smaller id
+                tied = np.flatnonzero(s == least[i])
+                found = np.concatenate([found, tied[np.argsort(self.ids[tied], kind="stable")][: best - len(found)]])
+            who.append(np.full(len(found), i))
+            top.append(found)
+        who, top = np.concatenate(who), np.concatenate(top)
+        return pa.RecordBatch.from_arrays([pa.array(qid[who]), pa.array(self.ids[top]), pa.array(score[who, top])], ["query_id", "vec_id", "near"])
+
+
+def _scan(index: Index, sizes: np.ndarray, share: float, rerank: int, least_rows: int):
+    """Rows sorted by shard: those of the shard first, sorted by list, then its queries."""
+
+    def run(batches):
+        at, parts, shard = None, [], None
+        for batch in batches:
+            number, query = batch.column("shard").to_numpy(), batch.column("codes").is_null().to_numpy(zero_copy_only=False)
+            cuts = np.flatnonzero((number[1:] != number[:-1]) | (query[1:] != query[:-1])) + 1
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
+                if a == b:
+                    continue
+                if number[a] != at:
+                    at, parts, shard = number[a], [], None
+                some = batch.slice(a, b - a)
+                if not query[a]:
+                    parts.append(some)
+                elif parts:
+                    shard = shard or Shard(index, parts)
+                    for i in range(0, some.num_rows, 64):
+                        asked = some.slice(i, 64)
+                        q = matrix(asked.column("q")).astype(np.float32)
+                        yield shard.near(asked.column("vec_id").to_numpy(), q, index.probes(q, sizes, share, least_rows), rerank)
 
     return run
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = K, share: float = PROBE, rerank: int = RERANK) -> DataFrame:
-    """query_id, rank, vec_id, score: the k rows of vectors with the largest inner product for each row of queries."""
-    spark = vectors.sparkSession
-    pick = lambda df: df.filter(usable(F.col("embedding")) & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    rows, asked = pick(vectors), pick(queries)
-    lengths = rows.groupBy(F.size("embedding").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
-    dim, n = (lengths[0], lengths[1]) if lengths else (0, 0)
-    rows, asked = rows.filter(F.size("embedding") == dim), asked.filter(F.size("embedding") == dim)
-    result = "query_id long, rank int, vec_id long, score double"
-    if not n:
-        return spark.createDataFrame([], result)
+def _search(rows: DataFrame, asked: DataFrame, n: int, k: int, share: float, rerank: int) -> DataFrame:
+    """search() for usable vectors of one length; n: how many rows."""
+    spark = rows.sparkSession
+    lists = min(int(n**0.5), MAX_LISTS)
     draw = F.xxhash64(F.col("vec_id"), F.lit("sample")).bitwiseAND(F.lit((1 << 53) - 1)) / float(1 << 53)
-    sample = rows.filter(draw < SAMPLE / n).toArrow()
+    sample = rows.filter(draw < SAMPLE * max(lists, LEAST_SAMPLE) / n).toArrow()
     if not sample.num_rows:
         sample = rows.limit(1).toArrow()
     sample = sample.sort_by("vec_id")
-    index = Index(matrix(sample["embedding"].combine_chunks()), n)
+    index = Index(matrix(sample["embedding"].combine_chunks()), lists)
     sent = spark.sparkContext.broadcast(index)
 
     def encode(batches):
@@ -147,27 +167,27 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, share: float = PR
         first.append(at)
         blocks.append(max(1, -(-size // SHARD)))
         at, room = (at + blocks[-1], 0) if size > SHARD else (at, room + size)
-    n_asked = asked.count()
-    q_blocks = max(-(-n_asked // QUERIES_AT_ONCE), min(-(-n_asked // 64), 16), 1)
-    lists = spark.createDataFrame([(i, f, b) for i, (f, b) in enumerate(zip(first, blocks, strict=True))], "cell int, first int, blocks int")
-    dealt = coded.join(F.broadcast(lists), "cell").withColumn("shard", (F.col("first") + F.pmod(F.xxhash64("vec_id"), F.col("blocks"))).cast("int"))
-    dealt = dealt.select("vec_id", "cell", "codes", "shard", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("q_block"))
+    dealing = spark.createDataFrame([(i, f, b) for i, (f, b) in enumerate(zip(first, blocks, strict=True))], "cell int, first int, blocks int")
+    dealt = coded.join(F.broadcast(dealing), "cell").withColumn("shard", (F.col("first") + F.pmod(F.xxhash64("vec_id"), F.col("blocks"))).cast("int"))
 
     def spread(batches):
         ix = sent.value
         for batch in batches:
-            probes = ix.probes(matrix(batch.column("embedding")).astype(np.float32), sizes, share, 10 * K)
-            shards = [sorted({s for c in np.flatnonzero(p) for s in range(first[c], first[c] + blocks[c])}) for p in probes]
-            row = np.repeat(np.arange(len(shards)), [len(s) for s in shards])
-            some = batch.take(pa.array(row))
-            yield pa.RecordBatch.from_arrays([some.column("vec_id"), some.column("embedding"), pa.array([x for s in shards for x in s], pa.int32())], ["vec_id", "embedding", "shard"])
-
-    sentq = asked.mapInArrow(spread, "vec_id long, embedding array<double>, shard int")
-    sentq = sentq.withColumn("q_block", F.pmod(F.xxhash64("vec_id"), F.lit(q_blocks)).cast("int"))
-    keys = ["shard", "q_block"]
-    found = dealt.groupBy(*keys).cogroup(sentq.groupBy(*keys)).applyInArrow(_scan(index, sizes, share, rerank), "query_id long, vec_id long, near float")
+            for i in range(0, batch.num_rows, 256):
+                piece = batch.slice(i, 256)
+                probes = ix.probes(matrix(piece.column("embedding")).astype(np.float32), sizes, share, 10 * k)
+                shards = [sorted({s for c in np.flatnonzero(p) for s in range(first[c], first[c] + blocks[c])}) for p in probes]
+                some = piece.take(pa.array(np.repeat(np.arange(len(shards)), [len(s) for s in shards])))
+                yield pa.RecordBatch.from_arrays([some.column("vec_id"), some.column("embedding").cast(pa.list_(pa.float32())), pa.array([x for s in shards for x in s], pa.int32())], ["vec_id", "q", "shard"])
+
+    sentq = asked.mapInArrow(spread, "vec_id long, q array<float>, shard int")
+    none = lambda kind: F.lit(None).cast(kind)
+    met = dealt.select("shard", "cell", "vec_id", "codes", none("array<float>").alias("q")).unionByName(sentq.select("shard", none("int").alias("cell"), "vec_id", none("binary").alias("codes"), "q"))
+    met = met.repartition("shard").sortWithinPartitions("shard", F.col("codes").isNull(), "cell", "vec_id")
+    found = met.mapInArrow(_scan(index, sizes, share, rerank, 10 * k), "query_id long, vec_id long, near float")
+    found = found.repartition("query_id").groupBy("query_id", "vec_id").agg(F.max("near").alias("near"))
     order = Window.partitionBy("query_id").orderBy(F.desc("near"), "vec_id")
-    best = found.distinct().withColumn("place", F.row_number().over(order)).filter(F.col("place") <= rerank).select("query_id", "vec_id")
+    best = found.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= rerank).select("query_id", "vec_id")
     exact = F.aggregate(F.zip_with("q", "embedding", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
     pairs = best.join(rows, "vec_id").join(asked.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), "query_id")
     scored = pairs.select("query_id", "vec_id", exact.alias("score")).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
@@ -175,6 +195,18 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, share: float = PR
     return ranked.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def search(vectors: DataFrame, queries: DataFrame, k: int = K, share: float = PROBE, rerank: int = RERANK) -> DataFrame:
+    """query_id, rank, vec_id, score: the k rows of vectors with the largest inner product for each row of queries."""
+    pick = lambda df: df.filter(usable(F.col("embedding")) & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    rows, asked, size = pick(vectors), pick(queries), F.size("embedding")
+    out = None
+    # one row for each length of vectors that is asked for
+    for dim, n in sorted(map(tuple, rows.groupBy(size.alias("dim")).count().join(asked.select(size.alias("dim")).distinct(), "dim").collect())):
+        found = _search(rows.filter(size == dim), asked.filter(size == dim), n, k, share, rerank)
+        out = found if out is None else out.unionByName(found)
+    return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double") if out is None else out
+
+
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
     return search(rows, rows.filter(F.col("vec_id") % EVERY == 0))

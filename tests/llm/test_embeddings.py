@@ -73,8 +73,9 @@ def test_search_recall_order_and_ties(spark):
 
 def test_search_hard_rows(spark):
     rows = [(i, [1.0, float(i)], 1) for i in range(7)] + [(3, [1.0, 3.0], 1)] + [(i, e and e[:2], b) for i, e, b in ODD]
-    df = frame(spark, [r for r in rows if r[0] not in (904, 906)])
+    df = frame(spark, [r for r in rows if r[0] not in (904, 905, 906)] + [(5, [2.0, 1.0, 1.0], 1), (90, [1.0, 1.0, 1.0], 1)])
     got = [(r.query_id, r["rank"], r.vec_id, r.score) for r in ann.search(df, df.filter("vec_id % 5 = 0")).collect()]
     assert sorted(got)[:3] == [(0, 1, 1, 1.0), (0, 2, 2, 1.0), (0, 3, 3, 1.0)]
-    assert len(got) == 12 and [g[2] for g in sorted(got) if g[0] == 5] == [6, 4, 3, 2, 1, 0]
+    assert len(got) == 14 and [g[2] for g in sorted(got) if g[0] == 5 and g[2] < 90] == [6, 4, 3, 2, 1, 0]
+    assert (5, 1, 90, 4.0) in got and (90, 1, 5, 4.0) in got  # vectors of another length among themselves
     assert ann.search(df.limit(0), df).count() == 0 == ann.search(df, df.limit(0)).count()
