@@ -4,6 +4,7 @@ Each document is cut at newlines; every three consecutive lines are one window,
 that occurs more than once in the corpus keeps its first occurrence, by (doc_id, position); the lines of all
 later occurrences are covered. Covered positions of overlapping windows merge, and the covered lines go.
 
+Each line is split and hashed once and the covered lines are cut as runs, so the work is linear in a text's lines.
 Only hashes and positions are shuffled to find the repeats; the first occurrence of each window is found by
 a pre-aggregated minimum, and the table of repeated windows is joined back without a hint, so a window that
 is in a third of the documents is split by the adaptive join.
@@ -33,27 +34,37 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     text = F.col(text_col).cast("string")
     rows = docs.filter(F.col(text_col).isNotNull()).select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("k_id"), F.xxhash64(text).alias("k_text"), _lines(text).alias("lines"))
     rows = rows.filter(F.size("lines") >= (1 if short else WINDOW))
-    joined = lambda i: F.array_join(F.slice(F.col("lines"), i + 1, WINDOW), "\n")
-    spot = lambda i: F.struct(i.alias("pos"), F.xxhash64(joined(i)).alias("h1"), F.xxhash64(F.lit(1), joined(i)).alias("h2"), joined(i).rlike(r"[^\x20\x09-\x0D]").alias("ink"))
-    spots = rows.select("k_id", "k_text", F.explode(F.transform(F.sequence(F.lit(0), F.greatest(F.size("lines") - WINDOW, F.lit(0))), spot)).alias("w"))
+    # each line is hashed once, a window is the hash of its lines' hashes; lines beyond the end of a short text are null and not hashed
+    line = lambda x: F.struct(F.xxhash64(x).alias("h1"), F.xxhash64(F.lit(1), x).alias("h2"), x.rlike(r"[^\x20\x09-\x0D]").alias("ink"))
+    of = lambda marks, i, name: [F.get(marks, i + j)[name] for j in range(WINDOW)]
+    window = lambda marks, i: F.struct(i.alias("pos"), F.xxhash64(*of(marks, i, "h1")).alias("h1"), F.xxhash64(*of(marks, i, "h2")).alias("h2"), F.coalesce(F.greatest(*of(marks, i, "ink")), F.lit(False)).alias("ink"))
+    # bound as a lambda's variable, the marks of a text are worked out once and not for each window
+    windows = F.transform(F.array(F.transform("lines", line)), lambda marks: F.transform(F.sequence(F.lit(0), F.greatest(F.size(marks) - WINDOW, F.lit(0))), lambda i: window(marks, i)))
+    spots = rows.select("k_id", "k_text", F.explode(windows[0]).alias("w"))
     spots = spots.select("k_id", "k_text", "w.*").filter("ink").drop("ink")
     place = F.struct("k_id", "k_text", "pos")
     twice = spots.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first < last").select("h1", "h2", "first")
     return spots.join(twice, ["h1", "h2"]).filter(place > F.col("first")).select("k_id", "k_text", "pos")
 
 
+def _without(lines: F.Column, cut: F.Column) -> F.Column:
+    """The lines at other positions than cut (sorted), as one text: the runs between them, each taken as a slice."""
+    from_, to = lambda x, i: F.coalesce(F.get(x["cut"], i - 1) + 1, F.lit(0)), lambda x, i: F.coalesce(F.get(x["cut"], i), F.size(x["lines"]))
+    runs = lambda x: F.transform(F.sequence(F.lit(0), F.size(x["cut"])), lambda i: F.slice(x["lines"], from_(x, i) + 1, F.greatest(to(x, i) - from_(x, i), F.lit(0))))
+    return F.array_join(F.flatten(F.transform(F.array(F.struct(lines.alias("lines"), cut.alias("cut"))), runs)[0]), "\n")
+
+
 def deduplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counts: tuple[str, str] | None = None, short: bool = False) -> DataFrame:
     """docs with the covered lines cut out of text_col; counts: names of two more columns, lines before and lines cut; short: also later copies of texts of one or two lines."""
     names, text = docs.columns, F.col(text_col).cast("string")
     covered = repeated_windows(docs, id_col, text_col, short).select("k_id", "k_text", F.explode(F.sequence(F.col("pos"), F.col("pos") + WINDOW - 1)).alias("pos"))
     # a document's own covered positions: no more than it has lines
-    covered = covered.groupBy("k_id", "k_text").agg(F.collect_set("pos").alias("cut"))
+    covered = covered.groupBy("k_id", "k_text").agg(F.array_sort(F.collect_set("pos")).alias("cut"))
     k_id, k_text, cut = (free_name(docs, x) for x in ("k_id", "k_text", "cut"))
     rows = docs.withColumns({k_id: F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)), k_text: F.xxhash64(text)})
     covered = covered.select(F.col("k_id").alias(k_id), F.col("k_text").alias(k_text), F.col("cut").alias(cut))
     rows = rows.join(covered, [k_id, k_text], "left")
-    kept = F.filter(_lines(text), lambda line, i: ~F.array_contains(F.col(cut), i))
-    out = {n: F.when(F.col(cut).isNull(), text).otherwise(F.array_join(kept, "\n")) if n == text_col else F.col(n) for n in names}
+    out = {n: F.when(F.col(cut).isNull(), text).otherwise(_without(_lines(text), F.col(cut))) if n == text_col else F.col(n) for n in names}
     if counts:
         out |= {counts[0]: F.when(text.isNull(), 0).otherwise(F.size(_lines(text))), counts[1]: F.when(F.col(cut).isNull(), 0).otherwise(F.least(F.size(cut), F.size(_lines(text))))}
     return rows.select(*(c.alias(n) for n, c in out.items()))

@@ -1,3 +1,5 @@
+import time
+
 from contestlab.llm import linededup
 from tests.llm.cases import HARD, documents
 
@@ -35,3 +37,14 @@ def test_hard_rows(spark):
     assert len(got) == len(HARD) and len(same) == 2 and all(r.text == HARD[5][1] for r in same)
     assert [r.text for r in got if r.doc_id is None and r.text is not None] == [""]
     assert linededup.deduplicate_lines(docs.limit(0)).count() == 0
+
+
+def test_work_is_linear_in_lines(spark):
+    lines = [f"line {i}" for i in range(300_000)]
+    rows = [(1, "\n".join(lines)), (2, "\n".join(["new", *lines[1000:], "last"])), (3, "\n".join(f"{x} {i % 3}" if i % 7 == 0 else x for i, x in enumerate(lines)))]
+    docs = documents(spark, [(*r, "en", "s") for r in rows])
+    began = time.monotonic()
+    got = {r.doc_id: r for r in linededup.deduplicate_lines(docs, counts=("n_lines", "n_cut")).collect()}
+    assert time.monotonic() - began < 60
+    assert got[1].n_cut == 0 and got[2].text == "new\nlast" and got[2].n_cut == 299_000
+    assert got[3].text == "\n".join(f"{x} {i % 3}" for i, x in enumerate(lines) if i % 7 == 0)
