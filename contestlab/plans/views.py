@@ -7,11 +7,12 @@ only the counts of distinct values are ordered.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import weakref
+from collections.abc import Mapping, Sequence
 from functools import cached_property
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from contestlab.functions import metrics as M
@@ -28,16 +29,19 @@ def is_not(column: str, value: str) -> Column:
     return ~F.col(column).eqNullSafe(F.lit(value))
 
 
-def percent_rank_in(df: DataFrame, base: DataFrame, group: str, value: str, out: str) -> DataFrame:
-    """df with out: the share of the other values in its group, in base, that are smaller. NULL values have none and don't count.
+def percent_ranks_in(df: DataFrame, group: str, keys: list[str], values: Mapping[str, str]) -> DataFrame:
+    """df with, for each value (its column: the new one), the share of the other values in its group that are smaller. NULL values have none and don't count.
 
-    Only the counts of distinct values go through the window.
+    All values go through one count, one window over the counts of distinct values, and one join back by keys.
     """
-    counts = base.filter(F.col(value).isNotNull()).groupBy(group, value).agg(F.count(F.lit(1)).alias("_n"))
-    order = Window.partitionBy(group).orderBy(value)
-    ranks = counts.select(group, value, (F.sum("_n").over(order) - F.col("_n")).alias("_below"), F.sum("_n").over(Window.partitionBy(group)).alias("_all"))
-    ranks = ranks.filter("_all >= 2").select(group, value, (F.col("_below") / (F.col("_all") - 1)).alias(out))
-    return df.join(ranks, [group, value], "left")
+    each = F.array(*(F.struct(F.lit(i).alias("_i"), F.col(v).cast("double").alias("_v")) for i, v in enumerate(values)))
+    rows = df.select(group, *(k for k in keys if k != group), F.explode(each).alias("_r")).select(group, *(k for k in keys if k != group), "_r.*").filter("_v is not null")
+    counts = rows.groupBy(group, "_i", "_v").agg(F.count(F.lit(1)).alias("_n"))
+    order = Window.partitionBy(group, "_i").orderBy("_v")
+    ranks = counts.select(group, "_i", "_v", (F.sum("_n").over(order) - F.col("_n")).alias("_below"), F.sum("_n").over(Window.partitionBy(group, "_i")).alias("_all"))
+    ranks = ranks.filter("_all >= 2").select(group, "_i", "_v", (F.col("_below") / (F.col("_all") - 1)).alias("_rank"))
+    found = rows.join(ranks, [group, "_i", "_v"]).groupBy(*keys).agg(*(F.max(F.when(F.col("_i") == i, F.col("_rank"))).alias(out) for i, out in enumerate(values.values())))
+    return df.join(found, keys, "left")
 
 
 def ntile_in(df: DataFrame, group: str, key: str, value: str, out: str, n: int = 4) -> DataFrame:
@@ -45,7 +49,9 @@ def ntile_in(df: DataFrame, group: str, key: str, value: str, out: str, n: int =
     counts = df.filter(F.col(value).isNotNull()).groupBy(group, value).agg(F.count(F.lit(1)).alias("_n"))
     order = Window.partitionBy(group).orderBy(F.desc(value))
     places = counts.select(group, value, (F.sum("_n").over(order) - F.col("_n")).alias("_above"), F.sum("_n").over(Window.partitionBy(group)).alias("_all"))
-    own = F.row_number().over(Window.partitionBy(group, value).orderBy(key))
+    # rows without a value need no place, and are not to meet in one task
+    apart = F.when(F.col(value).isNull(), F.pmod(F.xxhash64(key), F.lit(1 << 16)))
+    own = F.row_number().over(Window.partitionBy(group, value, apart).orderBy(key))
     q, r, place = F.floor(F.col("_all") / n), F.col("_all") % n, F.col("_above") + F.col("_own") - 1
     wide = r * (q + 1)
     tile = F.when(place < wide, F.floor(place / (q + 1)) + 1).otherwise(F.floor((place - wide) / F.greatest(q, F.lit(1))) + r + 1)
@@ -68,6 +74,19 @@ class Views:
         while self._kept:
             self._kept.pop().unpersist()
 
+    def held_by(self, df: DataFrame) -> DataFrame:
+        """df; what the views keep in the executors is let go when nobody holds df any more."""
+        weakref.finalize(df, self.release)
+        return df
+
+    @classmethod
+    def stored(cls, spark: SparkSession, path: str, data: ContestData, **options) -> Views:
+        """The views that refresh() wrote to path, as scans."""
+        views = cls(data, **options)
+        for name in ORDER:
+            views.__dict__[name] = spark.read.parquet(f"{path}/{name}")
+        return views
+
     def __getitem__(self, name: str) -> DataFrame:
         if name not in ORDER:
             raise KeyError(name)
@@ -227,14 +246,14 @@ class Views:
         w = self.roll_windows
         units = self.data.units.select("group_id", "unit_id")
         changes = self.data.roll_changes.join(units, "unit_id")
-        inside = changes.join(F.broadcast(w.select("group_id", "contest_id", "window_start", "window_end")), "group_id").filter("day > window_start and day <= window_end")
+        inside = changes.join((w.select("group_id", "contest_id", "window_start", "window_end")), "group_id").filter("day > window_start and day <= window_end")
         n = lambda c: F.sum(c).alias(c)
         inside = inside.groupBy("contest_id", "unit_id").agg(n("additions"), n("deletions"), n("modifications"))
         rolls = self.data.snapshots.select("unit_id", "day", "electors")
-        ends = rolls.join(units, "unit_id").join(F.broadcast(w.select("group_id", "contest_id", "start_roll", "end_roll")), "group_id").filter("day = end_roll or day = start_roll")
+        ends = rolls.join(units, "unit_id").join((w.select("group_id", "contest_id", "start_roll", "end_roll")), "group_id").filter("day = end_roll or day = start_roll")
         at = lambda end: F.max(F.when(F.col("day") == F.col(end), F.col("electors")))
         ends = ends.groupBy("contest_id", "unit_id").agg(at("end_roll").alias("electors"), at("start_roll").alias("electors_start"))
-        rows = units.join(F.broadcast(w.select("group_id", "contest_id", "kind", "year")), "group_id").join(inside, ["contest_id", "unit_id"], "left").join(ends, ["contest_id", "unit_id"], "left")
+        rows = units.join((w.select("group_id", "contest_id", "kind", "year")), "group_id").join(inside, ["contest_id", "unit_id"], "left").join(ends, ["contest_id", "unit_id"], "left")
         a, d = F.col("additions"), F.col("deletions")
         return rows.select("group_id", "contest_id", "unit_id", "additions", "deletions", "modifications", "electors", "electors_start", M.new_voter_pct(a, F.col("electors")).alias("new_voter_pct"), M.net_roll_change_pct(a, d, F.col("electors_start")).alias("net_roll_change_pct"))
 
@@ -245,9 +264,7 @@ class Views:
         rows = rows.join(self.new_voter_share.select("contest_id", "unit_id", "new_voter_pct", "additions"), ["contest_id", "unit_id"], "left")
         rows = rows.join(self.floating_vote.select("group_id", "year", "unit_id", "floating_pct"), ["group_id", "year", "unit_id"], "left")
         rows = rows.join(self.volatility.select("group_id", "unit_id", "margin_stddev", "years_available"), ["group_id", "unit_id"], "left")
-        base = rows = self._shared(rows)
-        for value, rank in (("margin_pct", "_far"), ("new_voter_pct", "_new"), ("floating_pct", "_float"), ("margin_stddev", "_vol")):
-            rows = percent_rank_in(rows, base, "group_id", value, rank)
+        rows = percent_ranks_in(self._shared(rows), "group_id", ["contest_id", "unit_id"], {"margin_pct": "_far", "new_voter_pct": "_new", "floating_pct": "_float", "margin_stddev": "_vol"})
         inputs = [1 - F.col("_far"), F.col("_new"), F.col("_float"), F.col("_vol")]
         used = F.array_compact(F.array(*(F.when(x.isNotNull(), n) for x, n in zip(inputs, ("closeness", "new_voter_pct", "floating_pct", "volatility"), strict=True))))
         rows = rows.withColumns({"priority_score": M.priority_score(*inputs), "weight_used": M.priority_weight(*inputs), "inputs_used": F.array_join(used, ",")})

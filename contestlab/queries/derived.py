@@ -35,7 +35,8 @@ def star_views(spark: SparkSession, sf_dir: str, **options) -> Views:
 
 def _view(name: str):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return getattr(star_views(spark, sf_dir), name)
+        views = star_views(spark, sf_dir)
+        return views.held_by(getattr(views, name))
 
     return query
 

@@ -210,7 +210,11 @@ def star_alliances(v: Views) -> DataFrame:
 
 
 def _star(f, *args, **kw):
-    return lambda spark, sf_dir: f(star_views(spark, sf_dir), *args, **kw)
+    def query(spark, sf_dir):
+        views = star_views(spark, sf_dir)
+        return views.held_by(f(views, *args, **kw))
+
+    return query
 
 
 YEAR = BASELINE[1]

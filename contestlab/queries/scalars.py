@@ -9,7 +9,7 @@ from contestlab.functions import metrics as M
 from contestlab.operators import quality as Q
 from contestlab.plans.view_sql import MARGIN, SIGNED, over_views, pct, rounded, score
 
-from contestlab.plans.views import percent_rank_in
+from contestlab.plans.views import percent_ranks_in
 
 from .derived import star_views
 from .texts import read
@@ -55,7 +55,7 @@ _WEIGHT, _SCORE = score(list(_Y.values()))
 
 def percentile_ranks(spark, sf_dir):
     rows = star_views(spark, sf_dir).wide.select(*KEY, "margin_pct")
-    return percent_rank_in(rows, rows, "contest_id", "margin_pct", "value").select(*KEY, "value")
+    return percent_ranks_in(rows, "contest_id", list(KEY), {"margin_pct": "value"}).select(*KEY, "value")
 
 
 def published(spark, sf_dir):
@@ -113,7 +113,7 @@ def dq_constraints(spark, sf_dir):
 
 
 def dq_digest(spark, sf_dir):
-    """Each view twice: the digests of a refresh are those of the next."""
+    """The widest view twice: worked out anew it has the digest that it had."""
     v, w = star_views(spark, sf_dir), star_views(spark, sf_dir)
     a, b = Q.digest(v.wide), Q.digest(w.wide)
     return a.join(b, ["rows", "digest"]).select("rows")
