@@ -190,6 +190,36 @@ _HIST = """h AS (SELECT c_nationkey AS unit_id, o_orderpriority AS surname, coun
 d(surname, community, weight) AS (VALUES ('1-URGENT', 'AUTOMOBILE', 1.0::DOUBLE), ('2-HIGH', 'BUILDING', 0.75::DOUBLE), ('2-HIGH', 'HOUSEHOLD', 0.25::DOUBLE), ('3-MEDIUM', 'FURNITURE', 1.0::DOUBLE), ('4-NOT SPECIFIED', 'HOUSEHOLD', 0.5::DOUBLE)),
 counts AS (SELECT unit_id, community, sum(n * weight) AS n FROM h JOIN d USING (surname) GROUP BY 1, 2),
 quality AS (SELECT unit_id, CAST(sum(n) AS BIGINT) AS matched, sum(n * sure) AS confident FROM h JOIN (SELECT surname, sum(CASE WHEN weight >= 0.8 THEN weight ELSE 0.0::DOUBLE END) AS sure FROM d GROUP BY 1) USING (surname) GROUP BY 1)"""
+
+
+def _blended() -> str:
+    """The blend as CTEs after _HIST."""
+    steps, at = [], "b1"
+    for cat, census in (("SC", "census_sc"), ("ST", "census_st")):
+        mine, to = f"coalesce(category = '{cat}', false)", f"b_{cat}"
+        steps.append(f"""{to}_x AS (SELECT *, coalesce(sum(CASE WHEN {mine} THEN pct END) OVER w, 0) AS now, sum(pct) OVER w AS whole, 0.7::DOUBLE * own_{cat} + 0.3::DOUBLE * {census} AS goal, max(CAST({mine} AND is_other AS INT)) OVER w AS has_other FROM {at} WINDOW w AS (PARTITION BY unit_id)),
+{to} AS (SELECT * EXCLUDE (now, whole, goal, has_other) REPLACE (CASE WHEN goal IS NULL OR NOT (now > 0 OR (goal > 0 AND has_other = 1)) THEN pct WHEN {mine} AND now > 0 THEN pct * goal / now WHEN {mine} AND is_other THEN goal WHEN {mine} THEN pct
+  WHEN whole - now > 0 THEN pct * greatest(greatest(whole, goal) - goal, 0) / (whole - now) ELSE pct END AS pct) FROM {to}_x)""")
+        at = to
+    known = ", ".join(f"('{c}', '{k}', {str(o).lower()})" for c, k, o in COMMUNITIES)
+    return f"""u AS (SELECT n_nationkey AS unit_id, e.electors, q.matched, q.confident, CASE WHEN n_nationkey % 4 != 0 THEN 10.0::DOUBLE + n_nationkey % 7 END AS census_sc, CASE WHEN n_nationkey % 5 != 0 THEN 5.0::DOUBLE + n_nationkey % 3 END AS census_st,
+  CASE WHEN n_nationkey % 4 != 0 THEN 0.8::DOUBLE ELSE 0 END AS fresh FROM nation LEFT JOIN (SELECT unit_id, CAST(sum(n) AS BIGINT) AS electors FROM h GROUP BY 1) e ON n_nationkey = e.unit_id LEFT JOIN quality q ON n_nationkey = q.unit_id),
+known(community, category, is_other) AS (VALUES {known}),
+s0 AS (SELECT unit_id, community, n * 100.0::DOUBLE / electors AS pct FROM counts JOIN u USING (unit_id) WHERE electors > 0),
+b0 AS (SELECT unit_id, community, sum(pct) AS pct FROM (FROM s0 UNION ALL SELECT DISTINCT unit_id, k.community, 0 FROM s0, known k WHERE is_other) GROUP BY 1, 2),
+b1 AS (SELECT b0.*, category, coalesce(is_other, false) AS is_other, census_sc, census_st, coalesce(sum(CASE WHEN category = 'SC' THEN pct END) OVER w, 0) AS own_SC, coalesce(sum(CASE WHEN category = 'ST' THEN pct END) OVER w, 0) AS own_ST
+  FROM b0 LEFT JOIN known USING (community) JOIN u USING (unit_id) WINDOW w AS (PARTITION BY unit_id)),
+{", ".join(steps)},
+asked AS (SELECT c_nationkey AS unit_id, c_mktsegment AS community, count(*) AS n FROM customer WHERE c_nationkey % 6 = 0 GROUP BY 1, 2),
+est AS (SELECT unit_id, community, pct AS est_pct, electors, floor(least(1.0::DOUBLE, 0.6::DOUBLE * least(1.0::DOUBLE, coalesce(matched / electors, 0)) + 0.2::DOUBLE * fresh + 0.2::DOUBLE * coalesce(confident / matched, 0)) * 1000.0::DOUBLE + 0.5::DOUBLE) / 1000.0::DOUBLE AS confidence
+  FROM {at} JOIN (SELECT unit_id, electors, matched, confident, fresh FROM u) USING (unit_id) WHERE pct > 0 AND unit_id NOT IN (SELECT unit_id FROM asked)
+  UNION ALL SELECT unit_id, community, n * 100.0::DOUBLE / sum(n) OVER (PARTITION BY unit_id), electors, 0.9::DOUBLE FROM asked LEFT JOIN u USING (unit_id)),
+blended AS (FROM est UNION ALL SELECT unit_id, 'UNMATCHED', 100.0::DOUBLE - sum(est_pct) AS p, any_value(electors), any_value(confidence) FROM est GROUP BY unit_id HAVING 100.0::DOUBLE - sum(est_pct) > 1e-9)"""
+
+
+_SHARES = f"""shared AS (SELECT b.*, share_a, share_b FROM blended b LEFT JOIN (SELECT area_id AS unit_id, {PARTIES[0].lower()}_pct AS share_a, {PARTIES[1].lower()}_pct AS share_b FROM area_rollup WHERE kind = '{BASELINE[0]}' AND year = {BASELINE[1]}) USING (unit_id) WHERE confidence >= 0.4)"""
+_CORR = lambda s: f"CASE WHEN count(*) FILTER ({s} IS NOT NULL) >= 4 AND var_pop(est_pct) * var_pop({s}) > 0 THEN corr(est_pct, {s}) END"
+_ASSOCIATED = f"SELECT community, count(*) AS units, {_CORR('share_a')} AS r_a, {_CORR('share_b')} AS r_b, regr_slope(share_a, est_pct) AS slope, regr_intercept(share_a, est_pct) AS intercept FROM shared WHERE share_a IS NOT NULL GROUP BY 1 HAVING count(*) >= 4"
 #: (source, destination, share): the scenario's transfer rows, written out.
 _MOVES = f"""(VALUES ('{PARTIES[0]}', '{PARTIES[0]}', 1.0::DOUBLE), ('{PARTIES[1]}', '{PARTIES[1]}', 0.9::DOUBLE), ('{PARTIES[1]}', '{PARTIES[0]}', 0.1::DOUBLE), ('{PARTIES[2]}', '{PARTIES[1]}', 0.6::DOUBLE), ('{PARTIES[2]}', '{PARTIES[0]}', 0.4::DOUBLE),
   ('{PARTIES[3]}', '{PARTIES[3]}', 1.0::DOUBLE), ('IND', 'IND', 1.0::DOUBLE), ('NOTA', 'NOTA', 1.0::DOUBLE)) m(src, party, share)"""
@@ -203,6 +233,10 @@ SQL = {
     "xwalk_review": f"WITH {_PAIRS} SELECT group_id, station, unit_uid, method, score, runner_up, runner_score FROM applied WHERE method IN ('new', 'review')",
     "blend_surname": f"""WITH {_HIST} SELECT unit_id, community, CAST(floor(n + 0.5) AS BIGINT) AS est_count, floor(n / sum(n) OVER (PARTITION BY unit_id) * 10000.0::DOUBLE + 0.5::DOUBLE) / 100.0::DOUBLE AS est_pct,
   floor(least(1.0::DOUBLE, confident / matched) * 1000.0::DOUBLE + 0.5::DOUBLE) / 1000.0::DOUBLE AS confidence FROM counts JOIN quality USING (unit_id)""",
+    "blend_booth": f"WITH {_HIST}, {_blended()} SELECT unit_id, community, round(est_pct, 6) AS est_pct, CAST(floor(round(est_pct * electors / 100.0::DOUBLE, 6) + 0.5::DOUBLE) AS BIGINT) AS est_count, confidence FROM blended",
+    "q_community": over_views(f"SELECT * FROM (WITH {_HIST}, {_blended()}, {_SHARES} SELECT unit_id, community, round(est_pct, 6) AS est_pct, confidence, share_a, share_b FROM shared)"),
+    "q_community_correlation": over_views(f"SELECT * FROM (WITH {_HIST}, {_blended()}, {_SHARES} SELECT community, units, round(r_a, 6) AS r_a, round(r_b, 6) AS r_b, round(slope, 6) AS slope, round(intercept, 6) AS intercept FROM ({_ASSOCIATED}))"),
+    "crib_6": over_views(f"SELECT * FROM (WITH {_HIST}, {_blended()}, {_SHARES} SELECT community, round(round(r_a, 6), 3) AS r_a, round(round(r_b, 6), 3) AS r_b, units FROM ({_ASSOCIATED}))"),
     "scen_project": over_views(f"""SELECT party, round(votes, 4) AS votes, CASE WHEN party != 'NOTA' THEN CAST(row_number() OVER (ORDER BY party != 'NOTA' DESC, votes DESC, party) AS INT) END AS place FROM (SELECT party, sum(v) AS votes FROM (
   SELECT m.party, sum(p.votes * m.share * 0.95::DOUBLE) AS v FROM result_party p JOIN {_MOVES} ON p.party = m.src WHERE kind = '{BASELINE[0]}' AND year = {BASELINE[1]} GROUP BY 1
   UNION ALL SELECT party, sum(coalesce(n.additions, 0) * 0.6::DOUBLE * s.votes / s.valid_votes) FROM party_share s LEFT JOIN new_voter_share n USING (contest_id, unit_id) WHERE kind = '{BASELINE[0]}' AND year = {BASELINE[1]} GROUP BY 1) GROUP BY 1)"""),

@@ -163,6 +163,7 @@ SQL = {
     "metric_floating_pct": over_views(f"SELECT year, unit_id, CASE WHEN poll_types = 2 THEN {rounded('(floating_pct / 2)')} END AS value FROM floating_vote"),
     "metric_priority_weight": over_views(_V(_WEIGHT)),
     "metric_priority_score": over_views(_V(_SCORE)),
+    "metric_volatility": over_views(f"SELECT unit_id, round({rounded('stddev_samp(signed_margin_pct)')}, 1) AS value FROM wide WHERE kind = 'VS' GROUP BY 1"),
     "percentile_ranks": over_views("SELECT contest_id, unit_id, CASE WHEN margin_pct IS NOT NULL AND count(margin_pct) OVER (PARTITION BY contest_id) >= 2 THEN CAST(rank() OVER (PARTITION BY contest_id ORDER BY margin_pct NULLS LAST) - 1 AS DOUBLE) / (count(margin_pct) OVER (PARTITION BY contest_id) - 1) END AS value FROM wide"),
     "dq_ac_totals": over_views("SELECT contest_id, party, CAST(sum(votes) + 1 AS BIGINT) AS published, CAST(sum(votes) AS BIGINT) AS computed FROM result_candidate WHERE contest_id % 100 = 11 AND party = 'NOTA' GROUP BY 1, 2"),
     "dq_row_arith": over_views("SELECT contest_id, unit_id, valid_votes + 1 AS total_valid, valid_votes AS computed FROM totals WHERE unit_id % 97 = 3"),
