@@ -14,6 +14,8 @@ OWN_WEIGHT, CENSUS_WEIGHT = 0.7, 0.3
 SURVEY_CONFIDENCE, CONFIDENT_WEIGHT = 0.9, 0.8
 CENSUS_HALF_LIFE = 20
 UNMATCHED = "UNMATCHED"
+#: A half, and a little for what sums of doubles lose.
+HALF = 0.5 + 1e-7
 
 
 def surname_counts(histogram: DataFrame, dictionary: DataFrame) -> DataFrame:
@@ -85,6 +87,6 @@ def blend(units: DataFrame, counts: DataFrame, communities: DataFrame, survey: D
         out = out.join(asked, "unit_id", "left_anti").unionByName(stated)
     gap = out.groupBy("unit_id").agg(F.first("electors").alias("electors"), F.first("confidence").alias("confidence"), (100.0 - F.sum("est_pct")).alias("est_pct")).filter("est_pct > 1e-9")
     out = out.unionByName(gap.select("unit_id", F.lit(UNMATCHED).alias("community"), "est_pct", "electors", "confidence"))
-    return out.select("unit_id", "community", "est_pct", F.floor(F.round(F.col("est_pct") * F.col("electors") / 100.0, 6) + 0.5).alias("est_count"), "confidence")
+    return out.select("unit_id", "community", "est_pct", F.floor(F.col("est_pct") * F.col("electors") / 100.0 + HALF).alias("est_count"), "confidence")
 
 

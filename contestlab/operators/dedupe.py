@@ -20,8 +20,11 @@ SEGMENTS = ((53, 11), (42, 11), (31, 11), (20, 11), (10, 10), (0, 10))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, which a cluster names in spark.checkpoint.dir."""
-    return spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/shared"
+    """The folder that all executors share, which a cluster names in spark.checkpoint.dir; only in local mode it may be unset."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return found or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/shared"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -45,8 +48,8 @@ def links(hashes: DataFrame, threshold: int = T.HAMMING) -> DataFrame:
 
 def first_seen(items: DataFrame, threshold: int = T.HAMMING) -> DataFrame:
     """items (id, simhash; earlier ids come first) with kept, and of the first of its hash, `of`."""
-    first = F.min("id").over(Window.partitionBy("simhash"))
-    rows = items.select("id", "simhash", first.alias("of"))
+    # a minimum that is aggregated before the shuffle: copies of one hash don't meet in one task
+    rows = items.select("id", "simhash").join(items.groupBy("simhash").agg(F.min("id").alias("of")), "simhash")
     edges = written(links(rows.filter("id = of").select("id", "simhash"), threshold), "near")
     gone = edges.select(F.col("u").alias("id")).limit(0)
     left = edges

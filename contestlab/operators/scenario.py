@@ -68,8 +68,10 @@ def transfer_matrix(s: Scenario, parties: list[str]) -> dict[str, dict[str, floa
 
 def draw_rows(s: Scenario, matrix: dict[str, dict[str, float]]) -> list[tuple[int, str, str, float]]:
     """(draw, source, destination, weight), with random numbers taken in a fixed order: rows, turnout, source totals."""
+    if not 1 <= s.draws <= MAX_DRAWS:
+        raise ValueError(f"1 to {MAX_DRAWS} draws")
     rng, out = random.Random(s.seed), []
-    for draw in range(max(1, min(s.draws, MAX_DRAWS))):
+    for draw in range(s.draws):
         noisy = {}
         for src, row in matrix.items():
             if len(row) > 1:
@@ -124,7 +126,7 @@ def band(votes: DataFrame, s: Scenario) -> DataFrame:
     """p10, p50, p90 (nearest rank) of the pair's margin over the draws, and their number."""
     a, b = s.contest
     edges = _edges(votes, draw_rows(s, transfer_matrix(s, parties_of(votes))))
-    n = max(1, min(s.draws, MAX_DRAWS))
+    n = s.draws
     margin = F.sum(F.when(F.col("party") == a, F.col("votes")).when(F.col("party") == b, -F.col("votes")).otherwise(0.0))
     margins = project_totals(votes, edges, new_votes(votes, s)).groupBy("draw").agg(margin.alias("margin"))
     margins = margins.withColumn("i", F.row_number().over(Window.orderBy("margin", "draw")) - 1)  # one row a draw
@@ -136,7 +138,7 @@ def most_variable(votes: DataFrame, s: Scenario, limit: int = 20) -> DataFrame:
     """unit_id, deviation: the units whose margin spreads most over the draws."""
     parties = parties_of(votes)
     place, (a, b) = {p: i for i, p in enumerate(parties)}, s.contest
-    c = np.zeros((max(1, min(s.draws, MAX_DRAWS)), len(parties)))
+    c = np.zeros((s.draws, len(parties)))
     for draw, src, to, weight in draw_rows(s, transfer_matrix(s, parties)):
         c[draw, place[src]] += weight * ((to == a) - (to == b))
     spread = np.cov(c.T, bias=True).reshape(len(parties), len(parties))

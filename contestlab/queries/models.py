@@ -116,7 +116,7 @@ def strongest_associations(spark, sf_dir):
     return rows.orderBy(F.desc(F.abs(F.coalesce("r_a", F.lit(0.0)))), "community")
 
 
-SHIFT = S.Scenario(contest=PAIR, transfer=S.one_way(PARTIES[2], PARTIES[1], 0.6, PARTIES[0]), alliance={PARTIES[1]: "rest", PARTIES[3]: "rest"}, turnout=0.95, sympathy=0.1, draws=200)
+SHIFT = S.Scenario(contest=PAIR, transfer=S.one_way(PARTIES[2], PARTIES[1], 0.6, PARTIES[0]), alliance={PARTIES[1]: "rest", PARTIES[3]: "rest"}, turnout=0.95, sympathy=0.1, draws=500)
 
 
 def _scenario(f, **change):
@@ -233,7 +233,7 @@ SQL = {
     "xwalk_review": f"WITH {_PAIRS} SELECT group_id, station, unit_uid, method, score, runner_up, runner_score FROM applied WHERE method IN ('new', 'review')",
     "blend_surname": f"""WITH {_HIST} SELECT unit_id, community, CAST(floor(n + 0.5) AS BIGINT) AS est_count, floor(n / sum(n) OVER (PARTITION BY unit_id) * 10000.0::DOUBLE + 0.5::DOUBLE) / 100.0::DOUBLE AS est_pct,
   floor(least(1.0::DOUBLE, confident / matched) * 1000.0::DOUBLE + 0.5::DOUBLE) / 1000.0::DOUBLE AS confidence FROM counts JOIN quality USING (unit_id)""",
-    "blend_booth": f"WITH {_HIST}, {_blended()} SELECT unit_id, community, round(est_pct, 6) AS est_pct, CAST(floor(round(est_pct * electors / 100.0::DOUBLE, 6) + 0.5::DOUBLE) AS BIGINT) AS est_count, confidence FROM blended",
+    "blend_booth": f"WITH {_HIST}, {_blended()} SELECT unit_id, community, round(est_pct, 6) AS est_pct, CAST(floor(est_pct * electors / 100.0::DOUBLE + {B.HALF}::DOUBLE) AS BIGINT) AS est_count, confidence FROM blended",
     "q_community": over_views(f"SELECT * FROM (WITH {_HIST}, {_blended()}, {_SHARES} SELECT unit_id, community, round(est_pct, 6) AS est_pct, confidence, share_a, share_b FROM shared)"),
     "q_community_correlation": over_views(f"SELECT * FROM (WITH {_HIST}, {_blended()}, {_SHARES} SELECT community, units, round(r_a, 6) AS r_a, round(r_b, 6) AS r_b, round(slope, 6) AS slope, round(intercept, 6) AS intercept FROM ({_ASSOCIATED}))"),
     "crib_6": over_views(f"SELECT * FROM (WITH {_HIST}, {_blended()}, {_SHARES} SELECT community, round(round(r_a, 6), 3) AS r_a, round(round(r_b, 6), 3) AS r_b, units FROM ({_ASSOCIATED}))"),

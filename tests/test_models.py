@@ -44,6 +44,8 @@ def test_golden_views(spark, tmp_path):
     assert v.new_voter_share.count() == 0
     p = {r.unit_id: r for r in v.priority.collect()}
     assert p["C"].priority_quartile == 1 and p["C"].inputs_used == "closeness,volatility"
+    stored = Views.stored(spark, str(tmp_path), three_units(spark), parties=("P", "Q", "R"))
+    assert found(stored.priority) == sorted(map(tuple, p.values()), key=str) and stored.wide.count() == 6
 
 
 def test_refresh_again_gives_the_same(spark, tmp_path):
@@ -204,6 +206,13 @@ def test_new_areas_need_a_block(spark):
     assert found(match.new_areas(names, areas)) == [(71, 1, "ward 8", "ward 8"), (72, 5, "Zeta", "zeta")]
 
 
+def test_closest_candidates(spark):
+    h = spark.createDataFrame([(1, 5, "Ravi Kumar"), (2, 6, "Nobody")], "contest_id int, column int, header string")
+    c = spark.createDataFrame([(1, i, n) for i, n in enumerate(("Ravi Kumari", "Asha Devi", "Ravi Kumar", "Ravee Kumar", "Zed"))], "contest_id int, candidate_id int, name string")
+    got = [(r.column, r.candidate_id, r.place) for r in match.closest_candidates(h, c).orderBy("place").collect()]
+    assert got == [(5, 2, 1), (5, 3, 2), (5, 0, 3)]
+
+
 def test_text_functions_in_sql(spark):
     T.register(spark)
     texts = ["महतो", "प्रा०वि० चतरो", "Zoë  Ltd.", None, "क़लम a"]
