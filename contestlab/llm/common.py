@@ -3,7 +3,12 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,20 +20,47 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share.
+    """The folder that the driver and all executors share, which a cluster names in spark.checkpoint.dir.
 
-    A cluster names it in spark.checkpoint.dir. Only where that is unset (tests, local mode)
-    a folder under the warehouse is used.
+    Only in local mode, where that may be unset, a folder under the warehouse is used.
     """
-    return spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/llm_shared"
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return found or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/llm_shared"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back: cuts lineage, survives lost executors."""
+_open: list[list[DataFrame]] = []
+
+
+def materialize(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """Write df as Parquet into the shared folder and read it back: cuts lineage, survives lost executors. keep: also beyond scratch()."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._folder = path
+    if _open and not keep:
+        _open[-1].append(out)
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete what materialize() wrote for df."""
+    context = df.sparkSession.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(df._folder)
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """On leaving, deletes what materialize() wrote inside: for work whose result is stored by then."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        for df in _open.pop():
+            discard(df)
 
 
 def crc_mod(doc_id: Column, n: int) -> Column:
@@ -45,3 +77,13 @@ def free_name(df: DataFrame, name: str) -> str:
     while name in df.columns:
         name = "_" + name
     return name
+
+
+def slices(batch: pa.RecordBatch, column: int, rows: int = 256, octets: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of at most so many rows and, but for a single longer text, about so many bytes of text."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy())
+    a = 0
+    while a < batch.num_rows:
+        b = min(a + rows, max(a + 1, int(np.searchsorted(size, (size[a - 1] if a else 0) + octets, "right"))))
+        yield batch.slice(a, b - a)
+        a = b
