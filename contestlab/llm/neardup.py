@@ -1,9 +1,11 @@
-"""Near-duplicates by the Jaccard similarity of five-word shingles, for the pipeline.
+"""SimHash near-duplicates of five-word shingles, completed to a Jaccard similarity of 0.8, for the pipeline.
 
-At a similarity of 0.8 two 64-bit SimHashes differ in about 10 bits, and a budget that wide makes candidates of a
-fixed share of all pairs, whatever the keys of the join. So candidates come from MinHash: BANDS keys of ROWS minima
-each, of which two texts of similarity s share one with probability 1 - (1 - s**ROWS)**BANDS, 0.9996 at 0.8. Each
-candidate is then compared exactly; nothing is linked on a hash alone.
+SimHash comes first: fingerprints of the five-word shingles are linked by the pigeonring chains of operator 1, and each
+pair of texts found so is compared exactly. That catches what differs in a few words of many. But at a similarity of
+0.8 two 64-bit SimHashes differ in about 10 bits, and a budget that wide makes candidates of a fixed share of all pairs, whatever
+the keys of the join. So what SimHash leaves apart is looked for by MinHash: BANDS keys of ROWS minima each, of
+which two texts of similarity s share one with probability 1 - (1 - s**ROWS)**BANDS, 0.9996 at 0.8. Each candidate is
+compared exactly too; nothing is linked on a hash alone.
 
 A bucket is not paired in full. Its members are first compared with its least one; what that links is one component,
 inside which no further pair can change a result. All pairs of a bucket whose texts are still in different components
@@ -15,8 +17,6 @@ blank texts are alike. Rows with a null id take part; ids of components are the
 
 from __future__ import annotations
 
-from itertools import accumulate
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 from .graph import connected_components
+from .simhash import hashes, links, majority
 
 SEED, WIDTH, LEAST, BANDS, ROWS = 42, 5, 0.8, 26, 6
 CHUNK = 1 << 12
@@ -35,14 +36,7 @@ TIMES = _rng.integers(0, 1 << 64, BANDS * ROWS, np.uint64) | np.uint64(1)
 
 def shingles(text: bytes | None, width: int = WIDTH) -> np.ndarray:
     """The distinct hashes of the text's shingles, sorted."""
-    words = (text or b"").lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    line = b" ".join(words)
-    ends = list(accumulate(map(len, words), lambda a, b: a + b + 1))
-    starts, h = [0, *(e + 1 for e in ends)], xxhash.xxh64_intdigest
-    spans = zip(starts, ends[min(width, len(words)) - 1 :], strict=False)
-    return np.unique(np.fromiter((h(line[a:b], SEED) for a, b in spans), np.uint64))
+    return np.unique(hashes(text, width))
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -62,10 +56,16 @@ def band_keys(hashes: np.ndarray) -> np.ndarray:
 def _sketch(width: int):
     def run(batches):
         for batch in batches:
-            found = [shingles(t, width) for t in batch.column(2).cast(pa.binary()).to_pylist()]
-            bands = np.concatenate([band_keys(s) for s in found]) if found else np.zeros(0, np.uint64)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1) * BANDS, pa.int32()), pa.array(bands.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(map(len, found), pa.int64()), lists], ["doc_id", "key", "n", "bands"])
+            n, fp, bands = [], [], []
+            for text in batch.column(2).cast(pa.binary()).to_pylist():
+                found = hashes(text, width)
+                fp.append(majority(found))
+                found = np.unique(found)
+                n.append(len(found))
+                bands.append(band_keys(found))
+            keys = np.concatenate(bands) if bands else np.zeros(0, np.uint64)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * BANDS, pa.int32()), pa.array(keys.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(np.array(fp, np.uint64).view(np.int64)), lists], ["doc_id", "key", "n", "fp", "bands"])
 
     return run
 
@@ -90,22 +90,32 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """doc_id, component_id for each row: the least doc_id reachable by links of texts with a Jaccard similarity of at least `least`."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("key"), text.alias("text"))
-    marked = materialize(rows.mapInArrow(_sketch(width), "doc_id long, key long, n long, bands array<long>"), "sketches")
+    marked = materialize(rows.mapInArrow(_sketch(width), "doc_id long, key long, n long, fp long, bands array<long>"), "sketches")
     spots = marked.select("key", "n", F.explode("bands").alias("band"))
     buckets = spots.groupBy("band").agg(F.min(F.struct("key", "n")).alias("lead"), F.max("key").alias("last")).filter("lead.key < last")
     members = materialize(spots.join(buckets.select("band", "lead"), "band").select("band", "key", "n", "lead").distinct(), "members")
+    sized = lambda a, b: F.least(a, b) >= F.greatest(a, b) * F.lit(least)
 
-    need = materialize(members.select("key").distinct(), "need")
+    # the texts of one fingerprint with the least of them, and the least ones of two that are linked
+    prints = marked.groupBy("fp").agg(F.min(F.struct("key", "n")).alias("lead"), F.max("key").alias("last"))
+    same = marked.select("fp", F.struct("key", "n").alias("own")).join(prints.filter("lead.key < last"), "fp").select(F.col("lead").alias("a"), F.col("own").alias("b"))
+    lead = lambda end, name: prints.select(F.col("fp").alias(end), F.col("lead").alias(name))
+    other = links(prints.select("fp")).join(lead("u", "a"), "u").join(lead("v", "b"), "v").select("a", "b")
+    close = same.unionByName(other).filter("a.key != b.key").filter(sized(F.col("a.n"), F.col("b.n")))
+    close = materialize(close.select(F.least("a.key", "b.key").alias("u"), F.greatest("a.key", "b.key").alias("v")).distinct(), "close")
+
+    need = members.select("key").union(close.select("u")).union(close.select("v")).distinct()
+    need = materialize(need, "need")
     texts = materialize(rows.select("key", "text").join(need, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text")), "texts")
-    sized = lambda a, b: F.least(a, b) >= F.greatest(a, b) * F.lit(least)
 
     def linked(pairs: DataFrame) -> DataFrame:
         both = pairs.join(texts.select(F.col("key").alias("v"), F.col("text").alias("b")), "v").join(texts.select(F.col("key").alias("u"), F.col("text").alias("a")), "u")
         return materialize(both.select("u", "v", "a", "b").mapInArrow(_verify(width, least), "u long, v long"), "near")
 
-    stars = members.filter(F.col("key") > F.col("lead.key")).filter(sized(F.col("n"), F.col("lead.n")))
-    stars = materialize(stars.select(F.col("lead.key").alias("u"), F.col("key").alias("v")).distinct(), "stars")
-    near = linked(stars)
+    near = linked(close)
+    stars = members.filter(F.col("key") > F.col("lead.key")).filter(sized(F.col("n"), F.col("lead.n"))).select(F.col("lead.key").alias("u"), F.col("key").alias("v")).distinct()
+    stars = materialize(stars.join(close, ["u", "v"], "left_anti"), "stars")
+    near = near.unionByName(linked(stars))
     parts = connected_components(near).select(F.col("node").alias("key"), "component")
     split = members.join(parts, "key", "left").select("band", "key", "n", F.coalesce("component", "key").alias("part"))
     mixed = split.groupBy("band").agg(F.min("part").alias("p"), F.max("part").alias("q")).filter("p < q").select("band")
@@ -114,7 +124,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sides = sides.select("band", F.col("part").alias("p")).join(sides.select("band", F.col("part").alias("q")), "band").filter("p < q")
     one, two = (split.select("band", F.col("part").alias(p), F.col("key").alias(f"k{p}"), F.col("n").alias(f"n{p}")) for p in "pq")
     cross = sides.join(one, ["band", "p"]).join(two, ["band", "q"]).filter(sized(F.col("np"), F.col("nq")))
-    cross = cross.select(F.least("kp", "kq").alias("u"), F.greatest("kp", "kq").alias("v")).distinct().join(stars, ["u", "v"], "left_anti")
+    cross = cross.select(F.least("kp", "kq").alias("u"), F.greatest("kp", "kq").alias("v")).distinct().join(stars.unionByName(close), ["u", "v"], "left_anti")
     parts = connected_components(near.unionByName(linked(cross))).select(F.col("node").alias("key"), "component")
 
     classes = marked.groupBy("key").agg(F.min("doc_id").alias("first_id")).join(parts, "key", "left").withColumn("component", F.coalesce("component", "key"))

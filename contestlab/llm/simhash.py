@@ -35,20 +35,27 @@ def _count_bits(hashes: np.ndarray) -> np.ndarray:
     return np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
 
 
-def fingerprint(text: bytes | None, width: int = 3) -> int:
-    """The unsigned 64-bit SimHash of one text; zero if it has no words."""
+def hashes(text: bytes | None, width: int = 3) -> np.ndarray:
+    """The hashes of the text's shingles, repeats included."""
     words = (text or b"").lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     line = b" ".join(words)
     ends = list(accumulate(map(len, words), lambda a, b: a + b + 1))
-    starts = [0, *(e + 1 for e in ends)]
-    h, n, counts = xxhash.xxh64_intdigest, max(1, len(words) - width + 1), np.zeros(64, np.int64)
-    for at in range(0, n, CHUNK):
-        stop = min(n, at + CHUNK)
-        spans = zip(starts[at:stop], ends[min(width, len(words)) - 1 + at :], strict=False)
-        counts += _count_bits(np.fromiter([h(line[a:b], SEED) for a, b in spans], np.uint64, stop - at))
-    return sum(1 << b for b in np.flatnonzero(2 * counts > n).tolist())
+    starts, h = [0, *(e + 1 for e in ends)], xxhash.xxh64_intdigest
+    spans = zip(starts, ends[min(width, len(words)) - 1 :], strict=False)
+    return np.fromiter((h(line[a:b], SEED) for a, b in spans), np.uint64, max(1, len(words) - width + 1))
+
+
+def majority(found: np.ndarray) -> int:
+    """The unsigned 64 bits that are set in over half the hashes; zero if there are none."""
+    counts = sum((_count_bits(found[i : i + CHUNK]) for i in range(0, len(found), CHUNK)), np.zeros(64, np.int64))
+    return sum(1 << b for b in np.flatnonzero(2 * counts > len(found)).tolist())
+
+
+def fingerprint(text: bytes | None, width: int = 3) -> int:
+    """The unsigned 64-bit SimHash of one text; zero if it has no words."""
+    return majority(hashes(text, width))
 
 
 def _fingerprints(batches):
@@ -72,7 +79,7 @@ def _chain_keys(fps: DataFrame) -> DataFrame:
     return fps.select("fp", F.explode(F.array(*keys)).alias("k")).select("fp", "k.key", "k.at")
 
 
-def _links(fps: DataFrame) -> DataFrame:
+def links(fps: DataFrame) -> DataFrame:
     """u, v: all pairs of different fingerprints with at most two differing bits."""
     a, b = _chain_keys(fps).alias("a"), _chain_keys(fps).alias("b")
     x = F.col("a.fp").bitwiseXOR(F.col("b.fp"))
@@ -93,7 +100,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """doc_id, fingerprint (16 hex digits), component_id: the least doc_id reachable by links of at most two bits."""
     marked = materialize(fingerprints(docs, id_col, text_col), "fingerprints")
     classes = marked.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
-    parts = connected_components(_links(classes.select("fp"))).withColumnRenamed("node", "fp")
+    parts = connected_components(links(classes.select("fp"))).withColumnRenamed("node", "fp")
     joined = classes.join(parts, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     least = joined.groupBy("component").agg(F.min("first_id").alias("component_id"))
     found = joined.join(least, "component").select("fp", "component_id")

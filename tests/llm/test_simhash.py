@@ -52,7 +52,7 @@ def test_links_are_all_pairs_within_two_bits(spark):
     fps = {rng.getrandbits(64) for _ in range(40)}
     fps |= {f ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for f in list(fps)} | {f ^ (1 << rng.randrange(64)) for f in list(fps)}
     signed = [f - (1 << 64) if f >> 63 else f for f in fps]
-    got = {tuple(sorted(r)) for r in simhash._links(spark.createDataFrame([(f,) for f in signed], "fp long")).collect()}
+    got = {tuple(sorted(r)) for r in simhash.links(spark.createDataFrame([(f,) for f in signed], "fp long")).collect()}
     want = {tuple(sorted((a, b))) for a in signed for b in signed if a < b and ((a ^ b) & (1 << 64) - 1).bit_count() <= 2}
     assert got == want and want
 
