@@ -64,6 +64,12 @@ def sums_by_text(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return out
 
 
+def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys of all parts (keys, counts) and their counts summed."""
+    keys, inverse = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+    return keys, np.bincount(inverse, np.concatenate([p[1] for p in parts])).astype(np.int64)
+
+
 class Table:
     """find(codes): the row of each code among the distinct keys, or -1. Open addressing, no Python loop over rows."""
 

@@ -7,8 +7,10 @@ free to leave; below order 0 all 256 bytes are alike. The language with the shor
 whole text wins. Code lengths through all escapes are worked out once for every gram of any tree, so that
 scoring a byte is mostly one lookup in numpy for all languages together.
 
-Training takes a bounded sample: about SAMPLE_ROWS texts a language, drawn by a hash of the id, none longer
-than SAMPLE_TEXT bytes. Scoring reads whole texts, the very long ones in pieces.
+Training takes a bounded sample: texts are cut into blocks of BLOCK bytes, each drawn by a hash of its id and place,
+about SAMPLE_BYTES a language, so that long and short texts are met alike. Spark counts the grams of the drawn blocks;
+the driver gets the distinct ones, SAMPLE_BYTES a language at most. Languages are expected to be few, as labels are.
+Scoring reads whole texts, the very long ones in pieces.
 
 Defined cases: null texts and texts without a letter are 'und' with score 0; so is every text if there is
 nothing to learn from. Ties go to the first language by name. Repeated rows score alike. An empty table gives
@@ -19,22 +21,28 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bytegram import ContextTree, codes_of, mask, pieces, sums_by_text
-from .common import crc_mod, table
+from .bytegram import PAD, ContextTree, codes_of, mask, merged, pieces, sums_by_text
+from .common import crc_mod, slices, table
 
-ORDER, SAMPLE_ROWS, SAMPLE_TEXT, HELD_OUT, PIECE = 4, 1_000, 100_000, 1, 1 << 20
+ORDER, SAMPLE_BYTES, BLOCK, HELD_OUT, PIECE = 4, 4 << 20, 4096, 1, 1 << 20
 
 
-def build(texts: list[bytes], langs: list[str], order: int = ORDER) -> tuple[list[str], ContextTree]:
-    """The languages and one tree with a column of code lengths, in bits, for each."""
-    names = sorted(set(langs))
-    counted = []
-    for name in names:
-        own = [t.lower() for t, x in zip(texts, langs, strict=True) if x == name]
-        counted.append(np.unique(codes_of(own, order)[0], return_counts=True))
+Counts = tuple[np.ndarray, np.ndarray]
+
+
+def count(blocks: list[bytes], before: list[bytes] | None = None, order: int = ORDER) -> Counts:
+    """The distinct grams of the highest order of lower-cased blocks, and how often each occurs."""
+    return np.unique(codes_of(blocks, order, before)[0], return_counts=True)
+
+
+def build(found: dict[str, Counts], order: int = ORDER) -> tuple[list[str], ContextTree]:
+    """The languages and one tree with a column of code lengths, in bits, for each. found: the grams of each language."""
+    names = sorted(found)
+    counted = [found[n] for n in names]
     grams, values, contexts, escapes = [], [], [], []
     floor = 8.0
     for k in range(order + 1):
@@ -57,18 +65,38 @@ def build(texts: list[bytes], langs: list[str], order: int = ORDER) -> tuple[lis
     return names, ContextTree(grams, values, contexts, escapes, floor)
 
 
-def train(docs: DataFrame) -> tuple[list[str], ContextTree] | None:
+def train(docs: DataFrame, sample_bytes: int = SAMPLE_BYTES, block: int = BLOCK) -> tuple[list[str], ContextTree] | None:
+    """The model of a sample of about sample_bytes of each language's texts that aren't held out."""
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     rows = rows.filter((crc_mod(F.col("id"), 3) != HELD_OUT) & F.col("text").isNotNull() & F.col("lang").isNotNull())
-    counts = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
-    if not counts:
+    share = rows.groupBy("lang").agg((sample_bytes / F.greatest(F.sum(F.octet_length("text")), F.lit(1))).alias("share"))
+
+    def grams(batches):
+        held = {}
+        for batch in batches:
+            for piece in slices(batch, 1):
+                drawn = {}
+                for i, text, lang, part in zip(*(c.to_pylist() for c in (piece.column(0), piece.column(1).cast(pa.binary()), piece.column(2), piece.column(3))), strict=True):
+                    low = text.lower()
+                    for a in range(0, max(len(low), 1), block):
+                        if xxhash.xxh64_intdigest(f"{i}:{a}") < part * 2.0**64:
+                            blocks, before = drawn.setdefault(lang, ([], []))
+                            blocks.append(low[a : a + block])
+                            before.append((bytes([PAD]) * ORDER + low[max(0, a - ORDER) : a])[-ORDER:])
+                for lang, found in drawn.items():
+                    held.setdefault(lang, []).append(count(*found))
+                    if len(held[lang]) > 16:
+                        held[lang] = [merged(held[lang])]
+        for lang, found in held.items():
+            keys, n = merged(found)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(keys.view(np.int64)), pa.array(n)], ["lang", "gram", "n"])
+
+    counts = rows.join(share, "lang").select("id", "text", "lang", "share").mapInArrow(grams, "lang string, gram long, n long")
+    counts = counts.groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
+    if not len(counts):
         return None
-    share = F.lit(0.0)
-    for lang, n in counts.items():
-        share = F.when(F.col("lang") == lang, SAMPLE_ROWS / n).otherwise(share)
-    draw = F.xxhash64(F.col("id"), F.lit("sample")).bitwiseAND(F.lit((1 << 53) - 1)) / float(1 << 53)
-    got = rows.filter((F.octet_length("text") <= SAMPLE_TEXT) & (draw < share)).toArrow()
-    return build(got["text"].cast(pa.binary()).to_pylist(), got["lang"].to_pylist()) if len(got) else None
+    names, gram, n = counts["lang"].to_numpy(), counts["gram"].to_numpy().view(np.uint64), counts["n"].to_numpy()
+    return build({x: (gram[names == x], n[names == x]) for x in set(names.tolist())})
 
 
 def guess(texts: list[str | None], names: list[str], tree: ContextTree) -> tuple[list[str], np.ndarray]:
@@ -88,8 +116,7 @@ def identify(docs: DataFrame, model: tuple[list[str], ContextTree] | None) -> Da
 
     def run(batches):
         for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                piece = batch.slice(i, 256)
+            for piece in slices(batch, 1):
                 texts = piece.column(1).to_pylist()
                 langs, scores = guess(texts, *sent.value) if sent.value else (["und"] * len(texts), np.zeros(len(texts)))
                 yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])

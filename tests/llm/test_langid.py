@@ -31,7 +31,7 @@ def brute_bits(train, text, order):
 
 def test_code_lengths_equal_brute_force():
     train = {"a": [b"abra cadabra", b"abba", b""], "b": [b"xyz zyx abra", b"\xc3\xa9t\xc3\xa9"]}
-    names, tree = langid.build([t for v in train.values() for t in v], [k for k, v in train.items() for _ in v])
+    names, tree = langid.build({k: langid.count(v) for k, v in train.items()})
     for text in (b"abracadabra", b"qq", b"", b"xyz \xc3\xa9!", b"cadab" * 9):
         got = tree.score(codes_of([text], langid.ORDER)[0]).sum(axis=0) if text else np.zeros(2)
         assert np.allclose(got, [brute_bits(train[n], text, langid.ORDER) for n in names], atol=1e-3)
@@ -60,6 +60,17 @@ def test_held_out_accuracy_pieces_and_und(spark, monkeypatch):
     assert whole[0] == small[0] and np.allclose(whole[1], small[1], atol=1e-4) and whole[0][5:8] == ["und"] * 3
 
 
+def test_blocks_of_a_long_text_are_counted_as_one_text(spark):
+    text = "the thing with the ring " * 900
+    docs = documents(spark, [(0, text, "en", "s"), (2, None, "en", "s")])
+    whole = langid.build({"en": langid.count([text.encode()])})[1]
+    cut = langid.train(docs, block=1000)[1]
+    codes = codes_of([b"with the thing"], langid.ORDER)[0]
+    assert np.allclose(whole.score(codes), cut.score(codes))
+    small = langid.train(docs, sample_bytes=4000, block=100)[1]
+    assert sum(map(len, small.values)) <= sum(map(len, cut.values))
+
+
 def test_hard_rows(spark):
     docs = documents(spark, HARD)
     got = langid.identify(docs, langid.train(docs)).collect()
