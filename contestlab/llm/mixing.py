@@ -15,7 +15,7 @@ Targets not given are tempered: a label's share is its natural share to the powe
 is held back and rare ones gain. Given targets are {label: share}; labels without one get 0 and are dropped.
 
 DataFrame expressions only. The raking runs over the table of cells, which has no more rows than sources x
-languages x topics that occur; documents meet it in a join that Spark broadcasts only if the table's measured
+languages x topics that occur, by sums and joins of any size; documents meet it in a join that Spark broadcasts only if the table's measured
 size is under its own threshold. Documents are pre-aggregated to cells before any shuffle.
 
 Defined cases: null and empty labels are one label, ''. A null or blank text weighs 0 tokens and shares its
@@ -27,12 +27,14 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import free_name, materialize, table
+from .common import discard, free_name, materialize, table
 
 TEMPER, ROUNDS = 0.85, 8
+#: Share of the tokens that the query and the pipeline keep.
+KEEP = 0.5
 MARGINALS = ("source", "lang", "topic")
 #: topic: strings one of which a text of that topic holds; the first topic that fits counts.
 TOPICS = (
@@ -58,33 +60,44 @@ def _draw(key: Column) -> Column:
     return F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
 
 
+def _goals(cells: DataFrame, m: str, given: Mapping[str, float] | None, temper: float, keep: float | None) -> DataFrame:
+    """m, goal: what the tokens of each label are to be in proportion to, or with keep, to come to."""
+    sums = cells.groupBy(m).agg(F.sum("w").alias("own"))
+    if given is None:
+        goals = sums.withColumn("goal", F.pow("own", F.lit(temper)))
+    else:
+        shares = cells.sparkSession.createDataFrame([(k, float(v)) for k, v in given.items()], f"{m} string, goal double")
+        goals = sums.join(shares, m, "left").withColumn("goal", F.coalesce("goal", F.lit(0.0)))
+    if keep is None:
+        return goals.select(m, "goal")
+    # one row
+    whole = goals.agg(F.sum("own").alias("all"), F.sum(F.when(F.col("own") > 0, F.col("goal")).otherwise(0.0)).alias("parts"))
+    scaled = F.when(F.col("parts") > 0, F.lit(float(keep)) * F.col("all") * F.col("goal") / F.col("parts")).otherwise(0.0)
+    return goals.crossJoin(whole).select(m, scaled.alias("goal"))
+
+
 def rake(cells: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None, rounds: int = ROUNDS, temper: float = TEMPER, keep: float | None = None) -> DataFrame:
-    """cells (source, lang, topic, w) with p, the probability to keep a document of the cell; keep: the share of all tokens to keep."""
-    now = cells.coalesce(1).withColumn("f", F.lit(1.0 if keep is None else float(keep)))
-    for m in MARGINALS:
-        if targets and m in targets:
-            share = F.lit(0.0)
-            for label, value in targets[m].items():
-                share = F.when(F.col(m) == label, float(value)).otherwise(share)
-            now = now.withColumn(f"t_{m}", share)
-        else:
-            now = now.withColumn(f"t_{m}", F.pow(F.sum("w").over(Window.partitionBy(m)), F.lit(temper)))
-        if keep is not None:  # each label's tokens to keep
-            own, every = F.sum("w").over(Window.partitionBy(m)), Window.partitionBy()
-            parts = F.sum(F.when(own > 0, F.col(f"t_{m}") * F.col("w") / own).otherwise(0.0)).over(every)
-            now = now.withColumn(f"t_{m}", F.when(parts > 0, F.lit(float(keep)) * F.sum("w").over(every) * F.col(f"t_{m}") / parts).otherwise(0.0))
-    for i in range(rounds):
-        if i and i % ROUNDS == 0:  # keep the plan short
-            now = materialize(now, "raked").coalesce(1)
+    """cells (source, lang, topic, w) with p, the probability to keep a document of the cell; keep: the share of all tokens to keep.
+
+    Each step sums the cells by label and joins the sums back, so no label's cells meet in one task; a round is
+    written before the next, so the plan stays short.
+    """
+    now = materialize(cells.select(*MARGINALS, "w", F.lit(1.0 if keep is None else float(keep)).alias("f")), "raked")
+    goals = {m: materialize(_goals(now, m, (targets or {}).get(m), temper, keep), "goals") for m in MARGINALS}
+    for _ in range(rounds):
+        step = now
         for m in MARGINALS:
-            mass = F.sum(F.col("w") * F.col("f")).over(Window.partitionBy(m))
-            raked = F.col("f") * F.col(f"t_{m}") / mass
-            now = now.withColumn("f", F.when(mass > 0, raked if keep is None else F.least(raked, F.lit(1.0))).otherwise(F.col("f")))
+            mass = step.groupBy(m).agg(F.sum(F.col("w") * F.col("f")).alias("mass")).join(goals[m], m)
+            raked = F.col("f") * F.col("goal") / F.col("mass")
+            f = F.when(F.col("mass") > 0, raked if keep is None else F.least(raked, F.lit(1.0))).otherwise(F.col("f"))
+            step = step.join(mass, m).select(*MARGINALS, "w", f.alias("f"))
+        old, now = now, materialize(step, "raked")
+        discard(old)
     if keep is not None:
         return now.select(*MARGINALS, F.when(F.col("w") > 0, F.col("f")).otherwise(1.0).alias("p"))
     # the targets of a marginal need not sum to 1: the factors' common scale falls out here; cells without tokens keep all
-    most = F.max(F.when(F.col("w") > 0, F.col("f"))).over(Window.partitionBy())
-    return now.select(*MARGINALS, F.when((F.col("w") > 0) & (most > 0), F.least(F.col("f") / most, F.lit(1.0))).otherwise(1.0).alias("p"))
+    most = now.agg(F.max(F.when(F.col("w") > 0, F.col("f"))).alias("most"))
+    return now.crossJoin(most).select(*MARGINALS, F.when((F.col("w") > 0) & (F.col("most") > 0), F.least(F.col("f") / F.col("most"), F.lit(1.0))).otherwise(1.0).alias("p"))
 
 
 def sample_to_targets(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None, temper: float = TEMPER, topic: Column | None = None, details: bool = False, keep: float | None = None) -> DataFrame:
@@ -112,7 +125,7 @@ def sample_to_targets(docs: DataFrame, targets: Mapping[str, Mapping[str, float]
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
-    return sample_to_targets(docs, details=True)
+    return sample_to_targets(docs, details=True, keep=KEEP)
 
 
 def _sql() -> str:
@@ -121,16 +134,18 @@ def _sql() -> str:
     for i in range(ROUNDS):
         for m in MARGINALS:
             to = f"r{i}_{m}"
-            steps.append(f"{to} AS (SELECT * REPLACE (CASE WHEN mass > 0 THEN f * t_{m} / mass ELSE f END AS f) FROM (SELECT * EXCLUDE (mass), sum(w * f) OVER (PARTITION BY {m}) AS mass FROM {at}))")
+            steps.append(f"{to} AS (SELECT * REPLACE (CASE WHEN mass > 0 THEN least(f * t_{m} / mass, 1.0::DOUBLE) ELSE f END AS f) FROM (SELECT * EXCLUDE (mass), sum(w * f) OVER (PARTITION BY {m}) AS mass FROM {at}))")
             at = to
-    tempered = ", ".join(f"pow(sum(w) OVER (PARTITION BY {m}), {TEMPER}) AS t_{m}" for m in MARGINALS)
+    tempered = ", ".join(f"pow(sum(w) OVER (PARTITION BY {m}), {TEMPER}) AS t_{m}, sum(w) OVER (PARTITION BY {m}) AS own_{m}" for m in MARGINALS)
+    scaled = ", ".join(f"{KEEP}::DOUBLE * sum(w) OVER () * t_{m} / sum(CASE WHEN own_{m} > 0 THEN t_{m} * w / own_{m} ELSE 0 END) OVER () AS t_{m}" for m in MARGINALS)
     words = "len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'))"
     return f"""
 WITH d AS (SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang, {topics} AS topic, CAST(coalesce({words}, 0) AS BIGINT) AS n_tokens, coalesce(CAST(doc_id AS VARCHAR), text, '') AS key FROM documents),
 cells AS (SELECT source, lang, topic, CAST(sum(n_tokens) AS DOUBLE) AS w FROM d GROUP BY ALL),
-r0 AS (SELECT *, CAST(1 AS DOUBLE) AS f, {tempered}, CAST(0 AS DOUBLE) AS mass FROM cells),
+own AS (SELECT *, {tempered} FROM cells),
+r0 AS (SELECT source, lang, topic, w, CAST({KEEP} AS DOUBLE) AS f, {scaled}, CAST(0 AS DOUBLE) AS mass FROM own),
 {", ".join(steps)},
-p AS (SELECT source, lang, topic, CASE WHEN w > 0 AND most > 0 THEN least(f / most, 1.0) ELSE 1.0 END AS p FROM (SELECT *, max(CASE WHEN w > 0 THEN f END) OVER () AS most FROM {at}))
+p AS (SELECT source, lang, topic, CASE WHEN w > 0 THEN f ELSE 1.0 END AS p FROM {at})
 SELECT doc_id, source, lang, topic, n_tokens, CAST(floor(p * 1e6) AS BIGINT) AS p_millionths FROM d JOIN p USING (source, lang, topic)
 WHERE CAST(CAST('0x' || substr(md5(key), 1, 8) AS UBIGINT) AS DOUBLE) / 4294967296.0 < p"""
 
