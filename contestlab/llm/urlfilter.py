@@ -7,7 +7,8 @@ from the spread of the rates of that level (the intra-class correlation rho give
 the lower bound of its posterior bad rate, mean - z * deviation, is above a threshold.
 
 All of it is DataFrame expressions. Counts are pre-aggregated by host before they are shuffled; the host
-table is joined back without a hint, so a hot host is split by the adaptive join.
+table is written once, all levels are worked out from it, and it is joined back without a hint, so a hot host is
+split by the adaptive join.
 
 Defined cases: a null url or one without '://' has an empty host and path, fits no rule, and is judged by the
 reputation of the empty host. Hosts without labelled pages are judged by their domain's posterior. Labels
@@ -22,7 +23,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, table
+from .common import ascii_lower, materialize, table
 
 #: host, path, verdict. Fixed values of the contract.
 RULES = (
@@ -53,12 +54,12 @@ def match_rule(host: Column, path: Column, rules: Sequence[tuple[str, str, str]]
     return rule, verdict
 
 
-def _parents(host: Column) -> tuple[Column, Column]:
+def _parents(host: Column, two_labels: Sequence[str] = TWO_LABEL_SUFFIXES) -> tuple[Column, Column]:
     """domain, suffix."""
     labels = F.split(host, r"\.")
     n = F.size(labels)
     last2 = F.array_join(F.slice(labels, F.greatest(n - 1, F.lit(1)), 2), ".")
-    k = F.when(last2.isin(*TWO_LABEL_SUFFIXES), 2).otherwise(1)
+    k = F.when(last2.isin(*two_labels), 2).otherwise(1)
     cut = lambda m: F.array_join(F.slice(labels, F.greatest(n - m + 1, F.lit(1)), m), ".")
     return cut(k + 1), cut(k)
 
@@ -74,13 +75,13 @@ def _strength(counts: DataFrame, mean: DataFrame) -> DataFrame:
     return s.select(F.least(F.greatest(F.coalesce(found, F.lit(MOST_STRENGTH)), F.lit(LEAST_STRENGTH)), F.lit(MOST_STRENGTH)).alias("m"))
 
 
-def host_reputation(pages: DataFrame, labels: DataFrame) -> DataFrame:
-    """host, n_labelled, n_bad, a, b: the posterior Beta(a, b) of the bad rate for every host of pages."""
+def host_reputation(pages: DataFrame, labels: DataFrame, two_labels: Sequence[str] = TWO_LABEL_SUFFIXES) -> DataFrame:
+    """host, n_labelled, n_bad, a, b: the posterior Beta(a, b) of the bad rate for every host of pages. two_labels: suffixes of two labels."""
     mine = pages.select(F.col("page_id").cast("long").alias("id"), split_url(F.col("url"))[0].alias("host"))
     seen = labels.filter("quality is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("quality") == 0).cast("long")).alias("bad"))
     hosts = mine.join(seen, "id", "left").groupBy("host").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
-    domain, suffix = _parents(F.col("host"))
-    hosts = hosts.select("host", domain.alias("domain"), suffix.alias("suffix"), "n", "bad")
+    domain, suffix = _parents(F.col("host"), two_labels)
+    hosts = materialize(hosts.select("host", domain.alias("domain"), suffix.alias("suffix"), "n", "bad"), "hosts")
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     mean = suffixes.agg(F.coalesce(F.try_divide(F.sum("bad"), F.sum("n")), F.lit(0.0)).alias("mu"))
@@ -92,11 +93,11 @@ def host_reputation(pages: DataFrame, labels: DataFrame) -> DataFrame:
     return low.select("host", n.alias("n_labelled"), bad.alias("n_bad"), (bad + m * p).alias("a"), (n - bad + m * (1 - p)).alias("b"))
 
 
-def judge_pages(pages: DataFrame, labels: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, z: float = Z, max_bad: float = MAX_BAD) -> DataFrame:
+def judge_pages(pages: DataFrame, labels: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, z: float = Z, max_bad: float = MAX_BAD, two_labels: Sequence[str] = TWO_LABEL_SUFFIXES) -> DataFrame:
     """page_id, host, path, rule, verdict, n_labelled, n_bad for each row of pages."""
     a, b = F.col("a"), F.col("b")
     bound = a / (a + b) - z * F.sqrt(a * b / (F.pow(a + b, 2) * (a + b + 1)))
-    judged = host_reputation(pages, labels).select("host", "n_labelled", "n_bad", F.when(bound > max_bad, "block").otherwise("allow").alias("own"))
+    judged = host_reputation(pages, labels, two_labels).select("host", "n_labelled", "n_bad", F.when(bound > max_bad, "block").otherwise("allow").alias("own"))
     host, path = split_url(F.col("url"))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), path.alias("path"))
     rule, verdict = match_rule(F.col("host"), F.col("path"), rules)
