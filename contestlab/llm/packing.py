@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import materialize, slices, table
 
 TOKENIZER, END_ID = "word_bpe_49k.json", 1
 LENGTH, SLOT, ROUND, QUEUES = 2048, 256, 8, 2_000
@@ -96,8 +96,7 @@ def _tokenise(path: str):
         encode, end, at = shared_tokenizer(path), np.array([END_ID], "<u2").tobytes(), {}
         part = TaskContext.get().partitionId()
         for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                piece = batch.slice(i, 256)
+            for piece in slices(batch, 2):
                 ids = [x + end for x in encode(piece.column(2).cast(pa.binary()).to_pylist())]
                 sizes, starts = [len(x) // 2 for x in ids], []
                 for source, n in zip(piece.column(1).to_pylist(), sizes, strict=True):
