@@ -87,3 +87,13 @@ def slices(batch: pa.RecordBatch, column: int, rows: int = 256, octets: int = 4
         b = min(a + rows, max(a + 1, int(np.searchsorted(size, (size[a - 1] if a else 0) + octets, "right"))))
         yield batch.slice(a, b - a)
         a = b
+
+
+#: DuckDB SQL of a one-row table with the 256 steps of CRC-32 as a list, tab.
+CRC_TABLE_SQL = "(SELECT list(list_reduce([i] || range(8), lambda c, _: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) ORDER BY i) AS tab FROM range(256) r(i))"
+
+
+def crc32_sql(text: str, tab: str = "tab") -> str:
+    """DuckDB SQL of the unsigned CRC-32 of a text's UTF-8 bytes; tab: the column of CRC_TABLE_SQL."""
+    octets = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda o: CAST('0x' || o AS BIGINT))"
+    return f"xor(list_reduce([4294967295::BIGINT] || {octets}, lambda c, o: xor({tab}[xor(c, o) % 256 + 1], c // 256)), 4294967295)"
