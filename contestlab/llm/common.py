@@ -33,11 +33,14 @@ def shared_dir(spark: SparkSession) -> str:
 _open: list[list[DataFrame]] = []
 
 
-def materialize(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back: cuts lineage, survives lost executors. keep: also beyond scratch()."""
+def materialize(df: DataFrame, name: str, keep: bool = False, records: int = 0) -> DataFrame:
+    """Write df as Parquet into the shared folder and read it back: cuts lineage, survives lost executors.
+
+    keep: also beyond scratch(); records: at most so many in a file, for rows of megabytes.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("maxRecordsPerFile", records).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._folder = path
     if _open and not keep:

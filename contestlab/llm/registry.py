@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("simhash", "urlfilter", "linededup", "mixing", "packing", "toxicity", "langid", "lm", "embdedup", "ann", "repair", "sharding")
+MODULES = ("simhash", "urlfilter", "linededup", "mixing", "packing", "toxicity", "langid", "lm", "embdedup", "ann", "resample", "repair", "sharding")
 
 
 def _merged(name: str) -> dict:
