@@ -245,8 +245,9 @@ class Repair:
         """conv_id, at, role, text: the repaired turns, numbered from 0."""
         at = self.solved.select("conv_id", F.posexplode("lines").alias("at", "line")).select("conv_id", "at", "line.*")
         texts = self.turns.select("pos", F.col("role").alias("own"), "text")
-        # the place of a row is unique; inserted turns have none and meet no text
-        return at.join(texts, "pos", "left").select("conv_id", "at", F.coalesce("role", "own").alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+        # the place of a row is unique; inserted turns have none and stay out of the join, where they would be one key
+        kept = at.filter("pos is not null").join(texts, "pos").select("conv_id", "at", F.coalesce("role", "own").alias("role"), "text")
+        return kept.unionByName(at.filter("pos is null").select("conv_id", "at", "role", F.lit("").alias("text")))
 
     @property
     def gaps(self) -> DataFrame:
