@@ -105,8 +105,43 @@ def area_create(spark, sf_dir):
 _GUARDED = "SELECT p_brand, count(*) AS n, max(p_size) AS most FROM part GROUP BY p_brand"
 
 
+#: Statements, and the SQL of how many rows each gives; None: it is turned away.
+_STATEMENTS = (
+    (_GUARDED, f"(SELECT count(*) FROM ({_GUARDED}))"),
+    ("SELECT * FROM part", "least(500, (SELECT count(*) FROM part))"),
+    ("SELECT p_name FROM part WHERE p_size > 40 LIMIT 10", "least(10, (SELECT count(*) FROM part WHERE p_size > 40))"),
+    ("WITH supplier AS (SELECT p_partkey FROM part WHERE p_size = 1) SELECT * FROM supplier", "least(500, (SELECT count(*) FROM part WHERE p_size = 1))"),
+    ("SELECT p_size FROM part UNION SELECT 1", "least(500, (SELECT count(*) FROM (SELECT p_size FROM part UNION SELECT 1)))"),
+    ("SELECT * FROM supplier", None),
+    ("WITH supplier AS (SELECT * FROM supplier) SELECT * FROM supplier", None),
+    ("SELECT u.* FROM (WITH supplier AS (SELECT 1 AS y) SELECT * FROM supplier) t JOIN supplier u ON true", None),
+    ("SELECT * FROM IDENTIFIER('supplier')", None),
+    ("SELECT (SELECT max(s_suppkey) FROM supplier) FROM part", None),
+    ("SELECT * FROM part; DROP TABLE part", None),
+    ("INSERT INTO part SELECT * FROM part", None),
+    ("SELECT java_method('java.lang.System', 'nanoTime')", None),
+    ("SELECT current_user FROM part", None),
+    ("SELECT * FROM range(10)", None),
+    ("SELECT p_nothing FROM part", None),
+)
+
+
 def guard_sql(spark, sf_dir):
-    return G.run(spark, _GUARDED, {"part": read(spark, sf_dir, "part")})
+    """One statement's rows. It ends in time at any size or not at all; the limit of time is the feature."""
+    return G.run(spark, _GUARDED, {"part": read(spark, sf_dir, "part")}, seconds=600)
+
+
+def guard_sql_verdicts(spark, sf_dir):
+    """What becomes of each statement, where only part is allowed though supplier is a view of the session too."""
+    read(spark, sf_dir, "supplier").createOrReplaceTempView("supplier")
+    tables, found = {"part": read(spark, sf_dir, "part")}, []
+    for i, (sql, _) in enumerate(_STATEMENTS):
+        try:
+            ran = G.analysed(spark, sql, tables).agg(F.count(F.lit(1)).alias("rows")).first().rows
+            found.append((i, "accepted", ran))
+        except G.Rejected:
+            found.append((i, "rejected", None))
+    return spark.createDataFrame(found, "statement int, verdict string, rows long")
 
 
 _PART = "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double"
@@ -245,6 +280,7 @@ QUERIES = {
     "area_resolve": area_resolve,
     "area_create": area_create,
     "guard_sql": guard_sql,
+    "guard_sql_verdicts": guard_sql_verdicts,
     "str_comparable": lambda spark, sf_dir: read(spark, sf_dir, "part").select("p_partkey", X.comparable(F.col("p_name")).alias("name")),
     "sink_csv": sink_csv,
     "sink_upsert": sink_upsert,
@@ -288,6 +324,7 @@ SQL = {
     "area_create": f"""WITH n AS (SELECT {_FOLDED} AS alias, p_type || '-' || p_brand AS name, p_size % 3 AS block_id FROM part WHERE p_size % 3 != 0 AND p_brand NOT LIKE '%1%')
   SELECT (SELECT coalesce(max(length(p_type)), 0) FROM part WHERE p_brand LIKE '%1%') + row_number() OVER (ORDER BY alias) AS area_id, CAST(min(block_id) AS INT) AS block_id, min(name) AS name, alias FROM n GROUP BY alias""",
     "guard_sql": _GUARDED,
+    "guard_sql_verdicts": " UNION ALL ".join(f"SELECT CAST({i} AS INT) AS statement, '{'accepted' if rows else 'rejected'}' AS verdict, CAST({rows or 'NULL'} AS BIGINT) AS rows" for i, (_, rows) in enumerate(_STATEMENTS)),
     "str_comparable": f"SELECT p_partkey, {_COMPARABLE} AS name FROM part",
     "sink_csv": _ALL,
     "sink_copy": _ALL,
