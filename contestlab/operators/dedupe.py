@@ -11,48 +11,34 @@ from __future__ import annotations
 import uuid
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from contestlab.functions import text as T
+from contestlab.shared import shared_dir, written
 
 SEGMENTS = ((53, 11), (42, 11), (31, 11), (20, 11), (10, 10), (0, 10))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, which a cluster names in spark.checkpoint.dir; only in local mode it may be unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return found or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/shared"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df, written to the shared folder and read again: a short lineage that lost executors don't touch."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def segment_keys(simhash: Column) -> list[Column]:
+    """The 20 keys of a hash: each choice of three of its six segments. Hashes within 3 bits share one at least."""
+    part = lambda i: F.shiftrightunsigned(simhash, SEGMENTS[i][0]).bitwiseAND(F.lit((1 << SEGMENTS[i][1]) - 1))
+    return [F.concat(F.lit(chr(65 + n)), *(F.lpad(F.hex(part(i)), 3, "0") for i in three)) for n, three in enumerate(combinations(range(len(SEGMENTS)), 3))]
 
 
 def links(hashes: DataFrame, threshold: int = T.HAMMING) -> DataFrame:
     """u, v: the pairs of distinct hashes (id, simhash) within threshold bits, u before v by id."""
     if not 0 <= threshold <= 3:
         raise ValueError("the segments serve up to 3 differing bits")
-    part = lambda i: F.shiftrightunsigned("simhash", SEGMENTS[i][0]).bitwiseAND(F.lit((1 << SEGMENTS[i][1]) - 1))
-    keys = [F.concat(F.lit(chr(65 + n)), *(F.lpad(F.hex(part(i)), 3, "0") for i in three)) for n, three in enumerate(combinations(range(len(SEGMENTS)), 3))]
-    rows = hashes.select("id", "simhash", F.explode(F.array(*keys)).alias("key"))
+    rows = hashes.select("id", "simhash", F.explode(F.array(*segment_keys(F.col("simhash")))).alias("key"))
     a, b = rows.alias("a"), rows.alias("b")
     near = (F.col("a.id") < F.col("b.id")) & (T.hamming(F.col("a.simhash"), F.col("b.simhash")) <= threshold)
     return a.join(b, (F.col("a.key") == F.col("b.key")) & near).select(F.col("a.id").alias("u"), F.col("b.id").alias("v")).distinct()
 
 
-def first_seen(items: DataFrame, threshold: int = T.HAMMING) -> DataFrame:
-    """items (id, simhash; earlier ids come first) with kept, and of the first of its hash, `of`."""
-    # a minimum that is aggregated before the shuffle: copies of one hash don't meet in one task
-    rows = items.select("id", "simhash").join(items.groupBy("simhash").agg(F.min("id").alias("of")), "simhash")
-    edges = written(links(rows.filter("id = of").select("id", "simhash"), threshold), "near")
-    gone = edges.select(F.col("u").alias("id")).limit(0)
-    left = edges
+def settle(edges: DataFrame) -> DataFrame:
+    """id of what goes. edges (u, v; stored): pairs that are near, u before v; v goes if a u of its that stays is near."""
+    gone, left = edges.select(F.col("u").alias("id")).limit(0), edges
     while not left.isEmpty():
         later = left.select(F.col("v").alias("id")).distinct()
         stay = left.select(F.col("u").alias("id")).distinct().join(later, "id", "left_anti")
@@ -60,7 +46,15 @@ def first_seen(items: DataFrame, threshold: int = T.HAMMING) -> DataFrame:
         gone = gone.unionByName(out)
         # what goes takes its links along; so do those that stay, as all their neighbours are gone
         left = written(left.join(out.select(F.col("id").alias("u")), "u", "left_anti").join(out.select(F.col("id").alias("v")), "v", "left_anti"), "left")
-    marked = gone.withColumnRenamed("id", "of").distinct().withColumn("gone", F.lit(True))
+    return gone
+
+
+def first_seen(items: DataFrame, threshold: int = T.HAMMING) -> DataFrame:
+    """items (id, simhash; earlier ids come first) with kept, and of the first of its hash, `of`."""
+    # a minimum that is aggregated before the shuffle: copies of one hash don't meet in one task
+    rows = items.select("id", "simhash").join(items.groupBy("simhash").agg(F.min("id").alias("of")), "simhash")
+    edges = written(links(rows.filter("id = of").select("id", "simhash"), threshold), "near")
+    marked = settle(edges).withColumnRenamed("id", "of").distinct().withColumn("gone", F.lit(True))
     return rows.join(marked, "of", "left").select("id", "simhash", (F.col("gone").isNull() & (F.col("id") == F.col("of"))).alias("kept"))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +17,7 @@ from contestlab.plans.views import ORDER, refresh
 from contestlab.sources import sheets as S
 from contestlab.sources import tables as B
 from contestlab.streaming import jobs as J
+from contestlab.streaming import state as W
 
 from .derived import star_views
 from .texts import read
@@ -229,13 +231,13 @@ def stream_dedupe(spark, sf_dir):
 
 
 def stream_dedupe_titles(spark, sf_dir):
-    """Documents as titles: those that no earlier one is near to."""
-    rows = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), T.simhash(T.fold(F.col("text"))).alias("simhash"))
+    """Documents as titles, one a minute: those that no earlier one that stays is near to."""
+    rows = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), T.simhash(T.fold(F.col("text"))).alias("simhash"), F.timestamp_seconds(F.lit(1_700_000_000) + F.col("doc_id") * 60).alias("seen"))
     path = _path(spark, "titles")
     rows.repartitionByRange(3, "id").sortWithinPartitions("id").write.parquet(path)
-    stream = spark.readStream.schema("id long, simhash long").option("maxFilesPerTrigger", 1).parquet(path)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
     kept = _path(spark, "kept")
-    J.keep_new_titles(stream, kept, _path(spark, "progress")).awaitTermination()
+    W.keep_new_titles(stream, kept, _path(spark, "progress"), memory=timedelta(days=36_500)).awaitTermination()
     return spark.read.parquet(kept).select("id", "simhash")
 
 
@@ -253,6 +255,32 @@ def stream_budget(spark, sf_dir):
     return _taken_in(spark, J.running_budget(_stream(spark, calls, "calls"), 60, late="400 days"), ["user_id", "day"], "used")
 
 
+def _arrivals(spark, rows: DataFrame, number: str, n: int, name: str) -> DataFrame:
+    """rows as they come in, read as a stream: one file for each arrival, numbered 0 to n - 1, which is one micro-batch; files are taken in the order of writing."""
+    path = _path(spark, name)
+    for k in range(n):
+        rows.filter(F.col(number) == k).drop(number).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(rows.drop(number).schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def stream_budget_calls(spark, sf_dir):
+    """Each call as it arrives, a week's at a time: what its user has used of the day, and the decision."""
+    week = F.floor(F.datediff(F.to_date("ts"), F.lit("2024-01-01")) / 7)
+    calls = _events(spark, sf_dir).select("user_id", F.col("event_id").alias("call_id"), "ts", (F.col("event_id") % 50 + 1).alias("tokens"), week.alias("week"))
+    stream, out = _arrivals(spark, calls, "week", 5, "calls"), _path(spark, "decided")
+    with W.rocks(spark):
+        query = W.decided_calls(stream, 60).writeStream.format("parquet").option("path", out).option("checkpointLocation", _path(spark, "progress")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema("user_id long, call_id long, day date, used long, state string").parquet(out)
+
+
+def late_data_stream(spark, sf_dir):
+    """Events that arrive up to eight days after they happened, four days' at a time: how many of each arrival a watermark of 12 hours dropped, by the stream's own counts. Spark drops by the watermark that held one micro-batch before."""
+    arrived = F.datediff(F.to_date(F.col("ts") + F.make_dt_interval((F.col("event_id") % 5 * 2).cast("int"))), F.lit("2024-01-01"))
+    stream = _arrivals(spark, _events(spark, sf_dir).withColumn("part", F.floor(arrived / 4)), "part", 10, "late")
+    return W.once_each_counted(stream, "event_id", "ts", "12 hours", _path(spark, "once"), _path(spark, "progress"))
+
+
 def stream_roll_window(spark, sf_dir):
     """Roll changes as they arrive, with the last roll at or before their day."""
     data = star_views(spark, sf_dir).data
@@ -294,9 +322,11 @@ QUERIES = {
     "stream_tumbling_week": stream_tumbling_week,
     "sched_jobs": sched_jobs,
     "stream_budget": stream_budget,
+    "stream_budget_calls": stream_budget_calls,
     "stream_roll_window": stream_roll_window,
     "stream_retention": stream_retention,
     "late_data": late_data,
+    "late_data_stream": late_data_stream,
 }
 
 _ROWS = f"""rows AS (SELECT p_partkey AS n, p_partkey // {SHEET} AS doc, p_partkey % {SHEET} + 1 AS station, p_size AS a, p_partkey % 7 AS b, p_partkey % 3 AS c, p_size % 4 AS nota, CAST(p_partkey % 101 = 0 AS INT) AS off
@@ -337,7 +367,15 @@ SQL = {
     "stream_tumbling_week": "SELECT CAST(date_trunc('week', ts) AS DATE) AS week, event_type, count(*) AS n FROM events GROUP BY 1, 2",
     "sched_jobs": "SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2",
     "stream_budget": "SELECT user_id, day, used, CASE WHEN used >= 60 THEN 'blocked' WHEN used >= 48 THEN 'degraded' ELSE 'fine' END AS state FROM (SELECT user_id, CAST(ts AS DATE) AS day, CAST(sum(event_id % 50 + 1) AS BIGINT) AS used FROM events GROUP BY 1, 2)",
+    "stream_budget_calls": """WITH c AS (SELECT user_id, event_id, ts, CAST(ts AS DATE) AS day, event_id % 50 + 1 AS tokens FROM events),
+  s AS (SELECT *, CAST(coalesce(sum(tokens) OVER (PARTITION BY user_id, day ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before FROM c),
+  u AS (SELECT *, least(before, coalesce(min(before) FILTER (before >= 60) OVER (PARTITION BY user_id, day), before)) AS used FROM s)
+  SELECT user_id, event_id AS call_id, day, used, CASE WHEN used >= 60 THEN 'blocked' WHEN used >= 48 THEN 'degraded' ELSE 'fine' END AS state FROM u""",
     "stream_roll_window": over_views("SELECT DISTINCT c.unit_id, c.day, c.additions, s.electors FROM roll_changes c ASOF LEFT JOIN snapshots s ON c.unit_id = s.unit_id AND c.day >= s.day"),
     "stream_retention": "SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-01-15 00:00:00'",
+    "late_data_stream": """WITH e AS (SELECT ts, date_diff('day', TIMESTAMP '2024-01-01', date_trunc('day', ts + to_hours(event_id % 5 * 48))) // 4 AS part FROM events),
+  b AS (SELECT part, max(ts) AS last FROM e GROUP BY 1),
+  m AS (SELECT part, max(last) OVER (ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 2 PRECEDING) AS before, row_number() OVER (ORDER BY part) - 1 AS batch FROM b)
+  SELECT batch, count(*) AS rows, min(ts) AS first, max(ts) AS last, count(*) FILTER (ts <= date_trunc('millisecond', before) - INTERVAL 12 HOURS) AS late FROM e JOIN m USING (part) GROUP BY batch""",
     "late_data": "SELECT CAST(ts AS DATE) AS day, count(*) AS rows, CAST(sum(CAST(event_id % 5 > 2 AS INT)) AS BIGINT) AS late FROM events GROUP BY 1",
 }

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from contestlab.functions import text as T
-from contestlab.operators.dedupe import first_seen, written
 
 FEED = "url string, title string, summary string, published timestamp"
 
@@ -59,28 +58,6 @@ def merge_into(df: DataFrame, path: str, checkpoint: str, mode: str = "append")
     return df.writeStream.foreachBatch(one).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def keep_new_titles(items: DataFrame, path: str, checkpoint: str, memory: int | None = None) -> StreamingQuery:
-    """items (id, simhash; ids grow with time): stores those that no earlier one kept is near to.
-
-    Each micro-batch meets what is kept already in the same blocked join as in first_seen(). memory: only kept items
-    whose id is no smaller than the batch's least id less memory count. Safe to run again: a batch overwrites itself.
-    """
-
-    def one(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        batch = written(batch.select("id", "simhash"), "batch")
-        known = batch.limit(0)
-        if epoch:
-            known = spark.read.schema("id long, simhash long, epoch long").parquet(path).filter(F.col("epoch") < epoch).select("id", "simhash")
-            if memory is not None:
-                least = batch.agg(F.coalesce(F.min("id"), F.lit(0)).alias("least"))
-                known = known.crossJoin(least).filter(F.col("id") >= F.col("least") - memory).select("id", "simhash")
-        kept = first_seen(written(known.unionByName(batch), "titles")).filter("kept").select("id", "simhash")
-        kept.join(batch.select("id"), "id", "left_semi").write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
-
-    return items.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
 def latest(spark: SparkSession, path: str, keys: list[str], order: str) -> DataFrame:
     """The newest row of each key; rows are written once for each epoch, so of equal order the later epoch counts."""
     rows = spark.read.parquet(path)
