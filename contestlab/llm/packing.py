@@ -14,7 +14,7 @@ is a few numbers for each queue.
 
 Jobs: (1) tokenise and write ids with each document's place in its part of its queue; (2) sum tokens by part
 and source, and prefix sums over parts; (3) cut documents at the slots and emit pieces. The driver sees one
-row per queue: the QUEUES largest sources have one each, all others share one. Texts are not shuffled.
+row per queue: sources with a target and the largest others, QUEUES in all, have one each, the rest share one. Texts are not shuffled.
 
 Defined cases: a null or empty text is one token, the end id 1. Null and empty sources are one queue. Sources
 without a target have share 0 and go to the tail. Repeated rows and null ids are packed like any other row.
@@ -30,6 +30,7 @@ from collections.abc import Mapping, Sequence
 from functools import cache
 from itertools import chain
 from math import gcd
+from unicodedata import normalize
 
 import numpy as np
 import pyarrow as pa
@@ -73,7 +74,8 @@ class WordTokenizer:
         split, bare = [], set()
         for w in missing:
             base = w.rstrip(PUNCTUATION)
-            if base and len(base) < len(w) and base.decode()[-1].isalpha() and b"<|" not in w:
+            # the tokenizer composes and lower-cases first: then some letters end in a mark, which goes with the punctuation
+            if base and len(base) < len(w) and normalize("NFC", base.decode()).lower()[-1].isalpha() and b"<|" not in w:
                 split.append((w, base, w[len(base) :]))
                 bare.update(split[-1][1:])
             else:
@@ -254,7 +256,7 @@ def pack(docs: DataFrame, targets: Mapping[str, float] | None = None, tokenizer:
     """One row per piece.
 
     targets: share of each source, by default its tokens to the power temper, so that below 1 rare sources come
-    early and often; tokenizer: path of its file, of at most 65,536 ids; queues: sources with a queue of their own.
+    early and often; tokenizer: path of its file, of at most 65,536 ids; queues: sources with a queue of their own, but no fewer than there are targets.
     """
     if tokenizer is None:
         import public_tokenizers
@@ -263,12 +265,13 @@ def pack(docs: DataFrame, targets: Mapping[str, float] | None = None, tokenizer:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), F.col("text").cast("string").alias("text"))
     ids = materialize(rows.mapInArrow(_tokenise(tokenizer), "doc_id long, source string, part int, at long, n long, ids binary"), "ids")
     sums = materialize(ids.groupBy("source", "part").agg(F.sum("n").alias("n")), "parts")
-    own = sums.groupBy("source").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "source").limit(queues).collect()
+    aimed = F.col("source").isin([k for k, v in targets.items() if v > 0]) if targets else F.lit(False)
+    own = sums.groupBy("source").agg(F.sum("n").alias("n")).orderBy(aimed.desc(), F.desc("n"), "source").limit(max(queues, len(targets or ()))).collect()
     names, tokens = [r[0] for r in own], [r[1] for r in own]
     rest = (sums.agg(F.sum("n")).first()[0] or 0) - sum(tokens)
     shares = [float(targets.get(x, 0.0)) for x in names] if targets else [float(x) ** temper for x in tokens]
     if rest:  # one queue for all other sources
-        shares.append(sum(map(float, targets.values())) - sum(shares) if targets else float(rest) ** temper)
+        shares.append(0.0 if targets else float(rest) ** temper)
         tokens.append(rest)
     queue = F.broadcast(docs.sparkSession.createDataFrame(list(zip(names, range(len(names)), strict=True)), "source string, queue int"))
     sums = sums.join(queue, "source", "left").withColumn("queue", F.coalesce("queue", F.lit(len(names))))

@@ -126,3 +126,25 @@ def test_pieces_with_targets(spark, how):
     texts = {i: "word or two " * (3 + i * 31 % 400) for i in range(200)}
     rows = [(i, t, "aaaaabbcd"[i % 9], 1, "x") for i, t in texts.items()]
     check(packing.pack(spark.createDataFrame(rows, SCHEMA).repartition(3), **how).collect(), texts)
+
+
+def test_every_letter_before_punctuation():
+    """Some letters end in a mark once they are composed and lower-cased; what follows them is part of the mark's token."""
+    letters = [c for c in map(chr, range(0x80, 0x110000)) if c.isalpha() and not 0xD800 <= ord(c) < 0xE000]
+    encode = packing.WordTokenizer(public_tokenizers.path(packing.TOKENIZER))
+    t = Tokenizer.from_file(public_tokenizers.path(packing.TOKENIZER))
+    for form in ("{},", "ab{}).", "{}'s,"):
+        words = [form.format(c) for c in letters]
+        want = t.encode_batch_fast(words, add_special_tokens=False)
+        got = encode([w.encode() for w in words])
+        wrong = [w for w, a, b in zip(words, got, want, strict=True) if np.frombuffer(a, "<u2").tolist() != b.ids]
+        assert not wrong, (len(wrong), wrong[:20])
+
+
+def test_a_small_source_keeps_its_target(spark):
+    """A target counts also where many larger sources would take all queues."""
+    rows = [(i, "word or two " * 700, f"s{i % 4}", 1, "x") for i in range(60)] + [(100 + i, "word or two " * 700, "rare", 1, "x") for i in range(12)]
+    got = packing.pack(spark.createDataFrame(rows, SCHEMA).repartition(3), targets={"rare": 1, "s1": 1}, queues=1).collect()
+    first = [r for r in got if r.sequence_id < 8]
+    share = sum(r.length for r in first if r.source == "rare") / sum(r.length for r in first)
+    assert abs(share - 0.5) < 0.05 and {r.source for r in first} == {"rare", "s1"}
