@@ -9,7 +9,8 @@ scoring a byte is mostly one lookup in numpy for all languages together.
 
 Training takes a bounded sample: texts are cut into blocks of BLOCK bytes, each drawn by a hash of its id and place,
 about SAMPLE_BYTES a language, so that long and short texts are met alike. Spark counts the grams of the drawn blocks;
-the driver gets the distinct ones, SAMPLE_BYTES a language at most. Languages are expected to be few, as labels are.
+the driver gets the distinct ones, SAMPLE_BYTES a language at most, of the LANGUAGES that have most text (800 MB at the very most; some
+10 MB for four languages).
 Scoring reads whole texts, the very long ones in pieces.
 
 Defined cases: null texts and texts without a letter are 'und' with score 0; so is every text if there is
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from .bytegram import PAD, ContextTree, codes_of, mask, merged, pieces, sums_by_text
 from .common import crc_mod, slices, table
 
-ORDER, SAMPLE_BYTES, BLOCK, HELD_OUT, PIECE = 4, 4 << 20, 4096, 1, 1 << 20
+ORDER, SAMPLE_BYTES, BLOCK, LANGUAGES, HELD_OUT, PIECE = 4, 4 << 20, 4096, 200, 1, 1 << 20
 
 
 Counts = tuple[np.ndarray, np.ndarray]
@@ -65,11 +66,12 @@ def build(found: dict[str, Counts], order: int = ORDER) -> tuple[list[str], Cont
     return names, ContextTree(grams, values, contexts, escapes, floor)
 
 
-def train(docs: DataFrame, sample_bytes: int = SAMPLE_BYTES, block: int = BLOCK) -> tuple[list[str], ContextTree] | None:
-    """The model of a sample of about sample_bytes of each language's texts that aren't held out."""
+def train(docs: DataFrame, sample_bytes: int = SAMPLE_BYTES, block: int = BLOCK, languages: int = LANGUAGES) -> tuple[list[str], ContextTree] | None:
+    """The model of a sample of about sample_bytes of each language's texts that aren't held out; languages: the most that are learnt, those with most text."""
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     rows = rows.filter((crc_mod(F.col("id"), 3) != HELD_OUT) & F.col("text").isNotNull() & F.col("lang").isNotNull())
-    share = rows.groupBy("lang").agg((sample_bytes / F.greatest(F.sum(F.octet_length("text")), F.lit(1))).alias("share"))
+    size = rows.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("size")).orderBy(F.desc("size"), "lang").limit(languages)
+    share = size.select("lang", (sample_bytes / F.greatest("size", F.lit(1))).alias("share"))
 
     def grams(batches):
         held = {}
@@ -91,7 +93,8 @@ def train(docs: DataFrame, sample_bytes: int = SAMPLE_BYTES, block: int = BLOCK)
             keys, n = merged(found)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(keys.view(np.int64)), pa.array(n)], ["lang", "gram", "n"])
 
-    counts = rows.join(share, "lang").select("id", "text", "lang", "share").mapInArrow(grams, "lang string, gram long, n long")
+    # no more rows than languages are learnt: sent to the texts, which stay where they are
+    counts = rows.join(F.broadcast(share), "lang").select("id", "text", "lang", "share").mapInArrow(grams, "lang string, gram long, n long")
     counts = counts.groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
     if not len(counts):
         return None

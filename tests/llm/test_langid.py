@@ -2,6 +2,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+from pyspark.sql.classic.dataframe import DataFrame as Classic
 
 from contestlab.llm import langid
 from contestlab.llm.bytegram import Table, codes_of
@@ -77,3 +78,18 @@ def test_hard_rows(spark):
     assert len(got) == len(HARD) and {r.lang_pred for r in got if r.doc_id in (1, 2, 3)} == {"und"}
     assert langid.identify(docs.limit(0), langid.train(docs.limit(0))).count() == 0
     assert {r.lang_pred for r in langid.identify(docs, None).collect()} == {"und"}
+
+
+def test_training_leaves_texts_where_they_are(spark, monkeypatch):
+    """Whatever Spark's own threshold, no text is shuffled; labels beyond the most that are learnt are left out."""
+    seen = []
+    plain = Classic.mapInArrow
+    monkeypatch.setattr(Classic, "mapInArrow", lambda self, *a, **b: (seen.append(self._jdf.queryExecution().executedPlan().toString()), plain(self, *a, **b))[1])
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        docs = documents(spark, [(i, f"text of {x} " * 9, x, "s") for i in range(60) for x in ["en", "en", "fr", "de"][i % 4 : i % 4 + 1]])
+        names, _ = langid.train(docs, languages=2)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "BroadcastHashJoin" in seen[0] and "SortMergeJoin" not in seen[0] and len(names) == 2 and "en" in names
