@@ -8,8 +8,13 @@ which two texts of similarity s share one with probability 1 - (1 - s**ROWS)**BA
 compared exactly too; nothing is linked on a hash alone.
 
 A bucket is not paired in full. Its members are first compared with its least one; what that links is one component,
-inside which no further pair can change a result. All pairs of a bucket whose texts are still in different components
-are then compared. A large group of near copies so costs about one comparison a member, and no candidate is left out.
+inside which no further pair can change a result. A large group of near copies so costs about one comparison a member.
+Of a bucket whose texts are still in different components after that, all pairs across components are compared if it has no more than PAIRED
+texts, at most PAIRED / 2 a text. Texts of larger ones, often many of one template that aren't near, are matched by prefixes instead, which loses nothing:
+with the shingles of all texts in one order, rarest first, two texts of a similarity of at least t share one among the first
+(1 - t) n + 1 of the longer and the first (1 - t) / (1 + t) n + 1 of the shorter, and no later in either than the overlap that they need
+allows. What texts have of their own is rarer than their template, so those that are not near meet nowhere. The order is by
+counts in SLOTS hash slots; any order would give the same pairs.
 
 Defined cases: texts are words, lower-cased (A-Z); one of fewer words than a shingle is one shingle. Null, empty and
 blank texts are alike. Rows with a null id take part; ids of components are the least id that isn't null.
@@ -28,6 +33,7 @@ from .graph import connected_components
 from .simhash import hashes, links, majority
 
 SEED, WIDTH, LEAST, BANDS, ROWS = 42, 5, 0.8, 26, 6
+PAIRED, SLOTS = 64, 1 << 18
 CHUNK = 1 << 12
 _rng = np.random.default_rng(SEED)
 FLIP = _rng.integers(0, 1 << 64, BANDS * ROWS, np.uint64)
@@ -86,6 +92,55 @@ def _verify(width: int, least: float):
     return run
 
 
+def _slot_counts(width: int):
+    def run(batches):
+        counts = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            for text in batch.column(0).cast(pa.binary()).to_pylist():
+                counts += np.bincount((shingles(text, width) % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS)
+        used = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(counts[used], pa.int64())], ["slot", "n"])
+
+    return run
+
+
+PREFIXES = "token long, key long, part long, n int, at int, short boolean"
+
+
+def _prefixes(width: int, least: float, counts: np.ndarray):
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for key, part, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()).to_pylist(), strict=True):
+                found = shingles(text, width)
+                found = found[np.lexsort((found, counts[(found % np.uint64(SLOTS)).astype(np.int64)]))]
+                n = len(found)
+                long = n - int(np.ceil(least * n - 1e-9)) + 1
+                short = n - int(np.ceil(2 * least / (1 + least) * n - 1e-9)) + 1
+                at = np.arange(min(long, n))
+                rows.append((found[at].view(np.int64), np.full(len(at), key, np.int64), np.full(len(at), part, np.int64), np.full(len(at), n, np.int32), at.astype(np.int32), at < short))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*rows, strict=True)], [x.split()[0] for x in PREFIXES.split(", ")])
+
+    return run
+
+
+def prefix_pairs(texts: DataFrame, width: int = WIDTH, least: float = LEAST) -> DataFrame:
+    """u, v: pairs of keys of texts (key, text, part) of different parts, among them all of a similarity of at least `least`."""
+    slots = texts.select("text").mapInArrow(_slot_counts(width), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+    counts = np.zeros(SLOTS, np.int64)
+    for r in slots.collect():  # no more rows than slots
+        counts[r.slot] = r.n
+    rows = materialize(texts.select("key", "part", "text").mapInArrow(_prefixes(width, least, counts), PREFIXES), "prefixes")
+    a, b = rows.filter("short").alias("a"), rows.alias("b")
+    left = lambda x: F.col(f"{x}.n") - F.col(f"{x}.at")
+    need = F.lit(least / (1 + least)) * (F.col("a.n") + F.col("b.n")) - F.lit(1e-9)
+    # the first shingle that two texts share stands early enough in both for the overlap that they need
+    fits = (F.col("a.n") <= F.col("b.n")) & (F.col("a.n") >= F.col("b.n") * F.lit(least) - F.lit(1e-9)) & (F.col("a.part") != F.col("b.part")) & (F.least(left("a"), left("b")) >= need)
+    pairs = a.join(b, (F.col("a.token") == F.col("b.token")) & fits)
+    return pairs.select(F.least("a.key", "b.key").alias("u"), F.greatest("a.key", "b.key").alias("v")).distinct()
+
+
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, least: float = LEAST) -> DataFrame:
     """doc_id, component_id for each row: the least doc_id reachable by links of texts with a Jaccard similarity of at least `least`."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
@@ -120,10 +175,15 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     split = members.join(parts, "key", "left").select("band", "key", "n", F.coalesce("component", "key").alias("part"))
     mixed = split.groupBy("band").agg(F.min("part").alias("p"), F.max("part").alias("q")).filter("p < q").select("band")
     split = materialize(split.join(mixed, "band", "left_semi"), "split")
+    sizes = split.groupBy("band").agg(F.count(F.lit(1)).alias("members"))
+    large = sizes.filter(F.col("members") > PAIRED).select("band")
+    hard = materialize(split.join(large, "band", "left_semi").select("key", "part").distinct(), "hard")
+    split = split.join(large, "band", "left_anti")
     sides = split.select("band", "part").distinct()
     sides = sides.select("band", F.col("part").alias("p")).join(sides.select("band", F.col("part").alias("q")), "band").filter("p < q")
     one, two = (split.select("band", F.col("part").alias(p), F.col("key").alias(f"k{p}"), F.col("n").alias(f"n{p}")) for p in "pq")
-    cross = sides.join(one, ["band", "p"]).join(two, ["band", "q"]).filter(sized(F.col("np"), F.col("nq")))
+    cross = sides.join(one, ["band", "p"]).join(two, ["band", "q"]).filter(sized(F.col("np"), F.col("nq"))).select("kp", "kq")
+    cross = cross.unionByName(prefix_pairs(texts.join(hard, "key"), width, least).select(F.col("u").alias("kp"), F.col("v").alias("kq")))
     cross = cross.select(F.least("kp", "kq").alias("u"), F.greatest("kp", "kq").alias("v")).distinct().join(stars.unionByName(close), ["u", "v"], "left_anti")
     parts = connected_components(near.unionByName(linked(cross))).select(F.col("node").alias("key"), "component")
 

@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 import corpus_pipeline
 from contestlab.llm import neardup
 from tests.llm.cases import HARD, documents
@@ -40,7 +42,9 @@ def corpus():
     return list(enumerate(texts + ["", " \n", "a b", "A  b", "a c"], 10))
 
 
-def test_groups_equal_brute_force(spark):
+@pytest.mark.parametrize("paired", [64, 1])
+def test_groups_equal_brute_force(spark, monkeypatch, paired):
+    monkeypatch.setattr(neardup, "PAIRED", paired)
     rows = corpus()
     want = brute(rows)
     got = {r.doc_id: r.component_id for r in neardup.near_groups(documents(spark, [(*r, "en", "s") for r in rows])).collect()}
@@ -59,3 +63,34 @@ def test_hard_rows(spark):
     docs = documents(spark, HARD)
     assert sorted(r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()) == [1, 4, 5, 6, 7]
     assert neardup.near_groups(docs.limit(0)).count() == 0
+
+
+def test_prefixes_meet_all_that_are_near(spark):
+    """Random sets around the threshold: every near pair is among the pairs, whatever is common."""
+    rng, texts = random.Random(11), []
+    for i in range(400):
+        words = rng.choice(texts).split() if texts and rng.random() < 0.85 else [f"w{rng.randrange(60)}" for _ in range(rng.choice([3, 20, 60]))]
+        for _ in range(rng.randrange(0, 2)):
+            words[rng.randrange(len(words))] = f"w{rng.randrange(300)}"
+        texts.append(" ".join(words[: max(1, len(words) - rng.randrange(0, 6))]))
+    texts = list(dict.fromkeys(texts))
+    rows = spark.createDataFrame([(i, i, t) for i, t in enumerate(texts)], "key long, part long, text string")
+    got = {(r.u, r.v) for r in neardup.prefix_pairs(rows).collect()}
+    sets = [sets_of(t) for t in texts]
+    want = {(i, j) for j in range(len(texts)) for i in range(j) if near(sets[i], sets[j])}
+    assert want <= got and len(want) > 50
+
+
+def test_many_texts_of_one_template_are_not_paired(spark, monkeypatch):
+    """Thousands of texts share most of their words and aren't near, but for a few."""
+    rng = random.Random(3)
+    template = [f"t{i}" for i in range(160)]
+    rows = [(i, " ".join(template + [f"x{i}y{k}" for k in range(50)])) for i in range(5000)]
+    rows += [(6000 + i, rows[i * 7][1].replace(f"x{i * 7}y25", "other")) for i in range(40)]
+    rng.shuffle(rows)
+    seen, plain = [], neardup.prefix_pairs
+    monkeypatch.setattr(neardup, "prefix_pairs", lambda *a: (seen.append(neardup.materialize(plain(*a), "pairs")), seen[-1])[1])
+    got = {r.doc_id: r.component_id for r in neardup.near_groups(documents(spark, [(*r, "en", "s") for r in rows])).collect()}
+    want = {i: i for i, _ in rows} | {6000 + i: i * 7 for i in range(40)}
+    assert got == want
+    assert seen[0].count() < 5000
