@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,7 @@ def shared_dir(spark: SparkSession) -> str:
     return found or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/llm_shared"
 
 
-_open: list[list[DataFrame]] = []
+_open: ContextVar[list[DataFrame] | None] = ContextVar("scratch", default=None)
 
 
 def materialize(df: DataFrame, name: str, keep: bool = False, records: int = 0) -> DataFrame:
@@ -43,8 +44,8 @@ def materialize(df: DataFrame, name: str, keep: bool = False, records: int = 0)
     df.write.option("compression", "zstd").option("maxRecordsPerFile", records).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._folder = path
-    if _open and not keep:
-        _open[-1].append(out)
+    if (held := _open.get()) is not None and not keep:
+        held.append(out)
     return out
 
 
@@ -57,12 +58,14 @@ def discard(df: DataFrame) -> None:
 
 @contextmanager
 def scratch() -> Iterator[None]:
-    """On leaving, deletes what materialize() wrote inside: for work whose result is stored by then."""
-    _open.append([])
+    """On leaving, deletes what materialize() wrote inside, in this thread: for work whose result is stored by then."""
+    held: list[DataFrame] = []
+    token = _open.set(held)
     try:
         yield
     finally:
-        for df in _open.pop():
+        _open.reset(token)
+        for df in held:
             discard(df)
 
 
