@@ -16,6 +16,7 @@ from contestlab.plans.view_sql import over_views
 from contestlab.plans.views import ORDER, refresh
 from contestlab.sources import sheets as S
 from contestlab.sources import tables as B
+from contestlab.sources.stored import StoredTable
 from contestlab.streaming import jobs as J
 from contestlab.streaming import state as W
 
@@ -162,19 +163,31 @@ def _merge(spark, sf_dir):
     return stored, rows.filter("p_partkey % 2 = 0").withColumn("p_size", F.col("p_size") + 100)
 
 
+def _stored(spark, rows: DataFrame, keys: list[str]) -> StoredTable:
+    return StoredTable.create(rows, _path(spark, "merged"), keys, buckets=16)
+
+
 def sink_upsert(spark, sf_dir):
-    return B.upsert(*_merge(spark, sf_dir), ["p_partkey"])
+    """A stored table, merged into and read back."""
+    stored, changes = _merge(spark, sf_dir)
+    table = _stored(spark, stored, ["p_partkey"])
+    table.upsert(changes)
+    return table.read()
 
 
 def sink_upsert_guarded(spark, sf_dir):
     stored, changes = _merge(spark, sf_dir)
-    return B.upsert(stored, changes, ["p_partkey"], F.col("p_size") < 25)
+    table = _stored(spark, stored, ["p_partkey"])
+    table.upsert(changes, F.col("p_size") < 25)
+    return table.read()
 
 
 def sink_delete_insert(spark, sf_dir):
-    """All rows of a size that changes have are replaced."""
+    """All rows of a size that changes have are replaced in the stored table."""
     stored, changes = _merge(spark, sf_dir)
-    return B.replace_keys(stored, changes.withColumn("p_size", F.col("p_size") - 100).filter("p_size < 10"), ["p_size"])
+    table = _stored(spark, stored, ["p_size"])
+    table.replace(changes.withColumn("p_size", F.col("p_size") - 100).filter("p_size < 10"))
+    return table.read()
 
 
 def sink_copy(spark, sf_dir):
