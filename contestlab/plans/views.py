@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from contestlab.functions import metrics as M
 from contestlab.model import PARTIES, ContestData
+from contestlab.operators.temporal import in_windows
 
 NOTA = "NOTA"
 CELL = ["group_id", "contest_id", "kind", "year", "unit_id"]
@@ -75,8 +76,8 @@ class Views:
             self._kept.pop().unpersist()
 
     def held_by(self, df: DataFrame) -> DataFrame:
-        """df; what the views keep in the executors is let go when nobody holds df any more."""
-        weakref.finalize(df, self.release)
+        """df; what the views keep in the executors is let go when nobody holds df any more, but for the end of the program, which lets go of all."""
+        weakref.finalize(df, self.release).atexit = False
         return df
 
     @classmethod
@@ -246,7 +247,7 @@ class Views:
         w = self.roll_windows
         units = self.data.units.select("group_id", "unit_id")
         changes = self.data.roll_changes.join(units, "unit_id")
-        inside = changes.join((w.select("group_id", "contest_id", "window_start", "window_end")), "group_id").filter("day > window_start and day <= window_end")
+        inside = in_windows(changes, w.select("group_id", "contest_id", "window_start", "window_end"), ["group_id"], "day", "window_start", "window_end")
         n = lambda c: F.sum(c).alias(c)
         inside = inside.groupBy("contest_id", "unit_id").agg(n("additions"), n("deletions"), n("modifications"))
         rolls = self.data.snapshots.select("unit_id", "day", "electors")

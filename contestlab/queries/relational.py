@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from contestlab.functions import metrics as M
 from contestlab.model import BASELINE
+from contestlab.operators.temporal import as_of, in_windows
 from contestlab.plans.view_sql import over_views, pct
 
 from .derived import star_views
@@ -31,6 +32,22 @@ def roll_changes(spark, sf_dir) -> DataFrame:
     return rows.select("unit_id", "day", "area_id", "block_id", "additions", "deletions", "modifications", "electors", M.pct(F.col("additions"), F.col("electors")).alias("additions_pct"), M.pct(F.col("deletions"), F.col("electors")).alias("deletions_pct"))
 
 
+def last_rolls(spark, sf_dir) -> DataFrame:
+    """Each change with the last roll of its unit at or before its day, by one sorted window."""
+    d = star_views(spark, sf_dir).data
+    rolls = d.snapshots.select("unit_id", "day", F.col("day").alias("roll_day"), "electors")
+    return as_of(d.roll_changes.select("unit_id", "day", "additions"), rolls, ["unit_id"], "day", ["roll_day", "electors"])
+
+
+def changes_in_windows(spark, sf_dir) -> DataFrame:
+    """Changes summed over windows that overlap: each contest's roll day and the eight days before it."""
+    d = star_views(spark, sf_dir).data
+    windows = d.links.select("group_id", "contest_id", F.date_sub("day", 8).alias("first"), F.col("day").alias("last"))
+    changes = d.roll_changes.join(d.units.select("unit_id", "group_id"), "unit_id")
+    inside = in_windows(changes, windows, ["group_id"], "day", "first", "last")
+    return inside.groupBy("contest_id", "unit_id").agg(F.sum("additions").alias("additions"), n().alias("days"))
+
+
 def revisions(spark, sf_dir):
     d = star_views(spark, sf_dir).data
     full = d.snapshots.select("day").distinct().withColumn("is_full", F.lit(True))
@@ -116,7 +133,8 @@ def correlation(spark, sf_dir):
 
 QUERIES = {
     "q_roll_changes": roll_changes,
-    "join_asof_lateral": roll_changes,
+    "join_asof_lateral": last_rolls,
+    "join_range_window": changes_in_windows,
     "q_revisions": revisions,
     "join_latest_lateral": latest_snapshot,
     "join_inner_equi": inner_join,
@@ -181,4 +199,5 @@ SELECT p_brand, n, round(coalesce(CAST(n * xy - x * y AS DOUBLE) / nullif(sqrt(C
     "sort_multi_nulls": over_views("SELECT unit_id, electors, rejected FROM units ORDER BY electors DESC NULLS LAST, rejected NULLS FIRST, unit_id LIMIT 100"),
     "topk": "SELECT o_orderkey FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 50",
 }
-SQL["join_asof_lateral"] = SQL["q_roll_changes"]
+SQL["join_asof_lateral"] = over_views("SELECT c.unit_id, c.day, c.additions, s.day AS roll_day, CAST(s.electors AS BIGINT) AS electors FROM roll_changes c ASOF LEFT JOIN snapshots s ON s.unit_id = c.unit_id AND s.day <= c.day")
+SQL["join_range_window"] = over_views("SELECT contest_id, c.unit_id, CAST(sum(additions) AS BIGINT) AS additions, count(*) AS days FROM roll_changes c JOIN units u USING (unit_id) JOIN links l ON l.group_id = u.group_id AND c.day > l.day - 8 AND c.day <= l.day GROUP BY 1, 2")
