@@ -66,8 +66,8 @@ def blend(units: DataFrame, counts: DataFrame, communities: DataFrame, survey: D
     # 'other' communities take part in each unit with 0, so that a census target has somewhere to go
     # communities are a dictionary of a fixed size
     shares = counts.join(known.select("unit_id", "electors"), "unit_id").select("unit_id", "community", (F.col("n") * 100.0 / F.col("electors")).alias("pct"))
-    spare = shares.select("unit_id").distinct().crossJoin(F.broadcast(communities.filter("is_other").select("community"))).withColumn("pct", F.lit(0.0))
-    rows = shares.unionByName(spare).groupBy("unit_id", "community").agg(F.sum("pct").alias("pct")).join(F.broadcast(communities), "community", "left")
+    spare = shares.select("unit_id").distinct().crossJoin(communities.filter("is_other").select("community")).withColumn("pct", F.lit(0.0))
+    rows = shares.unionByName(spare).groupBy("unit_id", "community").agg(F.sum("pct").alias("pct")).join(communities, "community", "left")
     rows = rows.withColumn("is_other", F.coalesce("is_other", F.lit(False))).join(known.select("unit_id", "census_sc", "census_st"), "unit_id")
     unit = Window.partitionBy("unit_id")
     rows = rows.withColumns({f"own_{c}": F.coalesce(F.sum(F.when(F.col("category") == c, F.col("pct"))).over(unit), F.lit(0.0)) for c in ("SC", "ST")})

@@ -50,7 +50,7 @@ def roll_gaps(snapshots: DataFrame, units: DataFrame) -> DataFrame:
     rows = snapshots.join(units.select("unit_id", "group_id"), "unit_id").select("group_id", "unit_id", "day")
     rolls = rows.select("group_id", "day").distinct()
     nxt = rolls.withColumn("next_day", F.lead("day").over(Window.partitionBy("group_id").orderBy("day"))).filter("next_day is not null")
-    expected = rows.join(F.broadcast(nxt), ["group_id", "day"]).select("group_id", "unit_id", F.col("next_day").alias("day"))
+    expected = rows.join(nxt, ["group_id", "day"]).select("group_id", "unit_id", F.col("next_day").alias("day"))
     return expected.join(rows, ["group_id", "unit_id", "day"], "left_anti").groupBy("group_id", "day").agg(F.count(F.lit(1)).alias("missing"))
 
 

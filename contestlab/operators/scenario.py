@@ -107,7 +107,7 @@ def parties_of(votes: DataFrame) -> list[str]:
 def project_totals(votes: DataFrame, edges: DataFrame, new: DataFrame) -> DataFrame:
     """draw, party, votes. votes: unit_id, party, votes, additions."""
     totals = votes.groupBy(F.col("party").alias("src")).agg(F.sum("votes").alias("n"))
-    moved = F.broadcast(edges).join(totals, "src").select("draw", "party", (F.col("weight") * F.col("n")).alias("votes"))
+    moved = edges.join(totals, "src").select("draw", "party", (F.col("weight") * F.col("n")).alias("votes"))
     added = edges.select("draw").distinct().crossJoin(F.broadcast(new)).select("draw", "party", F.col("new").alias("votes"))
     return moved.unionByName(added).groupBy("draw", "party").agg(F.sum("votes").alias("votes"))
 

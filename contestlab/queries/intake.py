@@ -236,6 +236,15 @@ def _events(spark, sf_dir) -> DataFrame:
     return read(spark, sf_dir, "events").select("event_id", "user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
 
 
+def scan_feed(spark, sf_dir):
+    """Pages as a feed of JSON lines, some without a url, taken in as they are."""
+    path, out = _path(spark, "feed"), _path(spark, "items")
+    url = F.when(F.col("page_id") % 10 != 3, F.col("url"))
+    read(spark, sf_dir, "pages").select(url.alias("url"), F.concat(F.lit("Page "), "page_id").alias("title"), F.timestamp_seconds(F.lit(1_700_000_000) + F.col("page_id")).alias("published")).write.json(path)
+    J.read_feed(spark, path).writeStream.format("parquet").option("path", out).option("checkpointLocation", _path(spark, "progress")).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(J.FEED + ", url_hash string").parquet(out).select("url_hash", "title", "published")
+
+
 def stream_dedupe(spark, sf_dir):
     """Pages as a feed, two items of each, by the hash of their url."""
     pages = read(spark, sf_dir, "pages").select(F.explode(F.array("url", F.concat("url", F.lit("#again")))).alias("url"), F.timestamp_seconds(F.lit(1_700_000_000) + F.col("page_id")).alias("published"))
@@ -330,6 +339,7 @@ QUERIES = {
     "sink_copy": sink_copy,
     "sink_geojson": sink_geojson,
     "refresh_mv": refresh_mv,
+    "scan_feed": scan_feed,
     "stream_dedupe": stream_dedupe,
     "stream_dedupe_titles": stream_dedupe_titles,
     "stream_tumbling_week": stream_tumbling_week,
@@ -376,6 +386,7 @@ SQL = {
     "sink_delete_insert": "WITH c AS (SELECT p_partkey, p_name, p_size FROM part WHERE p_partkey % 2 = 0 AND p_size < 10) SELECT p_partkey, p_name, p_size FROM part WHERE p_partkey % 3 != 0 AND p_size NOT IN (SELECT p_size FROM c) UNION ALL SELECT * FROM c",
     "sink_geojson": "SELECT c_custkey, c_mktsegment, CASE WHEN c_custkey % 5 != 0 THEN 85.0::DOUBLE + c_custkey % 8 / 8.0::DOUBLE END AS lon, CASE WHEN c_custkey % 5 != 0 THEN 24.5::DOUBLE END AS lat FROM customer",
     "refresh_mv": over_views(" UNION ALL ".join(f"SELECT '{name}' AS view, count(*) AS rows FROM {name}" for name in ORDER)),
+    "scan_feed": "SELECT sha256(regexp_replace(regexp_replace(lower(trim(url)), '[?#](?s:.*)$', ''), '/+$', '')) AS url_hash, 'Page ' || page_id AS title, make_timestamp((1700000000 + page_id) * 1000000) AS published FROM pages WHERE page_id % 10 != 3 AND url IS NOT NULL",
     "stream_dedupe": "SELECT DISTINCT sha256(regexp_replace(regexp_replace(lower(trim(coalesce(url, ''))), '[?#](?s:.*)$', ''), '/+$', '')) AS url_hash FROM pages",
     "stream_tumbling_week": "SELECT CAST(date_trunc('week', ts) AS DATE) AS week, event_type, count(*) AS n FROM events GROUP BY 1, 2",
     "sched_jobs": "SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +15,7 @@ from contestlab.operators import dedupe as D
 from contestlab.operators import match as X
 from contestlab.operators import scenario as S
 from contestlab.plans.view_sql import over_views
+from contestlab.sources.stored import StoredTable
 
 from .derived import star_views
 from .results import scenario_baseline
@@ -96,10 +99,23 @@ def community_shares(spark, sf_dir):
     return _shares(spark, sf_dir).select("unit_id", "community", F.round("est_pct", 6).alias("est_pct"), "confidence", "share_a", "share_b")
 
 
-def surnames(spark, sf_dir, text: str = "h"):
+def stored_dictionary(spark, sf_dir) -> StoredTable:
+    """The words of parts' names with the types that go with them, by their share of the word's parts: a dictionary that is kept and merged into."""
+    words = read(spark, sf_dir, "part").select(F.explode(F.split("p_name", " ")).alias("surname"), F.col("p_type").alias("community"))
+    each = words.groupBy("surname", "community").agg(F.count(F.lit(1)).alias("n"))
+    whole = words.groupBy("surname").agg(F.count(F.lit(1)).alias("all"))
+    rows = each.join(whole, "surname").select("surname", "community", (F.floor(F.col("n") * 10_000 / F.col("all")) / 10_000.0).alias("weight"))
+    table = StoredTable.create(rows.filter("community != 'PROMO'"), f"{D.shared_dir(spark)}/dictionary-{uuid.uuid4().hex}", ["surname", "community"], buckets=8)
+    # an editor's changes: one community comes in, and of another all weights are halved
+    table.upsert(rows.filter("community = 'PROMO'"))
+    table.upsert(rows.filter("community = 'LARGE'").withColumn("weight", F.col("weight") / 2))
+    return table
+
+
+def surnames(spark, sf_dir, text: str = "o"):
     """The dictionary's names that hold a text, with their community: a page of an editor, 500 rows at most."""
-    communities = spark.createDataFrame(COMMUNITIES, "community string, category string, is_other boolean")
-    found = dictionary(spark).join(communities, "community").filter(F.col("surname").ilike(f"%{text}%"))
+    kinds = read(spark, sf_dir, "part").groupBy(F.col("p_type").alias("community")).agg(F.max("p_size").alias("category"))
+    found = stored_dictionary(spark, sf_dir).read().join(kinds, "community").filter(F.col("surname").ilike(f"%{text}%"))
     return found.select("surname", "community", "category", "weight").orderBy("surname", "community").limit(500)
 
 
@@ -224,7 +240,9 @@ _ASSOCIATED = f"SELECT community, count(*) AS units, {_CORR('share_a')} AS r_a,
 _MOVES = f"""(VALUES ('{PARTIES[0]}', '{PARTIES[0]}', 1.0::DOUBLE), ('{PARTIES[1]}', '{PARTIES[1]}', 0.9::DOUBLE), ('{PARTIES[1]}', '{PARTIES[0]}', 0.1::DOUBLE), ('{PARTIES[2]}', '{PARTIES[1]}', 0.6::DOUBLE), ('{PARTIES[2]}', '{PARTIES[0]}', 0.4::DOUBLE),
   ('{PARTIES[3]}', '{PARTIES[3]}', 1.0::DOUBLE), ('IND', 'IND', 1.0::DOUBLE), ('NOTA', 'NOTA', 1.0::DOUBLE)) m(src, party, share)"""
 SQL = {
-    "q_surnames": f"""WITH {_HIST} SELECT surname, community, category, weight FROM d JOIN (VALUES {", ".join(f"('{c}', '{k}')" for c, k, _ in COMMUNITIES)}) c(community, category) USING (community) WHERE surname ILIKE '%h%' ORDER BY 1, 2 LIMIT 500""",
+    "q_surnames": """WITH w AS (SELECT unnest(string_split(p_name, ' ')) AS surname, p_type AS community FROM part), k AS (SELECT p_type AS community, max(p_size) AS category FROM part GROUP BY 1),
+  d AS (SELECT surname, community, floor(count(*) * 10000 / sum(count(*)) OVER (PARTITION BY surname)) / 10000.0::DOUBLE AS weight FROM w GROUP BY 1, 2)
+  SELECT surname, community, category, CASE community WHEN 'LARGE' THEN weight / 2 ELSE weight END AS weight FROM d JOIN k USING (community) WHERE surname ILIKE '%o%' ORDER BY 1, 2 LIMIT 500""",
     "xwalk_score": f"WITH {_PAIRS} SELECT group_id, station, anchor, score, capped FROM pairs WHERE station % 2 = 1",
     "xwalk_match": f"WITH {_PAIRS} SELECT * FROM forward",
     "xwalk_splits": f"WITH {_PAIRS} SELECT * FROM lineage",

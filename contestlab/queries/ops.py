@@ -171,7 +171,7 @@ def offices(spark, sf_dir) -> DataFrame:
     """Holders of local offices with their area and tagged party."""
     n = read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("area_id"), F.col("n_name").alias("area"))
     rows = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.element_at(F.array(F.lit("chair"), F.lit("member")), (F.col("s_suppkey") % 2 + 1).cast("int")).alias("office"), F.col("s_name").alias("name"), F.col("s_nationkey").alias("area_id"))
-    return rows.join(F.broadcast(n), "area_id", "left")
+    return rows.join(n, "area_id", "left")
 
 
 def local_results(spark, sf_dir) -> DataFrame:

@@ -27,7 +27,7 @@ def roll_changes(spark, sf_dir) -> DataFrame:
     d = star_views(spark, sf_dir).data
     days, rolls = d.roll_changes.select("day").distinct(), d.snapshots.select(F.col("day").alias("roll")).distinct()
     of = days.join(F.broadcast(rolls), F.col("roll") <= F.col("day")).groupBy("day").agg(F.max("roll").alias("roll"))
-    rows = d.roll_changes.join(F.broadcast(of), "day", "left").join(d.units.select("unit_id", "area_id", "block_id"), "unit_id")
+    rows = d.roll_changes.join(of, "day", "left").join(d.units.select("unit_id", "area_id", "block_id"), "unit_id")
     rows = rows.join(d.snapshots.select("unit_id", F.col("day").alias("roll"), "electors"), ["unit_id", "roll"], "left")
     return rows.select("unit_id", "day", "area_id", "block_id", "additions", "deletions", "modifications", "electors", M.pct(F.col("additions"), F.col("electors")).alias("additions_pct"), M.pct(F.col("deletions"), F.col("electors")).alias("deletions_pct"))
 
@@ -52,7 +52,7 @@ def revisions(spark, sf_dir):
     d = star_views(spark, sf_dir).data
     full = d.snapshots.select("day").distinct().withColumn("is_full", F.lit(True))
     rows = d.roll_changes.groupBy("day").agg(n().alias("units"), F.sum("additions").alias("additions"))
-    return rows.join(F.broadcast(full), "day", "left").withColumn("is_full", F.coalesce("is_full", F.lit(False)))
+    return rows.join(full, "day", "left").withColumn("is_full", F.coalesce("is_full", F.lit(False)))
 
 
 def latest_snapshot(spark, sf_dir):
@@ -82,7 +82,7 @@ def inner_join(spark: SparkSession, sf_dir: str):
 def update_from(spark, sf_dir):
     """Customers below zero take their nation's mean balance, in whole hundredths."""
     mean = customers(spark, sf_dir).groupBy("c_nationkey").agg(F.floor(F.sum(M.hundredths(F.col("c_acctbal"))) / n()).cast("long").alias("mean_h"))
-    rows = customers(spark, sf_dir).join(F.broadcast(mean), "c_nationkey", "left")
+    rows = customers(spark, sf_dir).join(mean, "c_nationkey", "left")
     return rows.select("c_custkey", F.when(F.col("c_acctbal") < 1000, F.coalesce("mean_h", F.lit(0))).otherwise(M.hundredths(F.col("c_acctbal"))).alias("balance_h"))
 
 
@@ -90,13 +90,13 @@ def dictionary_explode(spark, sf_dir):
     """Each order's priority histogram by customer through a dictionary of several weights a word."""
     h = orders(spark, sf_dir).groupBy("o_custkey", "o_orderpriority").agg(n().alias("n"))
     d = spark.createDataFrame([("1-URGENT", "x", 75), ("1-URGENT", "y", 25), ("5-LOW", "y", 100)], "word string, class string, weight int")
-    return h.join(F.broadcast(d), F.col("o_orderpriority") == F.col("word")).groupBy("o_custkey", "class").agg(F.sum(F.col("n") * F.col("weight")).alias("hundredths"))
+    return h.join(d, F.col("o_orderpriority") == F.col("word")).groupBy("o_custkey", "class").agg(F.sum(F.col("n") * F.col("weight")).alias("hundredths"))
 
 
 def coalesce_key(spark, sf_dir):
     c = customers(spark, sf_dir).select(F.col("c_custkey"), F.when(F.col("c_custkey") % 3 != 0, F.col("c_nationkey")).alias("own"))
     names = read(spark, sf_dir, "nation").select(F.col("n_nationkey"), "n_name")
-    return c.join(F.broadcast(names), F.coalesce("own", (F.col("c_custkey") % 25).cast("int")) == F.col("n_nationkey"), "left").select("c_custkey", "n_name")
+    return c.join(names, F.coalesce("own", (F.col("c_custkey") % 25).cast("int")) == F.col("n_nationkey"), "left").select("c_custkey", "n_name")
 
 
 def adjacent_contests(spark, sf_dir):

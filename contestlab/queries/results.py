@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from contestlab.functions import metrics as M
@@ -118,15 +118,15 @@ def candidates(v: Views, label: tuple[str, int] | None = None) -> DataFrame:
     """Each candidate's votes over a whole contest and their share of all valid votes."""
     rows = contest(v.group_candidates, label)
     whole = rows.groupBy("contest_id").agg(F.sum("votes").alias("valid_votes"))
-    rows = rows.join(F.broadcast(whole), "contest_id")
+    rows = rows.join(whole, "contest_id")
     order = Window.partitionBy("contest_id").orderBy(is_not("party", "NOTA").desc(), F.desc("votes"), "candidate")
     place = F.when(is_not("party", "NOTA"), F.row_number().over(order))
     return rows.select("group_id", "contest_id", "candidate", "party", "votes", M.share_pct(F.col("votes"), F.col("valid_votes")).alias("share_pct"), place.alias("place"))
 
 
-def card(v: Views, unit_ids: Sequence[int]) -> DataFrame:
-    """All about a few units, one row each: nested results, rolls and changes, newest first, and caveats."""
-    d, pick = v.data, F.col("unit_id").isin(list(unit_ids))
+def card(v: Views, unit_ids: Sequence[int] | None = None) -> DataFrame:
+    """All about a few units, or each, one row a unit: nested results, rolls and changes, newest first, and caveats."""
+    d, pick = v.data, F.lit(True) if unit_ids is None else F.col("unit_id").isin(list(unit_ids))
 
     def nested(df: DataFrame, name: str, *fields: str, most: int = 50) -> DataFrame:
         rows = F.slice(F.sort_array(F.collect_list(F.struct(*fields)), asc=False), 1, most)
@@ -147,6 +147,21 @@ def card(v: Views, unit_ids: Sequence[int]) -> DataFrame:
     return rows.withColumn("caveats", F.array_join(caveats, "; "))
 
 
+CARD = (
+    "unit_id bigint, group_id int, area_id int, block_id int, electors bigint, rejected bigint, confidence double, reviewed boolean, lineage_kind string, results string, rolls string, changes string, "
+    "priority_score double, priority_quartile int, new_voter_pct double, floating_pct double, margin_stddev double, caveats string"
+)
+
+
+def store_cards(v: Views, path: str) -> None:
+    """All cards written in the order of their units, so that one is read from one place."""
+    card(v).repartitionByRange("unit_id").sortWithinPartitions("unit_id").write.mode("overwrite").parquet(path)
+
+
+def stored_card(spark: SparkSession, path: str, unit_ids: Sequence[int]) -> DataFrame:
+    return spark.read.schema(CARD).parquet(path).filter(F.col("unit_id").isin(list(unit_ids)))
+
+
 def scenario_baseline(v: Views, label: tuple[str, int] = BASELINE) -> DataFrame:
     """Party votes of each unit with its additions for the same contest: one row a unit and party."""
     news = v.new_voter_share.select("contest_id", "unit_id", "additions")
@@ -174,7 +189,7 @@ def split_ticket(v: Views, year: int, ls: str, vs: str) -> DataFrame:
 
 def new_voters_by_area(v: Views, label: tuple[str, int] = BASELINE) -> DataFrame:
     now = contest(v.data.contests, label).select("contest_id")
-    rows = v.new_voter_share.join(F.broadcast(now), "contest_id").join(v.data.units.select("unit_id", "area_id"), "unit_id")
+    rows = v.new_voter_share.join(now, "contest_id").join(v.data.units.select("unit_id", "area_id"), "unit_id")
     rows = rows.groupBy("area_id").agg(*(F.sum(c).alias(c) for c in ("additions", "deletions", "electors")))
     return rows.withColumn("new_voter_pct", M.new_voter_pct(F.col("additions"), F.col("electors")))
 
@@ -192,7 +207,7 @@ def largest_moves(v: Views, year: int, limit: int = 10) -> DataFrame:
 
 def alliance_swing(v: Views, alliances: DataFrame) -> DataFrame:
     """Swing of alliances (contest_id, party, alliance): each contest by its own membership, gated like party swing."""
-    shares = v.party_share.join(F.broadcast(alliances), ["contest_id", "party"]).groupBy("group_id", "contest_id", "unit_id", "alliance").agg(F.sum(M.hundredths(F.col("share_pct"))).alias("h"))
+    shares = v.party_share.join(alliances, ["contest_id", "party"]).groupBy("group_id", "contest_id", "unit_id", "alliance").agg(F.sum(M.hundredths(F.col("share_pct"))).alias("h"))
     before = shares.select(F.col("contest_id").alias("prev_contest_id"), "unit_id", "alliance", F.col("h").alias("prev_h"))
     rows = shares.join(v.adjacent.select("contest_id", "prev_contest_id"), "contest_id").join(before, ["prev_contest_id", "unit_id", "alliance"])
     rows = rows.join(v.quality, ["contest_id", "unit_id"], "left").join(v.data.units.select("unit_id", "lineage_kind"), "unit_id", "left")

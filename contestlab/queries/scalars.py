@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from contestlab.functions import metrics as M
 from contestlab.operators import quality as Q
+from contestlab.plans.graph import define_views
 from contestlab.plans.view_sql import MARGIN, SIGNED, over_views, pct, rounded, score
-
-from contestlab.plans.views import percent_ranks_in
+from contestlab.plans.views import ORDER, percent_ranks_in
+from contestlab.shared import shared_dir, written
 
 from .derived import star_views
 from .texts import read
@@ -112,11 +116,35 @@ def dq_constraints(spark, sf_dir):
     return Q.violations(read(spark, sf_dir, "lineitem"), rules, ["l_orderkey"])
 
 
-def dq_digest(spark, sf_dir):
-    """The widest view twice: worked out anew it has the digest that it had."""
-    v, w = star_views(spark, sf_dir), star_views(spark, sf_dir)
-    a, b = Q.digest(v.wide), Q.digest(w.wide)
-    return a.join(b, ["rows", "digest"]).select("rows")
+def dq_refreshed_twice(spark, sf_dir):
+    """All views stored twice, each time from those stored before them: the rows of each, and whether they are the same."""
+    digests = []
+    for _ in range(2):
+        path = f"{shared_dir(spark)}/refreshed-{uuid.uuid4().hex}"
+        define_views(spark, star_views(spark, sf_dir).data).run(path)
+        each = [Q.digest(spark.read.parquet(f"{path}/{name}")).select(F.lit(name).alias("view"), "rows", "digest") for name in ORDER]
+        digests.append(written(reduce(DataFrame.unionByName, each), "digests"))
+    first, second = digests
+    same = F.col("a.rows").eqNullSafe(F.col("b.rows")) & F.col("a.digest").eqNullSafe(F.col("b.digest"))
+    return first.alias("a").join(second.alias("b"), "view", "left").select("view", "a.rows", same.alias("same"))
+
+
+def notes(spark, sf_dir):
+    """Customers with notes, of which four in five hold a number that must not be kept."""
+    k, digits = F.col("c_custkey"), F.lpad(F.col("c_custkey").cast("string"), 7, "0")
+    card = F.concat(F.lit("ABC"), digits)
+    phone = (F.lit(9_000_000_000) + k).cast("string")
+    spaced = F.concat_ws(" ", F.lit("4321"), F.lpad((k % 10_000).cast("string"), 4, "0"), F.lit("8765"))
+    note = F.element_at(F.array(F.concat(F.lit("card "), card), F.concat(F.lit("call "), phone, F.lit(" at noon")), F.concat(F.lit("no. "), spaced, F.lit(".")), F.concat(F.lit("seen, "), F.lower("c_mktsegment")), F.concat_ws("; ", phone, card, phone)), (k % 5 + 1).cast("int"))
+    return read(spark, sf_dir, "customer").select("c_custkey", note.alias("note"), F.col("c_mktsegment").alias("segment"))
+
+
+def dq_notes(spark, sf_dir):
+    return Q.personal_data(notes(spark, sf_dir), "notes")
+
+
+def dq_screened_notes(spark, sf_dir):
+    return Q.screen(notes(spark, sf_dir), "note")[0].select("c_custkey", "note")
 
 
 QUERIES = {
@@ -145,7 +173,9 @@ QUERIES = {
     "dq_pii_screen": dq_screen,
     "dq_confidence_share": dq_confidence,
     "dq_constraints": dq_constraints,
-    "dq_refresh_idempotent": dq_digest,
+    "dq_refresh_idempotent": dq_refreshed_twice,
+    "dq_pii_scan_notes": dq_notes,
+    "dq_pii_screen_notes": dq_screened_notes,
 }
 _EPIC, _MOBILE, _AADHAAR = r"\b[A-Z]{3}[0-9]{7}\b", r"(?:^|[^0-9])[6-9][0-9]{9}(?:$|[^0-9])", r"(?:^|[^0-9])[0-9]{4}\s?[0-9]{4}\s?[0-9]{4}(?:$|[^0-9])"
 _V = lambda e: f"SELECT contest_id, unit_id, {e} AS value FROM wide"
@@ -176,5 +206,9 @@ SQL = {
     "dq_confidence_share": over_views(f"SELECT * FROM (SELECT count(*) AS estimates, count(*) FILTER (confidence < 0.8) AS unsure, {pct('count(*) FILTER (confidence < 0.8)', 'count(*)', 1)} AS unsure_pct FROM units) WHERE unsure_pct >= 50"),
     "dq_constraints": """SELECT * FROM (SELECT 'quantity' AS rule, count(*) FILTER (l_quantity < 10) AS n FROM lineitem UNION ALL SELECT 'discount', count(*) FILTER (l_discount NOT BETWEEN 0 AND 0.05::DOUBLE) FROM lineitem
   UNION ALL SELECT 'flag', count(*) FILTER (l_returnflag NOT IN ('A', 'N', 'R')) FROM lineitem UNION ALL SELECT 'unique l_orderkey', count(*) FROM (SELECT l_orderkey FROM lineitem GROUP BY 1 HAVING count(*) > 1)) WHERE n > 0""",
-    "dq_refresh_idempotent": over_views("SELECT count(*) AS rows FROM wide"),
+    "dq_refresh_idempotent": over_views(" UNION ALL ".join(f"SELECT '{name}' AS view, count(*) AS rows, true AS same FROM {name}" for name in ORDER)),
+    "dq_pii_scan_notes": """WITH n AS (SELECT c_custkey % 5 AS k FROM customer), c AS (SELECT 'notes' AS "table", 'note' AS "column", 'epic' AS pattern, count(*) FILTER (k IN (0, 4)) AS "values", count(*) FILTER (k IN (0, 4)) AS hits FROM n
+  UNION ALL SELECT 'notes', 'note', 'mobile', count(*) FILTER (k IN (1, 4)), count(*) FILTER (k = 1) + 2 * count(*) FILTER (k = 4) FROM n UNION ALL SELECT 'notes', 'note', 'aadhaar', count(*) FILTER (k = 2), count(*) FILTER (k = 2) FROM n)
+  SELECT "table", "column", pattern, "values", CAST(hits AS BIGINT) AS hits FROM c WHERE hits > 0""",
+    "dq_pii_screen_notes": "SELECT c_custkey, 'seen, ' || lower(c_mktsegment) AS note FROM customer WHERE c_custkey % 5 = 3",
 }

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from contestlab.functions import keywords as K
 from contestlab.functions import text as T
 
 #: Personal lookups that aren't answered. Fixed values, on lower-cased text.
@@ -67,10 +68,18 @@ def html_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def geo_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that name one of the keywords, folded, of 5 characters or more and no ward number."""
-    keys = [F.lit(k) for k in ("zwischen", "chtischen", "elleair", "tioning", "thouan")]
-    rows = read(spark, sf_dir, "documents").select("doc_id", T.fold(F.col("text")).alias("folded"))
-    return rows.select("doc_id", F.filter(F.array(*keys), lambda k: F.contains(F.col("folded"), k)).alias("found")).filter("size(found) > 0").select("doc_id", F.array_join("found", ",").alias("found"))
+    """Documents that name one of the keywords, in the order of the keywords."""
+    found = K.named_in(T.fold(F.col("text")), ["zwischen", "chtischen", "elleair", "tioning", "thouan"])
+    rows = read(spark, sf_dir, "documents").select("doc_id", found.alias("found"))
+    return rows.filter("size(found) > 0").select("doc_id", F.array_join("found", ",").alias("found"))
+
+
+def geo_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many of many areas each document names: the areas' names are the longer words of the benchmark's texts."""
+    words = read(spark, sf_dir, "benchmark").select(F.explode(F.split("text", r"[^A-Za-z]+")).alias("name")).filter(F.length("name") > 6).distinct()
+    areas = words.unionByName(words.select(F.concat(F.lit("Ward "), "name").alias("name")))  # too general to look for
+    rows = read(spark, sf_dir, "documents").select("doc_id", K.named_in(T.fold(F.col("text")), K.area_keywords(areas)).alias("found"))
+    return rows.select("doc_id", F.size("found").alias("areas")).filter("areas > 0")
 
 
 _D = lambda **c: _over("documents", "doc_id", **c)
@@ -94,6 +103,7 @@ QUERIES = {
     "hash_simhash64": title_simhash,
     "scan_html_links": html_links,
     "geo_keyword_filter": geo_keywords,
+    "geo_keyword_areas": geo_areas,
     "date_age_days": _over("orders", "o_orderkey", days=lambda: F.datediff(F.lit("2002-01-01").cast("date"), F.to_date("o_orderdate")).cast("long")),
     "date_recency": _over("orders", "o_orderkey", recency=lambda: T.recency(F.year("o_orderdate"), 2011)),
     "json_get": _over("events", "event_id", k=lambda: F.get_json_object("props", "$.k")),
@@ -151,6 +161,9 @@ SELECT d.doc_id, CAST(CASE WHEN coalesce(v, 0) >= 9223372036854775808::HUGEINT T
   FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"#]+)', 1)) AS link FROM pages) GROUP BY 1, 2""",
     "geo_keyword_filter": f"""SELECT doc_id, array_to_string(list_filter(['zwischen', 'chtischen', 'elleair', 'tioning', 'thouan'], lambda k: contains(f, k)), ',') AS found FROM (SELECT doc_id, {_fold("text")} AS f FROM documents)
   WHERE len(list_filter(['zwischen', 'chtischen', 'elleair', 'tioning', 'thouan'], lambda k: contains(f, k))) > 0""",
+    "geo_keyword_areas": f"""WITH k AS MATERIALIZED (SELECT DISTINCT lower(w) AS k FROM (SELECT unnest(regexp_split_to_array(text, '[^A-Za-z]+')) AS w FROM benchmark) WHERE length(w) > 6 AND NOT starts_with(lower(w), 'ward')),
+  d AS MATERIALIZED (SELECT doc_id, {_fold("text")} AS f FROM documents)
+  SELECT doc_id, CAST(count(*) AS INT) AS areas FROM d JOIN k ON contains(f, k) GROUP BY 1""",
     "date_age_days": "SELECT o_orderkey, CAST(date_diff('day', CAST(o_orderdate AS DATE), DATE '2002-01-01') AS BIGINT) AS days FROM orders",
     "date_recency": "SELECT o_orderkey, greatest(0.0::DOUBLE, 1 - greatest(0, 2011 - year(o_orderdate)) / 20.0::DOUBLE) AS recency FROM orders",
     "json_get": "SELECT event_id, regexp_extract(props, '\"k\": *([0-9]+)', 1) AS k FROM events",
