@@ -12,12 +12,12 @@ CASES = [
     ("turnout_pct", (1012, 1500), 67.47),
     ("turnout_pct", (1012, 0), None),
     ("turnout_pct", (1012, None), None),
-    ("share_pct", (94042, 207598), 45.3),
+    ("share_pct", (81300, 190550), 42.67),
     ("share_pct", (0, 100), 0.0),
     ("share_pct", (None, 100), None),
-    ("margin_votes", (94042, 90204, 2), 3838),
-    ("margin_votes", (94042, None, 1), None),
-    ("margin_pct", (94042, 90204, 3, 207598), 1.85),
+    ("margin_votes", (81300, 77145, 2), 4155),
+    ("margin_votes", (81300, None, 1), None),
+    ("margin_pct", (81300, 77145, 3, 190550), 2.18),
     ("new_voter_pct", (12, 900), 1.33),
     ("new_voter_pct", (None, 900), None),
     ("new_voter_pct", (12, 0), None),
