@@ -3,20 +3,24 @@
 A title goes if an earlier one that stays lies within HAMMING bits. Two hashes that differ in 3 bits agree
 in three of six segments, so each hash is joined under the 20 choices of three segments (32 bits or so each);
 the pairs found are tested in full. Copies of one hash follow their first. The sequential rule is then worked
-out in rounds over the links alone: what has no earlier neighbour left stays, and what has one that stays goes.
+out over the links alone, in rounds while they are many: what has no earlier neighbour left stays, and what has one that stays goes.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 from itertools import combinations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from contestlab.functions import text as T
 from contestlab.shared import shared_dir, written
 
+#: Links that one task may hold.
+FEW = 100_000
 SEGMENTS = ((53, 11), (42, 11), (31, 11), (20, 11), (10, 10), (0, 10))
 
 
@@ -36,10 +40,25 @@ def links(hashes: DataFrame, threshold: int = T.HAMMING) -> DataFrame:
     return a.join(b, (F.col("a.key") == F.col("b.key")) & near).select(F.col("a.id").alias("u"), F.col("b.id").alias("v")).distinct()
 
 
-def settle(edges: DataFrame) -> DataFrame:
-    """id of what goes. edges (u, v; stored): pairs that are near, u before v; v goes if a u of its that stays is near."""
+def _in_order(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The rule one title after another, over all links at once."""
+    gone: set[int] = set()
+    for later, earlier in sorted((int(v), int(u)) for frame in frames for u, v in zip(frame["u"], frame["v"], strict=True)):
+        if earlier not in gone:  # its own fate is known by now
+            gone.add(later)
+    yield pd.DataFrame({"id": sorted(gone)}, dtype="int64")
+
+
+def settle(edges: DataFrame, few: int = FEW) -> DataFrame:
+    """id of what goes. edges (u, v; stored): pairs that are near, u before v; v goes if a u of its that stays is near.
+
+    Rounds take what is settled at both ends of the links; once no more than `few` links are left, such as a long chain, which would
+    take a round for every second title, one task goes through them in order.
+    """
     gone, left = edges.select(F.col("u").alias("id")).limit(0), edges
-    while not left.isEmpty():
+    while n := left.count():
+        if n <= few:
+            return gone.unionByName(written(left.coalesce(1).mapInPandas(_in_order, "id long"), "gone"))
         later = left.select(F.col("v").alias("id")).distinct()
         stay = left.select(F.col("u").alias("id")).distinct().join(later, "id", "left_anti")
         out = written(left.join(stay.withColumnRenamed("id", "u"), "u", "left_semi").select(F.col("v").alias("id")).distinct(), "gone")

@@ -122,16 +122,28 @@ def project(votes: DataFrame, s: Scenario) -> DataFrame:
     return rows.withColumn("place", F.when(real, place))
 
 
+def party_sums(votes: DataFrame, s: Scenario) -> dict[str, tuple[float, float]]:
+    """Votes, and new votes, of each party, in one job: all that draws need of the units, a row a party."""
+    own = votes.groupBy("party").agg(F.sum("votes").cast("double").alias("votes"), F.lit(0.0).alias("new"))
+    new = new_votes(votes, s).select("party", F.lit(0.0).alias("votes"), F.col("new").cast("double").alias("new"))
+    rows = own.unionByName(new).groupBy("party").agg(F.sum("votes").alias("votes"), F.sum("new").alias("new")).limit(MAX_PARTIES + 1).collect()
+    if len(rows) > MAX_PARTIES:
+        raise ValueError(f"more than {MAX_PARTIES} parties: merge the small ones first")
+    return {r["party"]: (r["votes"] or 0.0, r["new"] or 0.0) for r in rows}
+
+
 def band(votes: DataFrame, s: Scenario) -> DataFrame:
-    """p10, p50, p90 (nearest rank) of the pair's margin over the draws, and their number."""
-    a, b = s.contest
-    edges = _edges(votes, draw_rows(s, transfer_matrix(s, parties_of(votes))))
-    n = s.draws
-    margin = F.sum(F.when(F.col("party") == a, F.col("votes")).when(F.col("party") == b, -F.col("votes")).otherwise(0.0))
-    margins = project_totals(votes, edges, new_votes(votes, s)).groupBy("draw").agg(margin.alias("margin"))
-    margins = margins.withColumn("i", F.row_number().over(Window.orderBy("margin", "draw")) - 1)  # one row a draw
-    at = lambda p: F.round(F.max(F.when(F.col("i") == min(n - 1, round(p * (n - 1))), F.col("margin"))), 1)
-    return margins.agg(at(0.10).alias("p10"), at(0.50).alias("p50"), at(0.90).alias("p90"), F.count(F.lit(1)).alias("draws"))
+    """p10, p50, p90 (nearest rank) of the pair's margin over the draws, and their number. Units are summed by party first; the draws are numbers of parties alone."""
+    sums, (a, b) = party_sums(votes, s), s.contest
+    side = {a: 1.0, b: -1.0}
+    added = sum(side.get(p, 0.0) * new for p, (_, new) in sums.items())
+    margins = [added] * s.draws
+    for draw, src, to, weight in draw_rows(s, transfer_matrix(s, sorted(p for p in sums if p is not None))):
+        if to in side:
+            margins[draw] += side[to] * weight * sums.get(src, (0.0, 0.0))[0]
+    margins.sort()
+    at = lambda p: round(margins[min(s.draws - 1, round(p * (s.draws - 1)))], 1)
+    return votes.sparkSession.createDataFrame([(at(0.10), at(0.50), at(0.90), s.draws)], "p10 double, p50 double, p90 double, draws long")
 
 
 def most_variable(votes: DataFrame, s: Scenario, limit: int = 20) -> DataFrame:

@@ -21,6 +21,7 @@ from contestlab.streaming import jobs as J
 from contestlab.streaming import state as W
 
 from .derived import star_views
+from .models import SEQUENTIAL
 from .texts import read
 
 SHEET, PAGES, ROLL = 900, 40, 20
@@ -386,6 +387,7 @@ SQL = {
     "sink_delete_insert": "WITH c AS (SELECT p_partkey, p_name, p_size FROM part WHERE p_partkey % 2 = 0 AND p_size < 10) SELECT p_partkey, p_name, p_size FROM part WHERE p_partkey % 3 != 0 AND p_size NOT IN (SELECT p_size FROM c) UNION ALL SELECT * FROM c",
     "sink_geojson": "SELECT c_custkey, c_mktsegment, CASE WHEN c_custkey % 5 != 0 THEN 85.0::DOUBLE + c_custkey % 8 / 8.0::DOUBLE END AS lon, CASE WHEN c_custkey % 5 != 0 THEN 24.5::DOUBLE END AS lat FROM customer",
     "refresh_mv": over_views(" UNION ALL ".join(f"SELECT '{name}' AS view, count(*) AS rows FROM {name}" for name in ORDER)),
+    "stream_dedupe_titles": SEQUENTIAL + " SELECT id, simhash FROM h JOIN last USING (id)",
     "scan_feed": "SELECT sha256(regexp_replace(regexp_replace(lower(trim(url)), '[?#](?s:.*)$', ''), '/+$', '')) AS url_hash, 'Page ' || page_id AS title, make_timestamp((1700000000 + page_id) * 1000000) AS published FROM pages WHERE page_id % 10 != 3 AND url IS NOT NULL",
     "stream_dedupe": "SELECT DISTINCT sha256(regexp_replace(regexp_replace(lower(trim(coalesce(url, ''))), '[?#](?s:.*)$', ''), '/+$', '')) AS url_hash FROM pages",
     "stream_tumbling_week": "SELECT CAST(date_trunc('week', ts) AS DATE) AS week, event_type, count(*) AS n FROM events GROUP BY 1, 2",

@@ -19,7 +19,7 @@ from contestlab.sources.stored import StoredTable
 
 from .derived import star_views
 from .results import scenario_baseline
-from .texts import KINDS, read
+from .texts import KINDS, SIMHASH_SQL, read
 
 YEAR = 2005
 COMMUNITIES = (("AUTOMOBILE", "GEN", False), ("BUILDING", "SC", False), ("FURNITURE", "ST", False), ("HOUSEHOLD", "OBC", False), ("MACHINERY", "SC", True))
@@ -239,7 +239,28 @@ _ASSOCIATED = f"SELECT community, count(*) AS units, {_CORR('share_a')} AS r_a,
 #: (source, destination, share): the scenario's transfer rows, written out.
 _MOVES = f"""(VALUES ('{PARTIES[0]}', '{PARTIES[0]}', 1.0::DOUBLE), ('{PARTIES[1]}', '{PARTIES[1]}', 0.9::DOUBLE), ('{PARTIES[1]}', '{PARTIES[0]}', 0.1::DOUBLE), ('{PARTIES[2]}', '{PARTIES[1]}', 0.6::DOUBLE), ('{PARTIES[2]}', '{PARTIES[0]}', 0.4::DOUBLE),
   ('{PARTIES[3]}', '{PARTIES[3]}', 1.0::DOUBLE), ('IND', 'IND', 1.0::DOUBLE), ('NOTA', 'NOTA', 1.0::DOUBLE)) m(src, party, share)"""
+
+
+def _draws() -> str:
+    """The scenario's draws as a table of numbers: what the seed gives, written out. Sums, projection and ranks are the SQL's own."""
+    matrix = S.transfer_matrix(S.Scenario(**SHIFT.__dict__), sorted({*PARTIES, "IND", "NOTA"}))
+    side = {PAIR[0]: 1.0, PAIR[1]: -1.0}
+    rows = (f"({d}, '{src}', {side[to] * w!r}::DOUBLE)" for d, src, to, w in S.draw_rows(SHIFT, matrix) if to in side)
+    return f"(VALUES {', '.join(rows)}) m(draw, src, weight)"
+
+
+_NEW_MARGIN = f"""SELECT sum(coalesce(n.additions, 0) * 0.6::DOUBLE * s.votes / s.valid_votes * CASE party WHEN '{PAIR[0]}' THEN 1 WHEN '{PAIR[1]}' THEN -1 ELSE 0 END) FROM party_share s LEFT JOIN new_voter_share n USING (contest_id, unit_id) WHERE kind = '{BASELINE[0]}' AND year = {BASELINE[1]}"""
+#: h (id, simhash), in order of ids; kept: the sequential rule, one title after another.
+SEQUENTIAL = f"""WITH RECURSIVE h AS MATERIALIZED (SELECT doc_id AS id, simhash FROM ({SIMHASH_SQL})),
+  near AS (SELECT b.id, list(a.id) AS near FROM h a JOIN h b ON a.id < b.id AND bit_count(xor(a.simhash, b.simhash)) <= 3 GROUP BY 1),
+  o AS MATERIALIZED (SELECT h.id, near, row_number() OVER (ORDER BY h.id) AS i FROM h LEFT JOIN near USING (id)),
+  walk AS (SELECT CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS kept UNION ALL SELECT o.i, CASE WHEN near IS NULL OR NOT list_has_any(kept, near) THEN list_append(kept, id) ELSE kept END FROM walk JOIN o ON o.i = walk.i + 1),
+  last AS (SELECT unnest(kept) AS id FROM (SELECT kept FROM walk ORDER BY i DESC LIMIT 1))"""
 SQL = {
+    "dedupe_near": SEQUENTIAL + " SELECT id, simhash, last.id IS NOT NULL AS kept FROM h LEFT JOIN last USING (id)",
+    "scen_monte_carlo": over_views(f"""SELECT round(max(margin) FILTER (i = 50), 1) AS p10, round(max(margin) FILTER (i = 250), 1) AS p50, round(max(margin) FILTER (i = 449), 1) AS p90, count(*) AS draws FROM (SELECT margin, row_number() OVER (ORDER BY margin, draw) - 1 AS i FROM (
+  SELECT draw, sum(votes * weight) + ({_NEW_MARGIN}) AS margin FROM (SELECT party, sum(votes) AS votes FROM result_party WHERE kind = '{BASELINE[0]}' AND year = {BASELINE[1]} GROUP BY 1) JOIN {_draws()} ON src = party GROUP BY 1))"""),
+    "topk_variance": over_views(f"""SELECT unit_id, round(stddev_pop(margin), 2) AS deviation FROM (SELECT unit_id, draw, sum(votes * weight) AS margin FROM result_party JOIN {_draws()} ON src = party WHERE kind = '{BASELINE[0]}' AND year = {BASELINE[1]} GROUP BY 1, 2) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20"""),
     "q_surnames": """WITH w AS (SELECT unnest(string_split(p_name, ' ')) AS surname, p_type AS community FROM part), k AS (SELECT p_type AS community, max(p_size) AS category FROM part GROUP BY 1),
   d AS (SELECT surname, community, floor(count(*) * 10000 / sum(count(*)) OVER (PARTITION BY surname)) / 10000.0::DOUBLE AS weight FROM w GROUP BY 1, 2)
   SELECT surname, community, category, CASE community WHEN 'LARGE' THEN weight / 2 ELSE weight END AS weight FROM d JOIN k USING (community) WHERE surname ILIKE '%o%' ORDER BY 1, 2 LIMIT 500""",

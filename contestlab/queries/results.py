@@ -266,9 +266,23 @@ QUERIES = {
 _NOW = f"kind = '{BASELINE[0]}' AND year = {YEAR}"
 _OWN = ", ".join(OWN)
 _PRIORITY = "SELECT p.*, u.block_id FROM priority p JOIN units u USING (unit_id) ORDER BY priority_score DESC NULLS LAST, unit_id LIMIT "
+
+def _card_sql() -> str:
+    """Cards as JSON texts: lists of rows, newest first."""
+    nested = lambda table, name, fields, order, most: f"{name} AS (SELECT unit_id, CAST(to_json(list({{{', '.join(f"'{f}': {e}" for f, e in fields.items())}}} ORDER BY {order})[1:{most}]) AS VARCHAR) AS {name} FROM {table} GROUP BY 1)"
+    plain = lambda *names: {n: n for n in names}
+    day = {"day": "strftime(day, '%Y-%m-%d')"}
+    return f"""WITH {nested("wide", "results", plain("year", "kind", "electors", "valid_votes", *OWN, "others", "nota", "winner_party", "runner_party", "margin_votes", "margin_pct", "turnout_pct"), "year DESC, kind DESC", 50)},
+  {nested("snapshots", "rolls", day | plain("electors"), "day DESC", 6)}, {nested("roll_changes", "changes", day | plain("additions", "deletions", "modifications"), "day DESC", 8)}
+  SELECT u.*, results, rolls, changes, priority_score, priority_quartile, new_voter_pct, floating_pct, margin_stddev,
+    array_to_string(list_filter([CASE WHEN confidence < {M.CONFIDENT}::DOUBLE AND NOT reviewed THEN 'weak link to earlier contests' END, 'lineage: ' || lineage_kind, CASE WHEN results IS NULL THEN 'no results loaded' END], lambda x: x IS NOT NULL), '; ') AS caveats
+  FROM units u LEFT JOIN results USING (unit_id) LEFT JOIN rolls USING (unit_id) LEFT JOIN changes USING (unit_id) LEFT JOIN (SELECT unit_id, priority_score, priority_quartile, new_voter_pct, floating_pct, margin_stddev FROM priority) USING (unit_id) WHERE unit_id IN {CARD_UNITS}"""
+
+
 SQL = {
     name: over_views(sql)
     for name, sql in {
+        "q_card": f"SELECT * FROM ({_card_sql()})",
         "q_summary": f"""SELECT c.group_id, c.contest_id, c.kind, c.year, c.is_baseline, coalesce(s.booths, 0) AS booths, s.electors, s.valid_votes, s.votes_polled, s.nota, s.winner_party, s.winner_candidate, s.winner_votes,
   s.runner_party, s.runner_candidate, s.runner_votes, s.margin_votes, s.margin_pct, {pct("s.votes_polled", "s.electors")} AS turnout_pct FROM contests c LEFT JOIN group_summary s USING (contest_id)""",
         "q_baseline": f"SELECT group_id, contest_id, {', '.join(f'CAST(sum({c}) AS BIGINT) AS {c}' for c in (*OWN[:3], 'nota', 'electors', 'votes_polled'))} FROM wide WHERE {_NOW} GROUP BY 1, 2",

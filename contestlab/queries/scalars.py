@@ -202,6 +202,13 @@ SQL = {
     "dq_roll_continuity": over_views("""SELECT group_id, day, count(*) AS missing FROM (SELECT s.unit_id, u.group_id, s.day + 3 AS day FROM snapshots s JOIN units u USING (unit_id) WHERE (unit_id + day(s.day)) % 17 != 0) p
   WHERE p.day <= (SELECT max(day) FROM snapshots) AND (unit_id + day(p.day)) % 17 = 0 GROUP BY 1, 2""").replace("s.day + 3 AS day", "CAST(s.day + 3 AS DATE) AS day"),
     "dq_pii_columns": "SELECT 'x' AS \"table\", 'x' AS \"column\" WHERE false",
+    "dq_pii_scan": " UNION ALL ".join(
+        f"""SELECT * FROM (SELECT 'documents' AS "table", '{c}' AS "column", '{name}' AS pattern, count(*) FILTER (n > 0) AS "values", CAST(coalesce(sum(n), 0) AS BIGINT) AS hits FROM (SELECT coalesce(len(regexp_extract_all(regexp_replace({c}, '([^0-9])', '\\1\\1', 'g'), '{p}')), 0) AS n FROM documents)) WHERE hits > 0"""
+        for c in ("text", "lang", "source")
+        for name, p in (("mobile", _MOBILE), ("aadhaar", r"(?:^|[^0-9])[0-9]{4}\s{0,2}[0-9]{4}\s{0,2}[0-9]{4}(?:$|[^0-9])"))
+    )
+    + " UNION ALL "
+    + " UNION ALL ".join(f"""SELECT * FROM (SELECT 'documents', '{c}', 'epic', count(*) FILTER (n > 0) AS v, CAST(coalesce(sum(n), 0) AS BIGINT) AS h FROM (SELECT coalesce(len(regexp_extract_all({c}, '{_EPIC}')), 0) AS n FROM documents)) WHERE h > 0""" for c in ("text", "lang", "source")),
     "dq_pii_screen": f"SELECT doc_id FROM documents WHERE NOT coalesce(regexp_matches(text, '{_EPIC}|{_MOBILE}|{_AADHAAR}'), false)",
     "dq_confidence_share": over_views(f"SELECT * FROM (SELECT count(*) AS estimates, count(*) FILTER (confidence < 0.8) AS unsure, {pct('count(*) FILTER (confidence < 0.8)', 'count(*)', 1)} AS unsure_pct FROM units) WHERE unsure_pct >= 50"),
     "dq_constraints": """SELECT * FROM (SELECT 'quantity' AS rule, count(*) FILTER (l_quantity < 10) AS n FROM lineitem UNION ALL SELECT 'discount', count(*) FILTER (l_discount NOT BETWEEN 0 AND 0.05::DOUBLE) FROM lineitem

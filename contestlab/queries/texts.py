@@ -134,6 +134,11 @@ def _fold(x: str) -> str:
 
 _NAME = f"[{', '.join(f'''{chr(39)}{k}{chr(39)}''' for k in KINDS)}][p_size % {len(KINDS)} + 1] || ' ' || p_name || ' (Part-' || p_size || ')'"
 _CANON = f"['PRIMARY_SCHOOL', 'HIGH_SCHOOL', 'COMMUNITY_HALL', 'HEALTH_CENTRE', 'PANCHAYAT_BHAWAN'][p_size % {len(KINDS)} + 1]"
+SIMHASH_SQL = f"""WITH t AS (SELECT doc_id, replace({_fold("text")}, ' ', '') AS t FROM documents),
+s AS (SELECT doc_id, CASE WHEN length(t) <= 3 THEN [t] ELSE [t[CAST(i AS BIGINT):CAST(i + 2 AS BIGINT)] FOR i IN range(1, length(t) - 1)] END AS s FROM t WHERE t != ''),
+h AS (SELECT doc_id, CAST('0x' || md5(unnest(s))[1:16] AS UBIGINT) AS h FROM s),
+v AS (SELECT doc_id, {" + ".join(f"CASE WHEN 2 * sum(CAST((h >> {b}) & 1 AS BIGINT)) > count(*) THEN {1 << b}::HUGEINT ELSE 0::HUGEINT END" for b in range(64))} AS v FROM h GROUP BY 1)
+SELECT d.doc_id, CAST(CASE WHEN coalesce(v, 0) >= 9223372036854775808::HUGEINT THEN v - 18446744073709551616::HUGEINT ELSE coalesce(v, 0) END AS BIGINT) AS simhash FROM documents d LEFT JOIN v USING (doc_id)"""
 SQL = {
     "str_normalize_digits": "SELECT c_custkey, c_name AS digits FROM customer",
     "str_parse_int": "SELECT c_custkey, CAST(regexp_extract(c_name, '[0-9]+') AS BIGINT) AS number, CAST(NULL AS BIGINT) AS none FROM customer",
@@ -152,11 +157,7 @@ SQL = {
     "str_blocked_patterns": "SELECT doc_id, coalesce(regexp_matches(lower(text), '" + "|".join(f"(?:{p})" for p in BLOCKED) + "'), false) AS blocked FROM documents",
     "hash_url": "SELECT page_id, sha256(regexp_replace(regexp_replace(lower(trim(coalesce(url, ''))), '[?#](?s:.*)$', ''), '/+$', '')) AS hash FROM pages",
     "hash_title": f"SELECT doc_id, sha256({_fold('text')}) AS hash FROM documents",
-    "hash_simhash64": f"""WITH t AS (SELECT doc_id, replace({_fold("text")}, ' ', '') AS t FROM documents),
-s AS (SELECT doc_id, CASE WHEN length(t) <= 3 THEN [t] ELSE [t[CAST(i AS BIGINT):CAST(i + 2 AS BIGINT)] FOR i IN range(1, length(t) - 1)] END AS s FROM t WHERE t != ''),
-h AS (SELECT doc_id, CAST('0x' || md5(unnest(s))[1:16] AS UBIGINT) AS h FROM s),
-v AS (SELECT doc_id, {" + ".join(f"CASE WHEN 2 * sum(CAST((h >> {b}) & 1 AS BIGINT)) > count(*) THEN {1 << b}::HUGEINT ELSE 0::HUGEINT END" for b in range(64))} AS v FROM h GROUP BY 1)
-SELECT d.doc_id, CAST(CASE WHEN coalesce(v, 0) >= 9223372036854775808::HUGEINT THEN v - 18446744073709551616::HUGEINT ELSE coalesce(v, 0) END AS BIGINT) AS simhash FROM documents d LEFT JOIN v USING (doc_id)""",
+    "hash_simhash64": SIMHASH_SQL,
     "scan_html_links": """SELECT page_id, CASE WHEN regexp_matches(lower(link), '\\.pdf($|\\?)') THEN 'pdf' WHEN regexp_matches(link, '^https?://') THEN 'page' ELSE 'local' END AS kind, count(*) AS links
   FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"#]+)', 1)) AS link FROM pages) GROUP BY 1, 2""",
     "geo_keyword_filter": f"""SELECT doc_id, array_to_string(list_filter(['zwischen', 'chtischen', 'elleair', 'tioning', 'thouan'], lambda k: contains(f, k)), ',') AS found FROM (SELECT doc_id, {_fold("text")} AS f FROM documents)

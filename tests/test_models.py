@@ -139,6 +139,20 @@ def test_first_seen_is_the_sequential_rule(spark):
     assert dedupe.first_seen(df.limit(0)).count() == 0
 
 
+def test_links_settle_alike_in_rounds_and_in_order(spark):
+    rng = random.Random(6)
+    edges = sorted({tuple(sorted(rng.sample(range(60), 2))) for _ in range(90)} | {(100 + i, 101 + i) for i in range(14)})
+    want = set()
+    for v, u in sorted((v, u) for u, v in edges):
+        if u not in want:
+            want.add(v)
+    df = dedupe.written(spark.createDataFrame(edges, "u long, v long"), "edges")
+    for few in (0, 1000):
+        assert {r.id for r in dedupe.settle(df, few).collect()} == want
+    chain = dedupe.written(spark.range(20_000).select(F.col("id").alias("u"), (F.col("id") + 1).alias("v")), "chain")
+    assert dedupe.settle(chain).count() == 10_000  # every second one, in one step
+
+
 def test_vector_search_ignores_zero_vectors(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.6, 0.8]), (3, [0.0, 0.0])], "vec_id long, embedding array<float>")
     got = dedupe.vector_search(df, df.filter("vec_id != 2").withColumnRenamed("vec_id", "query_id"), k=5)
