@@ -15,7 +15,7 @@ Targets not given are tempered: a label's share is its natural share to the powe
 is held back and rare ones gain. Given targets are {label: share}; labels without one get 0 and are dropped.
 
 DataFrame expressions only. The raking runs over the table of cells, which has no more rows than sources x
-languages x topics that occur, by sums and joins of any size; documents meet it in a join that Spark broadcasts only if the table's measured
+languages x topics that occur, in one job while they are few, by sums and joins beyond that; documents meet it in a join that Spark broadcasts only if the table's measured
 size is under its own threshold. Documents are pre-aggregated to cells before any shuffle.
 
 Defined cases: null and empty labels are one label, ''. A null or blank text weighs 0 tokens and shares its
@@ -27,12 +27,14 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import discard, free_name, materialize, table
 
 TEMPER, ROUNDS = 0.85, 8
+#: Cells that one task may rake.
+FEW = 100_000
 #: Share of the tokens that the query and the pipeline keep.
 KEEP = 0.5
 MARGINALS = ("source", "lang", "topic")
@@ -76,23 +78,35 @@ def _goals(cells: DataFrame, m: str, given: Mapping[str, float] | None, temper:
     return goals.crossJoin(whole).select(m, scaled.alias("goal"))
 
 
-def rake(cells: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None, rounds: int = ROUNDS, temper: float = TEMPER, keep: float | None = None) -> DataFrame:
+def rake(cells: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None, rounds: int = ROUNDS, temper: float = TEMPER, keep: float | None = None, few: int = FEW) -> DataFrame:
     """cells (source, lang, topic, w) with p, the probability to keep a document of the cell; keep: the share of all tokens to keep.
 
-    Each step sums the cells by label and joins the sums back, so no label's cells meet in one task; a round is
-    written before the next, so the plan stays short.
+    Up to `few` cells are raked in one job, all steps as windows over one partition. Beyond that each step sums the cells by label and joins
+    the sums back, so no label's cells meet in one task, and is written before the next, so the plan stays short.
     """
-    now = materialize(cells.select(*MARGINALS, "w", F.lit(1.0 if keep is None else float(keep)).alias("f")), "raked")
-    goals = {m: materialize(_goals(now, m, (targets or {}).get(m), temper, keep), "goals") for m in MARGINALS}
+    begun = materialize(cells.select(*MARGINALS, "w", F.lit(1.0 if keep is None else float(keep)).alias("f")), "raked")
+    now = begun
+    for m in MARGINALS:
+        now = now.join(_goals(begun, m, (targets or {}).get(m), temper, keep).withColumnRenamed("goal", f"goal_{m}"), m)
+    goals = [f"goal_{m}" for m in MARGINALS]
+    now = now.select(*MARGINALS, "w", "f", *goals)
+    small = begun.count() <= few
+    now = now.coalesce(1) if small else materialize(now, "raked")
     for _ in range(rounds):
-        step = now
         for m in MARGINALS:
-            mass = step.groupBy(m).agg(F.sum(F.col("w") * F.col("f")).alias("mass")).join(goals[m], m)
-            raked = F.col("f") * F.col("goal") / F.col("mass")
+            mass = F.sum(F.col("w") * F.col("f"))
+            step = now.withColumn("mass", mass.over(Window.partitionBy(m))) if small else now.join(now.groupBy(m).agg(mass.alias("mass")), m)
+            raked = F.col("f") * F.col(f"goal_{m}") / F.col("mass")
             f = F.when(F.col("mass") > 0, raked if keep is None else F.least(raked, F.lit(1.0))).otherwise(F.col("f"))
-            step = step.join(mass, m).select(*MARGINALS, "w", f.alias("f"))
-        old, now = now, materialize(step, "raked")
-        discard(old)
+            step = step.select(*MARGINALS, "w", f.alias("f"), *goals)
+            if small:
+                now = step
+            else:
+                old, now = now, materialize(step, "raked")
+                discard(old)
+    if small:
+        now = materialize(now, "raked")
+    discard(begun)
     if keep is not None:
         return now.select(*MARGINALS, F.when(F.col("w") > 0, F.col("f")).otherwise(1.0).alias("p"))
     # the targets of a marginal need not sum to 1: the factors' common scale falls out here; cells without tokens keep all

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -17,6 +19,14 @@ def test_a_tiny_cell_does_not_shrink_the_corpus(spark):
     assert shares[0] == pytest.approx(corpus_pipeline.KEEP, abs=0.03) and shares[1] == pytest.approx(shares[0], abs=0.01)
 
 
+def test_few_and_many_cells_rake_alike(spark):
+    rng = random.Random(4)
+    cells = spark.createDataFrame([(s, x, t, float(rng.randrange(50))) for s in "abcdefg" for x in ("en", "de", "") for t in "xy" if rng.random() < 0.8], "source string, lang string, topic string, w double")
+    for keep in (None, 0.4):
+        one, many = ({tuple(r)[:3]: r.p for r in mixing.rake(cells, rounds=4, keep=keep, few=few).collect()} for few in (1000, 0))
+        assert one == pytest.approx(many, rel=1e-12) and len(one) == cells.count()
+
+
 def test_full_cells_pass_their_share_to_the_others(spark):
     cells = spark.createDataFrame([("a", "en", "x", 100.0), ("a", "de", "x", 50.0), ("b", "en", "x", 10.0), ("b", "de", "x", 100.0), ("c", "en", "x", 1.0), ("d", "en", "x", 0.0)], "source string, lang string, topic string, w double")
     targets = {"source": {"a": 0.5, "b": 0.495, "c": 0.005}, "lang": {"en": 0.45, "de": 0.55}, "topic": {"x": 2.0}}
