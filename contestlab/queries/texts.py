@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from contestlab.functions import keywords as K
@@ -82,6 +82,43 @@ def geo_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.size("found").alias("areas")).filter("areas > 0")
 
 
+def _of(values, index: Column) -> Column:
+    return F.element_at(F.array(*map(F.lit, values)), (index + 1).cast("int"))
+
+
+def syllables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of three syllables and one with a conjunct, spelt from each part's number: over all parts every consonant meets every vowel sign, and none."""
+    k, consonants, signs = F.col("p_partkey"), tuple(T.CONSONANTS), (*T.VOWEL_SIGNS, "")
+    one = lambda j: F.concat(_of(consonants, (k * 7 + j * 13) % len(consonants)), _of(signs, (k + j * 5) % len(signs)))
+    conjunct = F.concat(_of(consonants, k % len(consonants)), F.lit(T.VIRAMA), one(3))
+    return read(spark, sf_dir, "part").select("p_partkey", T.to_latin(F.concat(one(0), one(1), one(2), F.lit(" "), conjunct)).alias("latin"))
+
+
+#: Names of buildings in both scripts, short and long, and their types.
+BUILDING_NAMES = (
+    ("उत्क्रमित मध्य विद्यालय", "MIDDLE_SCHOOL"), ("उत्क्रमित म वि", "MIDDLE_SCHOOL"), ("Upgraded Middle School", "MIDDLE_SCHOOL"), ("U.M.S.", "MIDDLE_SCHOOL"), ("मध्य विद्यालय", "MIDDLE_SCHOOL"), ("म वि", "MIDDLE_SCHOOL"), ("Middle School", "MIDDLE_SCHOOL"), ("M.S.", "MIDDLE_SCHOOL"),
+    ("नव प्राथमिक विद्यालय", "PRIMARY_SCHOOL"), ("प्रा वि", "PRIMARY_SCHOOL"), ("प्राथमिक विद्यालय", "PRIMARY_SCHOOL"), ("New Primary School", "PRIMARY_SCHOOL"), ("primary  school", "PRIMARY_SCHOOL"), ("N.P.S.", "PRIMARY_SCHOOL"), ("P S", "PRIMARY_SCHOOL"),
+    ("उच्च विद्यालय", "HIGH_SCHOOL"), ("उ वि", "HIGH_SCHOOL"), ("High School", "HIGH_SCHOOL"), ("H.S.", "HIGH_SCHOOL"), ("आंगनबाड़ी केंद्र", "ANGANWADI"), ("Anganwadi Kendra", "ANGANWADI"), ("पंचायत भवन", "PANCHAYAT_BHAWAN"), ("PANCHAYAT BHAWAN", "PANCHAYAT_BHAWAN"),
+    ("सामुदायिक भवन", "COMMUNITY_HALL"), ("Community Centre", "COMMUNITY_HALL"), ("महाविद्यालय", "COLLEGE"), ("College", "COLLEGE"), ("कन्या विद्यालय", "GIRLS_SCHOOL"), ("Girls School", "GIRLS_SCHOOL"), ("स्वास्थ्य केन्द्र", "HEALTH_CENTRE"), ("Health Center", "HEALTH_CENTRE"), ("विद्यालय", "SCHOOL"), ("School", "SCHOOL"),
+)
+
+
+def building_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as buildings named in all the ways there are: the type, and what is left of the name."""
+    name = F.concat(_of([n for n, _ in BUILDING_NAMES], F.col("p_partkey") % len(BUILDING_NAMES)), F.lit(", "), F.initcap("p_name"))
+    canonical = T.canonical_building(name)
+    return read(spark, sf_dir, "part").select("p_partkey", canonical.alias("canonical"), T.building_type(canonical).alias("kind"))
+
+
+_HINDI = "मतदान केंद्र"
+
+
+def mixed_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers' segments with so many words of Hindi beside them."""
+    text = F.concat(F.repeat(F.lit(f"{_HINDI} "), (F.col("c_custkey") % 4).cast("int")), F.when(F.col("c_custkey") % 3 != 0, F.col("c_mktsegment")).otherwise(""))
+    return read(spark, sf_dir, "customer").select("c_custkey", T.detect_lang(text).alias("script"))
+
+
 _D = lambda **c: _over("documents", "doc_id", **c)
 QUERIES = {
     "str_normalize_digits": _over("customer", "c_custkey", digits=lambda: T.normalize_digits(F.translate("c_name", "0123456789", T.DIGITS))),
@@ -92,6 +129,9 @@ QUERIES = {
     "str_canonical_building": _over("part", "p_partkey", canonical=lambda: T.canonical_building(_building())),
     "str_building_type": _over("part", "p_partkey", kind=lambda: T.building_type(T.canonical_building(_building()))),
     "str_translit": _over("part", "p_partkey", latin=lambda: T.to_latin(F.concat(F.lit("महतो "), "p_name"))),
+    "str_translit_syllables": syllables,
+    "str_building_names": building_names,
+    "str_detect_lang_mixed": mixed_scripts,
     "str_last_token": _over("part", "p_partkey", last=lambda: T.last_token(F.col("p_name")), key=lambda: T.match_key(_building())),
     "str_jaro_winkler": near_names,
     "str_header_norm": _over("orders", "o_orderkey", header=lambda: T.header_key(F.col("o_orderpriority")), bracket=lambda: T.bracket_text(F.concat(F.lit("x ("), "o_orderstatus", F.lit(") y")))),
@@ -134,6 +174,17 @@ def _fold(x: str) -> str:
 
 _NAME = f"[{', '.join(f'''{chr(39)}{k}{chr(39)}''' for k in KINDS)}][p_size % {len(KINDS)} + 1] || ' ' || p_name || ' (Part-' || p_size || ')'"
 _CANON = f"['PRIMARY_SCHOOL', 'HIGH_SCHOOL', 'COMMUNITY_HALL', 'HEALTH_CENTRE', 'PANCHAYAT_BHAWAN'][p_size % {len(KINDS)} + 1]"
+
+
+def _syllables_sql() -> str:
+    """The Latin of each syllable by its consonant and sign, from the table of fixed values."""
+    listed = lambda values: "[" + ", ".join(f"'{v}'" for v in values) + "]"
+    consonants, signs = listed(T.LATIN[c] for c in T.CONSONANTS), listed([*(T.LATIN[v] for v in T.VOWEL_SIGNS), "a"])
+    n, m = len(T.CONSONANTS), len(T.VOWEL_SIGNS) + 1
+    one = lambda j: f"{consonants}[(p_partkey * 7 + {j * 13}) % {n} + 1] || {signs}[(p_partkey + {j * 5}) % {m} + 1]"
+    return f"SELECT p_partkey, {one(0)} || {one(1)} || {one(2)} || ' ' || {consonants}[p_partkey % {n} + 1] || {one(3)} AS latin FROM part"
+
+
 SIMHASH_SQL = f"""WITH t AS (SELECT doc_id, replace({_fold("text")}, ' ', '') AS t FROM documents),
 s AS (SELECT doc_id, CASE WHEN length(t) <= 3 THEN [t] ELSE [t[CAST(i AS BIGINT):CAST(i + 2 AS BIGINT)] FOR i IN range(1, length(t) - 1)] END AS s FROM t WHERE t != ''),
 h AS (SELECT doc_id, CAST('0x' || md5(unnest(s))[1:16] AS UBIGINT) AS h FROM s),
@@ -147,6 +198,10 @@ SQL = {
     "str_strip_punct": f"SELECT doc_id, {_fold('text')} AS folded FROM documents",
     "str_canonical_building": f"SELECT p_partkey, {_CANON} || ' ' || p_name AS canonical FROM part",
     "str_building_type": f"SELECT p_partkey, {_CANON} AS kind FROM part",
+    "str_translit_syllables": _syllables_sql(),
+    "str_building_names": f"SELECT p_partkey, kind || ' ' || lower(p_name) AS canonical, kind FROM (SELECT p_partkey, p_name, [{', '.join(f"'{k}'" for _, k in BUILDING_NAMES)}][p_partkey % {len(BUILDING_NAMES)} + 1] AS kind FROM part)",
+    "str_detect_lang_mixed": f"""SELECT c_custkey, CASE WHEN h > 0 AND l > h THEN 'hinglish' WHEN h > 0 THEN 'hi' ELSE 'en' END AS script FROM (
+  SELECT c_custkey, {sum(0x900 <= ord(c) <= 0x97F for c in _HINDI)} * (c_custkey % 4) AS h, CASE WHEN c_custkey % 3 != 0 THEN length(regexp_replace(c_mktsegment, '[^A-Za-z]', '', 'g')) ELSE 0 END AS l FROM customer)""",
     "str_translit": "SELECT p_partkey, 'mahato ' || p_name AS latin FROM part",
     "str_last_token": f"SELECT p_partkey, string_split(p_name, ' ')[-1] AS last, replace(lower({_CANON} || ' ' || p_name), ' ', '') AS key FROM part",
     "str_jaro_winkler": """SELECT a, b, jaro_winkler_similarity(a, b) AS similarity, CAST(len(list_intersect(string_split(a, ' '), string_split(b, ' '))) AS DOUBLE) / len(list_distinct(string_split(a, ' ') || string_split(b, ' '))) AS overlap

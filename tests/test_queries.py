@@ -14,7 +14,7 @@ from contestlab.queries.derived import star_views
 
 DATA = Path(os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001"))
 #: All views, and some of every other kind; TEST_ALL=1 takes every query.
-SOME = ("mv_", "v_pc", "setop", "q_summary", "q_acs", "q_roll", "q_priority", "alliance", "crib_3", "hash_", "xwalk_match", "uid_mint", "blend_surname", "scen_project", "vec_search", "q_news_issues", "q_budget", "q_local_results", "metric_priority_score", "percentile", "dq_roll", "dq_constraints", "join_", "agg_corr", "form20", "ls_segment", "roll_scan", "resolve_column", "top3", "area_", "guard_sql", "sink_", "stream_tumbling", "stream_budget", "stream_dedupe", "blend_booth")
+SOME = ("mv_", "v_pc", "setop", "q_summary", "q_acs", "q_roll", "q_priority", "alliance", "crib_3", "hash_", "xwalk_match", "uid_mint", "blend_surname", "scen_project", "vec_search", "q_news_issues", "q_budget", "q_local_results", "metric_priority_score", "percentile", "dq_roll", "dq_constraints", "join_", "agg_corr", "form20", "ls_segment", "roll_scan", "resolve_column", "top3", "area_", "guard_sql", "sink_", "stream_tumbling", "stream_budget", "stream_dedupe", "blend_booth", "q_surnames", "geo_", "scan_feed", "late_data", "dq_pii", "str_translit", "str_building", "scen_monte", "topk_variance", "q_card")
 NAMES = [n for n in core.oracle_sql() if os.environ.get("TEST_ALL") or n.startswith(SOME)]
 
 pytestmark = pytest.mark.skipif(not DATA.exists(), reason="no test data")
