@@ -32,3 +32,13 @@ def test_hard_rows(spark):
     assert mixing.sample_to_targets(docs.limit(0)).count() == 0
     blank = documents(spark, HARD[:3])
     assert mixing.sample_to_targets(blank).count() == 3
+
+
+def test_very_long_texts_and_equal_rows(spark):
+    """A text of a million words weighs as many tokens; equal ids draw alike, also where all draws are equal."""
+    rows = [(1, "word " * 1_000_000, "en", "s")] + [(2, "a b", "en", "s")] * 30 + [(i, "a b", "en", "s") for i in range(10, 40)]
+    docs = documents(spark, rows)
+    all_rows = mixing.sample_to_targets(docs, details=True, keep=1.0).collect()
+    assert sorted(r.n_tokens for r in all_rows)[-1] == 1_000_000 and len(all_rows) == len(rows)
+    some = [r.doc_id for r in mixing.sample_to_targets(docs, keep=0.5).collect()]
+    assert some.count(2) in (0, 30)

@@ -148,3 +148,10 @@ def test_a_small_source_keeps_its_target(spark):
     first = [r for r in got if r.sequence_id < 8]
     share = sum(r.length for r in first if r.source == "rare") / sum(r.length for r in first)
     assert abs(share - 0.5) < 0.05 and {r.source for r in first} == {"rare", "s1"}
+
+
+def test_null_sources_in_the_shared_queue(spark):
+    texts = {i: "some words here " * (1 + i % 90) for i in range(90)}
+    rows = [(i, t, None if i % 3 == 0 else "" if i % 3 == 1 else f"s{i}", 1, "x") for i, t in texts.items()]
+    for queues in (1, 5):
+        check(packing.pack(spark.createDataFrame(rows, SCHEMA).repartition(4), queues=queues).collect(), texts)

@@ -49,3 +49,20 @@ def test_reputation_shrinks_and_blocks(spark):
 def test_parents(spark, host, want):
     df = spark.createDataFrame([(host,)], "h string")
     assert tuple(df.select(*urlfilter._parents(df["h"])).first()) == want
+
+
+def test_equal_bounds_and_very_long_urls(spark):
+    """Hosts of equal counts get equal verdicts, whatever their order; a path of a megabyte is judged whole."""
+    pages = [(i, f"http://{'ab'[i % 2]}{i % 10}.twin.net/{i}", "h", "x", 1, "q") for i in range(400)]
+    labels = [(i, int(i % 10 >= 5), 0, "y") for i in range(400)]
+    long = "http://Example.org/" + "es/" * 400_000
+    pages += [(1000, long, "h", "x", 1, "q"), (1001, long.replace("/es/", "/xs/", 1), "h", "x", 1, "q"), (1002, "http://" + "a." * 100_000 + "com/fr/", "h", "x", 1, "q")]
+    df, marks = spark.createDataFrame(pages, PAGES), spark.createDataFrame(labels, LABELS)
+    got = {r.page_id: r for r in urlfilter.judge_pages(df, marks).collect()}
+    by_host = {}
+    for r in got.values():
+        by_host.setdefault(r.host, set()).add(r.verdict)
+    assert all(len(v) == 1 for h, v in by_host.items() if h.endswith("twin.net"))
+    bad = {h: v for h, v in by_host.items() if h[1:2].isdigit() and int(h[1]) < 5}
+    assert len({tuple(v) for v in bad.values()}) == 1 and bad
+    assert (got[1000].rule, got[1001].rule, got[1002].rule) == ("example.org/es/", "org/", "com/fr/") and len(got[1000].path) == 1_200_001
