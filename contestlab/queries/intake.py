@@ -256,10 +256,9 @@ def stream_dedupe(spark, sf_dir):
 def stream_dedupe_titles(spark, sf_dir):
     """Documents as titles, one a minute: those that no earlier one that stays is near to."""
     rows = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), T.simhash(T.fold(F.col("text"))).alias("simhash"), F.timestamp_seconds(F.lit(1_700_000_000) + F.col("doc_id") * 60).alias("seen"))
-    path = _path(spark, "titles")
-    rows.repartitionByRange(3, "id").sortWithinPartitions("id").write.parquet(path)
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
-    kept = _path(spark, "kept")
+    # in three arrivals by their ids
+    rows = rows.crossJoin(rows.agg((F.max("id") + 1).alias("all"))).withColumn("part", F.floor(F.col("id") * 3 / F.col("all"))).drop("all")
+    stream, kept = _arrivals(spark, rows, "part", 3, "titles"), _path(spark, "kept")
     W.keep_new_titles(stream, kept, _path(spark, "progress"), memory=timedelta(days=36_500)).awaitTermination()
     return spark.read.parquet(kept).select("id", "simhash")
 
