@@ -10,7 +10,9 @@ compared exactly too; nothing is linked on a hash alone.
 A bucket is not paired in full. Its members are first compared with its least one; what that links is one component,
 inside which no further pair can change a result. A large group of near copies so costs about one comparison a member.
 Of a bucket whose texts are still in different components after that, all pairs across components are compared if it has no more than PAIRED
-texts, at most PAIRED / 2 a text. Texts of larger ones, often many of one template that aren't near, are matched by prefixes instead, which loses nothing:
+texts, at most PAIRED / 2 a text. In larger ones, a component of more than PAIRED texts is a crowd: the texts of its buckets that are still beside it, often just below
+the threshold, meet it in blocks of CROWD by BESIDE texts, and a block gives one link a text at most, however many pairs it compares.
+All others, often many of one template that aren't near, are matched by prefixes, which loses nothing:
 with the shingles of all texts in one order, rarest first, two texts of a similarity of at least t share one among the first
 (1 - t) n + 1 of the longer and the first (1 - t) / (1 + t) n + 1 of the shorter, and no later in either than the overlap that they need
 allows. What texts have of their own is rarer than their template, so those that are not near meet nowhere. The order is by
@@ -34,6 +36,8 @@ from .simhash import hashes, links, majority
 
 SEED, WIDTH, LEAST, BANDS, ROWS = 42, 5, 0.8, 26, 6
 PAIRED, SLOTS = 64, 1 << 18
+#: Texts of a crowd, and texts beside it, that one task compares.
+CROWD, BESIDE = 512, 128
 CHUNK = 1 << 12
 _rng = np.random.default_rng(SEED)
 FLIP = _rng.integers(0, 1 << 64, BANDS * ROWS, np.uint64)
@@ -141,19 +145,62 @@ def prefix_pairs(texts: DataFrame, width: int = WIDTH, least: float = LEAST) ->
     return pairs.select(F.least("a.key", "b.key").alias("u"), F.greatest("a.key", "b.key").alias("v")).distinct()
 
 
+def _beside(width: int, least: float):
+    def run(group: pa.Table) -> pa.Table:
+        side, keys = group["side"].to_numpy(), group["key"].to_numpy()
+        texts = group["text"].cast(pa.binary()).to_pylist()
+        mine = [n for n in np.argsort(keys, kind="stable").tolist() if side[n] == 0]
+        sets = [shingles(texts[n], width) for n in mine]
+        sizes = np.array([len(x) for x in sets], np.int64)
+        tokens, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+        order = np.argsort(tokens, kind="stable")
+        tokens, owner, found = tokens[order], owner[order], []
+        for n in np.flatnonzero(side == 1).tolist():
+            own = shingles(texts[n], width)
+            first, last = np.searchsorted(tokens, own, "left"), np.searchsorted(tokens, own, "right")
+            many = last - first
+            at = np.repeat(first - (np.cumsum(many) - many), many) + np.arange(many.sum())
+            shared = np.bincount(owner[at], minlength=len(sets))
+            near = np.flatnonzero(shared >= least * (sizes + len(own) - shared))
+            if len(near):  # the crowd is one component: one link says it all
+                found.append((int(keys[mine[near[0]]]), int(keys[n])))
+        return pa.table({"u": pa.array([min(x) for x in found], pa.int64()), "v": pa.array([max(x) for x in found], pa.int64())})
+
+    return run
+
+
+def crowd_links(hard: DataFrame, crowds: DataFrame, texts: DataFrame, width: int = WIDTH, least: float = LEAST) -> DataFrame:
+    """u, v: for each text of hard (band, key, part) beside a crowd (part, members) with which it shares a band, links to the crowd if any text of it is near."""
+    there = hard.join(crowds.select("part"), "part").select("band", F.col("part").alias("crowd")).distinct()
+    met = hard.join(there, "band").filter("part != crowd").join(crowds, "part", "left")
+    # of two crowds the one of the lesser number stands beside the other
+    met = materialize(met.filter(F.col("members").isNull() | (F.col("part") < F.col("crowd"))).select("crowd", "key").distinct(), "beside")
+    blocks = met.groupBy("crowd").agg(F.ceil(F.count(F.lit(1)) / BESIDE).cast("int").alias("others"))
+    blocks = blocks.join(crowds.select(F.col("part").alias("crowd"), F.ceil(F.col("members") / CROWD).cast("int").alias("blocks")), "crowd")
+    deal = lambda n: F.pmod(F.xxhash64("key"), n).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    mine = hard.select(F.col("part").alias("crowd"), "key").distinct().join(blocks, "crowd").withColumn("i", deal(F.col("blocks"))).select("crowd", "i", each(F.col("others")).alias("j"), F.lit(0).alias("side"), "key")
+    other = met.join(blocks, "crowd").withColumn("j", deal(F.col("others"))).select("crowd", each(F.col("blocks")).alias("i"), "j", F.lit(1).alias("side"), "key")
+    rows = mine.unionByName(other).join(texts, "key").select("crowd", "i", "j", "side", "key", "text")
+    return materialize(rows.groupBy("crowd", "i", "j").applyInArrow(_beside(width, least), "u long, v long"), "linked")
+
+
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, least: float = LEAST) -> DataFrame:
     """doc_id, component_id for each row: the least doc_id reachable by links of texts with a Jaccard similarity of at least `least`."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("key"), text.alias("text"))
     marked = materialize(rows.mapInArrow(_sketch(width), "doc_id long, key long, n long, fp long, bands array<long>"), "sketches")
-    spots = marked.select("key", "n", F.explode("bands").alias("band"))
+    # one row a text: copies of one are counted off here, before anything is joined
+    one = lambda c: F.first(c).alias(c)
+    classes = materialize(marked.groupBy("key").agg(one("n"), one("fp"), one("bands"), F.min("doc_id").alias("first_id")), "classes")
+    spots = classes.select("key", "n", F.explode("bands").alias("band"))
     buckets = spots.groupBy("band").agg(F.min(F.struct("key", "n")).alias("lead"), F.max("key").alias("last")).filter("lead.key < last")
     members = materialize(spots.join(buckets.select("band", "lead"), "band").select("band", "key", "n", "lead").distinct(), "members")
     sized = lambda a, b: F.least(a, b) >= F.greatest(a, b) * F.lit(least)
 
     # the texts of one fingerprint with the least of them, and the least ones of two that are linked
-    prints = marked.groupBy("fp").agg(F.min(F.struct("key", "n")).alias("lead"), F.max("key").alias("last"))
-    same = marked.select("fp", F.struct("key", "n").alias("own")).join(prints.filter("lead.key < last"), "fp").select(F.col("lead").alias("a"), F.col("own").alias("b"))
+    prints = classes.groupBy("fp").agg(F.min(F.struct("key", "n")).alias("lead"), F.max("key").alias("last"))
+    same = classes.select("fp", F.struct("key", "n").alias("own")).join(prints.filter("lead.key < last"), "fp").select(F.col("lead").alias("a"), F.col("own").alias("b"))
     lead = lambda end, name: prints.select(F.col("fp").alias(end), F.col("lead").alias(name))
     other = links(prints.select("fp")).join(lead("u", "a"), "u").join(lead("v", "b"), "v").select("a", "b")
     close = same.unionByName(other).filter("a.key != b.key").filter(sized(F.col("a.n"), F.col("b.n")))
@@ -177,17 +224,21 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     split = materialize(split.join(mixed, "band", "left_semi"), "split")
     sizes = split.groupBy("band").agg(F.count(F.lit(1)).alias("members"))
     large = sizes.filter(F.col("members") > PAIRED).select("band")
-    hard = materialize(split.join(large, "band", "left_semi").select("key", "part").distinct(), "hard")
+    hard = materialize(split.join(large, "band", "left_semi").select("band", "key", "part"), "hard")
     split = split.join(large, "band", "left_anti")
+    own = hard.select("key", "part").distinct()
+    crowds = materialize(own.groupBy("part").agg(F.count(F.lit(1)).alias("members")).filter(F.col("members") > PAIRED), "crowds")
+    beside = crowd_links(hard, crowds, texts, width, least)
+    scattered = texts.join(own.join(crowds, "part", "left_anti"), "key")
     sides = split.select("band", "part").distinct()
     sides = sides.select("band", F.col("part").alias("p")).join(sides.select("band", F.col("part").alias("q")), "band").filter("p < q")
     one, two = (split.select("band", F.col("part").alias(p), F.col("key").alias(f"k{p}"), F.col("n").alias(f"n{p}")) for p in "pq")
     cross = sides.join(one, ["band", "p"]).join(two, ["band", "q"]).filter(sized(F.col("np"), F.col("nq"))).select("kp", "kq")
-    cross = cross.unionByName(prefix_pairs(texts.join(hard, "key"), width, least).select(F.col("u").alias("kp"), F.col("v").alias("kq")))
+    cross = cross.unionByName(prefix_pairs(scattered, width, least).select(F.col("u").alias("kp"), F.col("v").alias("kq")))
     cross = cross.select(F.least("kp", "kq").alias("u"), F.greatest("kp", "kq").alias("v")).distinct().join(stars.unionByName(close), ["u", "v"], "left_anti")
-    parts = connected_components(near.unionByName(linked(cross))).select(F.col("node").alias("key"), "component")
+    parts = connected_components(near.unionByName(beside).unionByName(linked(cross))).select(F.col("node").alias("key"), "component")
 
-    classes = marked.groupBy("key").agg(F.min("doc_id").alias("first_id")).join(parts, "key", "left").withColumn("component", F.coalesce("component", "key"))
+    classes = classes.select("key", "first_id").join(parts, "key", "left").withColumn("component", F.coalesce("component", "key"))
     heads = classes.groupBy("component").agg(F.min("first_id").alias("component_id"))
     found = classes.join(heads, "component").select("key", "component_id")
     return marked.select("doc_id", "key").join(found, "key").select("doc_id", "component_id")
