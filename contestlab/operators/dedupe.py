@@ -12,7 +12,10 @@ import uuid
 from collections.abc import Iterator
 from itertools import combinations
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -81,21 +84,78 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def vector_search(vectors: DataFrame, queries: DataFrame, k: int = 10, max_queries: int = 1000) -> DataFrame:
+def by_length(column: pa.Array):
+    """(rows, matrix) for the rows of each length."""
+    lengths = pc.list_value_length(column).to_numpy(zero_copy_only=False)
+    for n in np.unique(lengths):
+        rows = np.flatnonzero(lengths == n)
+        some = column if len(rows) == len(column) else column.take(pa.array(rows))
+        yield rows, np.asarray(some.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(rows), -1)
+
+
+def _sums(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Inner products of rows, summed from the first component to the last as dot() does, so that equal vectors score alike to the last bit."""
+    return np.add.accumulate(a * b, axis=-1)[..., -1]
+
+
+def _closest(ids: np.ndarray, asked: np.ndarray, norms: np.ndarray, k: int):
+    """Batches of (vec_id, embedding, norm): the rows that are among the k closest of a batch's and all earlier ones, for each query.
+
+    All similarities come from one product of matrices; those that may be among the k closest are then summed in order.
+    """
+
+    def run(batches):
+        best = np.full((len(ids), k), -np.inf)  # the k largest so far, the least first
+        for batch in batches:
+            for a in range(0, batch.num_rows, ROWS):
+                piece = batch.slice(a, ROWS)
+                for rows, x in by_length(piece.column("embedding")):
+                    if x.shape[1] != asked.shape[1]:
+                        continue
+                    vec, norm = piece.column("vec_id").to_numpy(zero_copy_only=False)[rows], piece.column("norm").to_numpy(zero_copy_only=False)[rows]
+                    with np.errstate(all="ignore"):
+                        near = (asked @ x.T) / np.outer(norms, norm)
+                    near[np.isnan(near)] = np.inf  # largest, as in Spark
+                    every = np.concatenate([best, near], axis=1)
+                    best = np.partition(every, every.shape[1] - k, axis=1)[:, -k:]
+                    least = best.min(axis=1, keepdims=True)
+                    q, v = np.nonzero(near >= np.where(np.isfinite(least), least - SLACK, least))
+                    for i in range(0, len(q), SUMMED):
+                        qs, vs = q[i : i + SUMMED], v[i : i + SUMMED]
+                        with np.errstate(all="ignore"):
+                            exact = _sums(x[vs], asked[qs]) / (norm[vs] * norms[qs])
+                        yield pa.RecordBatch.from_arrays([pa.array(ids[qs]), pa.array(vec[vs]), pa.array(exact)], ["query_id", "vec_id", "similarity"])
+
+    return run
+
+
+#: Vectors of a product of matrices, pairs that are summed at a time, and by how much a product may be off.
+ROWS, SUMMED, SLACK = 1024, 65_536, 1e-9
+
+
+def vector_search(vectors: DataFrame, queries: DataFrame, k: int = 10, max_queries: int = 2000) -> DataFrame:
     """query_id, vec_id, similarity, place: the k vectors (vec_id, embedding) of largest cosine for each query (query_id, embedding), exactly.
 
-    Every vector is compared with every query, in blocks of about max_queries queries by a hash of their id: a block
-    is sent to all tasks, and the k best of each task are found before the shuffle. Of several blocks each is
-    written to the shared folder, so neither the number of queries nor the plan has a limit.
+    Every vector is compared with every query of its length, in blocks of about max_queries queries by a hash of their id: a block
+    is sent to all tasks, which multiply it with their vectors and pass on the k best that they have met. Of several blocks each is
+    written to the shared folder, so neither the number of queries nor the plan has a limit. Pairs grow with the product of both tables; a task holds a block and ROWS vectors.
     """
-    unit = lambda df, key: df.filter(dot(F.col("embedding"), F.col("embedding")) > 0).select(key, "embedding", F.sqrt(dot(F.col("embedding"), F.col("embedding"))).alias("norm"))
+    double = F.col("embedding").cast("array<double>").alias("embedding")
+    unit = lambda df, key: df.filter(dot(F.col("embedding"), F.col("embedding")) > 0).select(F.col(key).cast("long").alias(key), double, F.sqrt(dot(F.col("embedding"), F.col("embedding"))).alias("norm"))
     order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id")
+    schema = "query_id long, vec_id long, similarity double"
+    rows = unit(vectors, "vec_id")
 
     def best(block: DataFrame) -> DataFrame:
-        q = unit(block, "query_id").select("query_id", F.col("embedding").alias("q"), F.col("norm").alias("q_norm"))
-        pairs = unit(vectors, "vec_id").crossJoin(F.broadcast(q))
-        scored = pairs.select("query_id", "vec_id", (dot(F.col("embedding"), F.col("q")) / (F.col("norm") * F.col("q_norm"))).alias("similarity"))
-        return scored.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k)
+        asked, found = unit(block, "query_id").toArrow().combine_chunks(), None
+        lists = asked["embedding"].combine_chunks()
+        for at, q in by_length(lists):
+            ids, norms = asked["query_id"].to_numpy()[at], asked["norm"].to_numpy()[at]
+            near = rows.mapInArrow(_closest(ids, q, norms, k), schema)
+            found = near if found is None else found.unionByName(near)
+        if found is None:
+            found = vectors.sparkSession.createDataFrame([], schema)
+        return found.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k)
 
     blocks = -(-queries.count() // max_queries)
     if blocks <= 1:
