@@ -33,10 +33,11 @@ def roll_changes(spark, sf_dir) -> DataFrame:
 
 
 def last_rolls(spark, sf_dir) -> DataFrame:
-    """Each change with the last roll of its unit at or before its day, by one sorted window."""
+    """roll_changes(), with the last roll of each unit at or before the change's day found by one sorted window."""
     d = star_views(spark, sf_dir).data
-    rolls = d.snapshots.select("unit_id", "day", F.col("day").alias("roll_day"), "electors")
-    return as_of(d.roll_changes.select("unit_id", "day", "additions"), rolls, ["unit_id"], "day", ["roll_day", "electors"])
+    changes = d.roll_changes.join(d.units.select("unit_id", "area_id", "block_id"), "unit_id")
+    rows = as_of(changes, d.snapshots.select("unit_id", "day", "electors"), ["unit_id"], "day", ["electors"])
+    return rows.select("unit_id", "day", "area_id", "block_id", "additions", "deletions", "modifications", "electors", M.pct(F.col("additions"), F.col("electors")).alias("additions_pct"), M.pct(F.col("deletions"), F.col("electors")).alias("deletions_pct"))
 
 
 def changes_in_windows(spark, sf_dir) -> DataFrame:
@@ -199,5 +200,5 @@ SELECT p_brand, n, round(coalesce(CAST(n * xy - x * y AS DOUBLE) / nullif(sqrt(C
     "sort_multi_nulls": over_views("SELECT unit_id, electors, rejected FROM units ORDER BY electors DESC NULLS LAST, rejected NULLS FIRST, unit_id LIMIT 100"),
     "topk": "SELECT o_orderkey FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 50",
 }
-SQL["join_asof_lateral"] = over_views("SELECT c.unit_id, c.day, c.additions, s.day AS roll_day, CAST(s.electors AS BIGINT) AS electors FROM roll_changes c ASOF LEFT JOIN snapshots s ON s.unit_id = c.unit_id AND s.day <= c.day")
+SQL["join_asof_lateral"] = SQL["q_roll_changes"]
 SQL["join_range_window"] = over_views("SELECT contest_id, c.unit_id, CAST(sum(additions) AS BIGINT) AS additions, count(*) AS days FROM roll_changes c JOIN units u USING (unit_id) JOIN links l ON l.group_id = u.group_id AND c.day > l.day - 8 AND c.day <= l.day GROUP BY 1, 2")

@@ -53,3 +53,12 @@ def test_pairs_met_are_about_as_many_as_matches(spark):
         for b in range((18262 + 10 * n + 1) // 10, (18262 + 10 * n + 10) // 10 + 1):
             bins[b] = bins.get(b, 0) + 1
     assert max(bins.values()) <= 2
+
+
+def test_last_rolls_are_whole(spark):
+    """The as-of query gives all that the changes' page gives."""
+    from contestlab.queries import relational as R
+
+    folder = "/root/testdata/sf0.001"
+    a, b = R.QUERIES["join_asof_lateral"](spark, folder), R.QUERIES["q_roll_changes"](spark, folder)
+    assert a.columns == b.columns and a.exceptAll(b).count() == 0 == b.exceptAll(a).count() and R.SQL["join_asof_lateral"] == R.SQL["q_roll_changes"]
