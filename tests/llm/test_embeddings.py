@@ -79,3 +79,20 @@ def test_search_hard_rows(spark):
     assert len(got) == 14 and [g[2] for g in sorted(got) if g[0] == 5 and g[2] < 90] == [6, 4, 3, 2, 1, 0]
     assert (5, 1, 90, 4.0) in got and (90, 1, 5, 4.0) in got  # vectors of another length among themselves
     assert ann.search(df.limit(0), df).count() == 0 == ann.search(df, df.limit(0)).count()
+
+
+def test_search_finds_all_on_other_rows(spark):
+    """Tight crowds, very unequal lengths and far apart magnitudes: codes can't tell such rows apart, bounds can."""
+    rng = np.random.default_rng(11)
+    base = rng.normal(size=(8, 16))
+    crowd = [(base[i % 8] * (1 + i % 3) + rng.normal(size=16) * 1e-3).tolist() for i in range(2400)]
+    lengths = [(rng.normal(size=16) * 10.0 ** rng.uniform(-3, 3)).tolist() for _ in range(800)]
+    shifted = [(rng.normal(size=16) * 0.05 + 100).tolist() for _ in range(800)]
+    for vectors in (crowd, lengths, shifted, [[x * 1e30 for x in v] for v in lengths], crowd + lengths + shifted):
+        rows = [(i, np.array(v, np.float64).astype(np.float32).tolist(), 1) for i, v in enumerate(vectors)]
+        df = frame(spark, rows)
+        want = top(rows[:], [r[:2] for r in rows if r[0] % 200 == 0])
+        got = {}
+        for r in ann.search(df, df.filter("vec_id % 200 = 0")).collect():
+            got.setdefault(r.query_id, set()).add(r.vec_id)
+        assert np.mean([len(set(want[q]) & got[q]) / 20 for q in want]) > 0.999
