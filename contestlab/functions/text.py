@@ -8,6 +8,8 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType
@@ -101,10 +103,20 @@ def _collapse(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 
 
-@F.pandas_udf(StringType())
-def composed(text: pd.Series) -> pd.Series:
-    """NFC; ASCII texts are as they are."""
-    return text.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFC", t))
+def by_few(texts: pa.Array, f, kind: pa.DataType, octets: int = 1 << 20) -> pa.Array:
+    """f of each text, of which about so many bytes at a time are Python's: a batch may hold 10,000 long ones."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+    cuts = [0, *(np.flatnonzero(np.diff(ends // octets)) + 1).tolist(), len(texts)]
+    parts = [pa.array([f(t) for t in texts.slice(a, b - a).to_pylist()], kind) for a, b in zip(cuts, cuts[1:], strict=False) if a < b]
+    return pa.concat_arrays(parts) if parts else pa.array([], kind)
+
+
+@F.arrow_udf(StringType())
+def composed(text: pa.Array) -> pa.Array:
+    """NFC; ASCII texts are as they are, and don't become Python's."""
+    if pc.all(pc.string_is_ascii(text), min_count=0).as_py():
+        return text
+    return by_few(text, lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFC", t), text.type)
 
 
 def normalize(text: Column, compose: bool = True) -> Column:
@@ -224,9 +236,9 @@ def simhash64(folded: str | None) -> int:
     return int(np.packbits(2 * votes > shingles.total()).view(">i8")[0])
 
 
-@F.pandas_udf(LongType())
-def simhash(folded: pd.Series) -> pd.Series:
-    return pd.Series([simhash64(t) for t in folded], dtype="int64")
+@F.arrow_udf(LongType())
+def simhash(folded: pa.Array) -> pa.Array:
+    return by_few(folded, simhash64, pa.int64())
 
 
 def hamming(a: Column, b: Column) -> Column:

@@ -46,3 +46,17 @@ def folded(spark, text):
     from contestlab.functions import text as T
 
     return spark.createDataFrame([(text,)], "t string").select(T.fold(F.col("t"))).first()[0]
+
+
+def test_long_texts_are_taken_few_at_a_time():
+    import pyarrow as pa
+
+    from contestlab.functions import text as T
+
+    held = []
+    texts = pa.array(["é" * 300 + str(i) if i % 7 else None for i in range(100)])
+    got = T.by_few(texts, lambda t: held.append(t) or (t and len(t)), pa.int64(), octets=2000)
+    assert got.to_pylist() == [None if t is None else len(t) for t in texts.to_pylist()] and held == texts.to_pylist()
+    assert T.by_few(texts.slice(0, 0), len, pa.int64()).to_pylist() == []
+    # composed() and simhash() get Arrow's arrays, not a Series of all texts
+    assert all("ARROW" in str(f.evalType) or f.evalType == 250 for f in (T.composed, T.simhash))
