@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Sequence
 from functools import lru_cache
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
@@ -39,9 +39,9 @@ def named_in(folded: Column, keywords: Iterable[str]) -> Column:
     if not wanted:
         return F.array().cast("array<string>")
 
-    @F.pandas_udf(ArrayType(StringType()))
-    def found(texts: pd.Series) -> pd.Series:
-        return pd.Series([[wanted[i] for i in places(t, wanted)] if t else [] for t in texts], dtype=object)
+    @F.arrow_udf(ArrayType(StringType()))
+    def found(texts: pa.Array) -> pa.Array:
+        return T.by_few(texts, lambda t: [wanted[i] for i in places(t, wanted)] if t else [], pa.list_(pa.string()))
 
     return found(folded)
 

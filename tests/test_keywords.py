@@ -60,3 +60,10 @@ def test_long_texts_are_taken_few_at_a_time():
     assert T.by_few(texts.slice(0, 0), len, pa.int64()).to_pylist() == []
     # composed() and simhash() get Arrow's arrays, not a Series of all texts
     assert all("ARROW" in str(f.evalType) or f.evalType == 250 for f in (T.composed, T.simhash))
+
+
+def test_keywords_get_arrows_arrays(spark):
+    from pyspark.sql import functions as F
+
+    plan = spark.createDataFrame([("a",)], "t string").select(K.named_in(F.col("t"), ["a"]))._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan and "], 250" in plan  # SQL_SCALAR_ARROW_UDF
