@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import hashlib
 import unicodedata
-from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -225,15 +224,41 @@ def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([known[p] if p in known else known.setdefault(p, jaro_winkler(*p)) for p in zip(a, b, strict=True)], dtype="float64")
 
 
+class _Bits(dict):
+    """Three code points in one number -> the row of their digest's 64 bits; grows as shingles are met."""
+
+    def __init__(self):
+        self.rows = np.zeros((1024, 64), np.uint8)
+
+    def __missing__(self, key: int) -> int:
+        shingle = "".join(chr(key >> n & 0x1FFFFF) for n in (42, 21, 0))
+        if len(self) == len(self.rows):
+            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+        self[key] = n = len(self)
+        self.rows[n] = np.unpackbits(np.frombuffer(hashlib.md5(shingle.encode()).digest()[:8], np.uint8))
+        return n
+
+
+#: Shingles that a process remembers, about 30 MB; beyond, it begins anew.
+REMEMBERED = 100_000
+_bits = _Bits()
+
+
 def simhash64(folded: str | None) -> int:
     """Signed 64-bit SimHash of a folded text over its 3-character shingles."""
+    global _bits
     t = (folded or "").replace(" ", "")
-    shingles = Counter([t] if 0 < len(t) <= SHINGLE else (t[i : i + SHINGLE] for i in range(len(t) - SHINGLE + 1)))
-    if not shingles:
+    if not t:
         return 0
-    digests = np.frombuffer(b"".join(hashlib.md5(s.encode()).digest()[:8] for s in shingles), np.uint8).reshape(-1, 8)
-    votes = np.array(list(shingles.values()), np.int64) @ np.unpackbits(digests, axis=1).astype(np.int64)
-    return int(np.packbits(2 * votes > shingles.total()).view(">i8")[0])
+    if len(t) <= SHINGLE:
+        return int.from_bytes(hashlib.md5(t.encode()).digest()[:8], "big", signed=True)
+    if len(_bits) > REMEMBERED:
+        _bits = _Bits()
+    points = np.frombuffer(t.encode("utf-32-le"), np.uint32).astype(np.int64)
+    keys, counts = np.unique(points[:-2] << 42 | points[1:-1] << 21 | points[2:], return_counts=True)
+    rows = list(map(_bits.__getitem__, keys.tolist()))
+    votes = counts.astype(np.float64) @ _bits.rows[rows].astype(np.float64)  # whole numbers, so exact
+    return int(np.packbits(2 * votes > len(t) - 2).view(">i8")[0])
 
 
 @F.arrow_udf(LongType())

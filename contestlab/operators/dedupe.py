@@ -27,6 +27,11 @@ FEW = 100_000
 SEGMENTS = ((53, 11), (42, 11), (31, 11), (20, 11), (10, 10), (0, 10))
 
 
+def sorted_join(a: DataFrame, b: DataFrame, on, how: str = "inner") -> DataFrame:
+    """A join through shuffles, for tables that grow with the titles: their files look so small that Spark would send them whole through the driver."""
+    return a.join(b.hint("merge"), on, how)
+
+
 def segment_keys(simhash: Column) -> list[Column]:
     """The 20 keys of a hash: each choice of three of its six segments. Hashes within 3 bits share one at least."""
     part = lambda i: F.shiftrightunsigned(simhash, SEGMENTS[i][0]).bitwiseAND(F.lit((1 << SEGMENTS[i][1]) - 1))
@@ -40,7 +45,7 @@ def links(hashes: DataFrame, threshold: int = T.HAMMING) -> DataFrame:
     rows = hashes.select("id", "simhash", F.explode(F.array(*segment_keys(F.col("simhash")))).alias("key"))
     a, b = rows.alias("a"), rows.alias("b")
     near = (F.col("a.id") < F.col("b.id")) & (T.hamming(F.col("a.simhash"), F.col("b.simhash")) <= threshold)
-    return a.join(b, (F.col("a.key") == F.col("b.key")) & near).select(F.col("a.id").alias("u"), F.col("b.id").alias("v")).distinct()
+    return sorted_join(a, b, (F.col("a.key") == F.col("b.key")) & near).select(F.col("a.id").alias("u"), F.col("b.id").alias("v")).distinct()
 
 
 def _in_order(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -63,21 +68,23 @@ def settle(edges: DataFrame, few: int = FEW) -> DataFrame:
         if n <= few:
             return gone.unionByName(written(left.coalesce(1).mapInPandas(_in_order, "id long"), "gone"))
         later = left.select(F.col("v").alias("id")).distinct()
-        stay = left.select(F.col("u").alias("id")).distinct().join(later, "id", "left_anti")
-        out = written(left.join(stay.withColumnRenamed("id", "u"), "u", "left_semi").select(F.col("v").alias("id")).distinct(), "gone")
+        stay = sorted_join(left.select(F.col("u").alias("id")).distinct(), later, "id", "left_anti")
+        out = written(sorted_join(left, stay.withColumnRenamed("id", "u"), "u", "left_semi").select(F.col("v").alias("id")).distinct(), "gone")
         gone = gone.unionByName(out)
         # what goes takes its links along; so do those that stay, as all their neighbours are gone
-        left = written(left.join(out.select(F.col("id").alias("u")), "u", "left_anti").join(out.select(F.col("id").alias("v")), "v", "left_anti"), "left")
+        for end in "uv":
+            left = sorted_join(left, out.select(F.col("id").alias(end)), end, "left_anti").select("u", "v")
+        left = written(left, "left")
     return gone
 
 
 def first_seen(items: DataFrame, threshold: int = T.HAMMING) -> DataFrame:
     """items (id, simhash; earlier ids come first) with kept, and of the first of its hash, `of`."""
     # a minimum that is aggregated before the shuffle: copies of one hash don't meet in one task
-    rows = items.select("id", "simhash").join(items.groupBy("simhash").agg(F.min("id").alias("of")), "simhash")
+    rows = sorted_join(items.select("id", "simhash"), items.groupBy("simhash").agg(F.min("id").alias("of")), "simhash")
     edges = written(links(rows.filter("id = of").select("id", "simhash"), threshold), "near")
     marked = settle(edges).withColumnRenamed("id", "of").distinct().withColumn("gone", F.lit(True))
-    return rows.join(marked, "of", "left").select("id", "simhash", (F.col("gone").isNull() & (F.col("id") == F.col("of"))).alias("kept"))
+    return sorted_join(rows, marked, "of", "left").select("id", "simhash", (F.col("gone").isNull() & (F.col("id") == F.col("of"))).alias("kept"))
 
 
 def dot(a: Column, b: Column) -> Column:
