@@ -14,6 +14,7 @@ from contestlab.operators import guard as G
 from contestlab.operators import match as X
 from contestlab.plans.view_sql import over_views
 from contestlab.plans.views import ORDER, refresh
+from contestlab.shared import scratch, written
 from contestlab.sources import sheets as S
 from contestlab.sources import tables as B
 from contestlab.sources.stored import StoredTable
@@ -257,9 +258,12 @@ def stream_dedupe(spark, sf_dir):
 def stream_dedupe_titles(spark, sf_dir):
     """Documents as titles, one a minute: those that no earlier one that stays is near to."""
     rows = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), T.simhash(T.fold(F.col("text"))).alias("simhash"), F.timestamp_seconds(F.lit(1_700_000_000) + F.col("doc_id") * 60).alias("seen"))
-    # in three arrivals by their ids
-    rows = rows.crossJoin(rows.agg((F.max("id") + 1).alias("all"))).withColumn("part", F.floor(F.col("id") * 3 / F.col("all"))).drop("all")
-    stream, kept = _arrivals(spark, rows, "part", 3, "titles"), _path(spark, "kept")
+    kept = _path(spark, "kept")
+    with scratch():
+        rows = written(rows, "hashes")  # hashed once, by all tasks; what follows reads three numbers a row
+        # in three arrivals by their ids
+        rows = rows.crossJoin(F.broadcast(rows.agg((F.max("id") + 1).alias("all")))).withColumn("part", F.floor(F.col("id") * 3 / F.col("all"))).drop("all")
+        stream = _arrivals(spark, rows, "part", 3, "titles")
     W.keep_new_titles(stream, kept, _path(spark, "progress"), memory=timedelta(days=36_500)).awaitTermination()
     return spark.read.parquet(kept).select("id", "simhash")
 
