@@ -12,7 +12,7 @@ def test_many_lines_are_dealt_to_as_many_tasks(spark):
     lines = spark.range(1000).select((F.col("id") % 50).alias("unit_id"), (F.col("id") % 3).alias("year"))
     assert dealt_by_unit(lines, 1_000_000) is lines
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    for n in (2_000_000, 400 * TASK_LINES, 400 * TASK_LINES + 1):
+    for n in (9_000_000, 400 * TASK_LINES, 400 * TASK_LINES + 1):
         dealt = dealt_by_unit(lines, n)
         assert dealt.rdd.getNumPartitions() == max(least, -(-n // TASK_LINES))
         cells = dealt.groupBy("unit_id", "year").count()
